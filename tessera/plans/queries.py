@@ -155,6 +155,129 @@ def presence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.round_doubles(score.apply_rules(score.fixed_probability(feats)))
 
 
+# --- model (B6) ---------------------------------------------------------------
+
+def _train_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import model
+    h = fx.fixture_history(spark, sf_dir)
+    s = model.with_split(h, fx.FIXTURE_TRAIN_END_YEAR, fx.FIXTURE_VALID_YEAR, fx.FIXTURE_TEST_YEAR)
+    return s.where(F.col("split") == "train")
+
+
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import model
+    return fx.round_doubles(model.class_weights(_train_frame(spark, sf_dir), "present_rel_10pct_peak"))
+
+
+def mode_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import model
+    return model.mode_values(_train_frame(spark, sf_dir), model.BASE_CATEGORICAL)
+
+
+def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4/M5 applied: every split row, numeric features zero-imputed and
+    standardised with the training statistics."""
+    from tessera.operators import model
+    h = model.with_split(fx.fixture_history(spark, sf_dir), fx.FIXTURE_TRAIN_END_YEAR,
+                         fx.FIXTURE_VALID_YEAR, fx.FIXTURE_TEST_YEAR).where(F.col("split").isNotNull())
+    stats = {r["feature"]: (r["mean"], r["scale"])
+             for r in model.scaler_stats(h.where(F.col("split") == "train"), model.BASE_NUMERIC).collect()}
+    cols = [((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(stats[c][0])) / F.lit(stats[c][1]))
+            .alias(f"{c}_std") for c in model.BASE_NUMERIC]
+    return fx.round_doubles(h.select("species", "stateProvince", "year", "week_of_year", "split", *cols))
+
+
+def _fit_and_score(spark: SparkSession, feats: DataFrame, numeric, max_iter: int) -> DataFrame:
+    from tessera.operators import model
+    from tessera.session import scratch_path
+    fitted, split = model.fit_presence_model(
+        feats, "present_rel_10pct_peak", fx.FIXTURE_TRAIN_END_YEAR, fx.FIXTURE_VALID_YEAR, fx.FIXTURE_TEST_YEAR,
+        numeric=numeric, max_iter=max_iter)
+    path = scratch_path(spark, "model")
+    model.save_model(fitted, path)
+    loaded = model.load_model(path)
+    test = split.where(F.col("split") == "test")
+    scored = model.score(loaded, test, keep=["species", "stateProvince", "year", "week_of_year",
+                                             "present_rel_10pct_peak"])
+    return fx.round_doubles(scored.withColumnRenamed("present_rel_10pct_peak", "y_true"))
+
+
+def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit on the train years, save, load, score the test year."""
+    from tessera.dims import MAX_ITER_BASE
+    from tessera.operators import model
+    return _fit_and_score(spark, fx.fixture_history(spark, sf_dir), model.BASE_NUMERIC, MAX_ITER_BASE)
+
+
+def train_score_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The covariate variant: history features + 14 weekly covariates."""
+    from tessera.dims import MAX_ITER_WEATHER
+    from tessera.operators import model
+    from tessera.schemas import LAGGED_COVARIATES, WEEKLY_COVARIATES
+    weekly = covariates.weekly_covariates(tables.daily_covariates(spark, sf_dir))
+    merged = covariates.merge_covariates(fx.fixture_panel(spark, sf_dir), weekly)
+    feats = features.add_history(merged)
+    return _fit_and_score(spark, feats, model.BASE_NUMERIC + WEEKLY_COVARIATES + LAGGED_COVARIATES, MAX_ITER_WEATHER)
+
+
+# --- lake and payloads (B1, S6, S7) ---------------------------------------------
+
+def lake_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations landed as CSV, read with the declared
+    schema, projected, written as a year/month lake, read back with
+    partition discovery, profiled."""
+    from tessera.session import scratch_path
+    from tessera.sources import lake
+    root = scratch_path(spark, "lake")
+    lake.land_csv(lake.as_observation_rows(tables.observations(spark, sf_dir)), f"{root}/raw")
+    back = lake.build_lake(spark, f"{root}/raw", f"{root}/lake")
+    return profile.partition_profile(back)
+
+
+def lake_spring_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 pruning: the panel's weekly counts read from the lake with the
+    spring months as a partition filter."""
+    from tessera.session import scratch_path
+    from tessera.sources import lake
+    root = scratch_path(spark, "lake")
+    lake.write_lake(lake.project_observations(lake.as_observation_rows(tables.observations(spark, sf_dir))), root)
+    return panel.weekly_counts(lake.read_lake(spark, root), entities=fx.FIXTURE_ENTITIES, months=fx.FIXTURE_MONTHS)
+
+
+def array_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily measures landed as parallel-array payloads and parsed back."""
+    from tessera.session import scratch_path
+    from tessera.sources import payloads
+    path = scratch_path(spark, "payload")
+    payloads.land_json(payloads.pack_daily_payload(tables.daily_covariates(spark, sf_dir)), path)
+    return fx.round_doubles(payloads.parse_daily_payload(payloads.read_daily_payload(spark, path)))
+
+
+def report_payload_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports landed as JSON objects, read with the declared schema,
+    normalised and binned (equals ``recent_activity``)."""
+    from tessera.session import scratch_path
+    from tessera.sources import payloads
+    path = scratch_path(spark, "reports")
+    payloads.land_json(tables.recent_observations(spark, sf_dir), path)
+    reps = recent.prepare_reports(payloads.read_reports_json(spark, path))
+    return fx.round_doubles(recent.recent_activity(reps, fx.FIXTURE_AS_OF))
+
+
+# --- streaming (ST1) -------------------------------------------------------------
+
+STREAM_DELAY = "1 day"
+STREAM_ANCHOR = "2024-01-01"
+
+
+def stream_recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 on landed report files: two overlapping deliveries, watermark
+    1 day, 7-day bins from 2024-01-01; only closed bins are emitted."""
+    from tessera.streaming.activity import run_fixture_stream
+    return run_fixture_stream(spark, tables.recent_observations(spark, sf_dir), STREAM_DELAY, STREAM_ANCHOR,
+                              split_at="2024-01-20 00:00:00", overlap_from="2024-01-15 00:00:00")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "panel_weekly_counts": panel_weekly_counts,
     "panel_dense_grid": panel_dense_grid,
@@ -179,4 +302,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corridor_signal": corridor_signal,
     "recent_covariates": recent_covariates,
     "presence_rules": presence_rules,
+    "class_weights": class_weights,
+    "mode_impute": mode_impute,
+    "scaled_features": scaled_features,
+    "train_score": train_score,
+    "train_score_weather": train_score_weather,
+    "lake_roundtrip": lake_roundtrip,
+    "lake_spring_counts": lake_spring_counts,
+    "array_payload": array_payload,
+    "report_payload_activity": report_payload_activity,
+    "stream_recent_activity": stream_recent_activity,
 }
