@@ -19,6 +19,7 @@ whole feature lineage.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -144,7 +145,7 @@ def build_pipeline(categorical, numeric, modes: dict, stats: dict, n_train: int,
                                   outputCol="_features"))
     stages.append(LogisticRegression(featuresCol="_features", labelCol=label, weightCol=weight,
                                      regParam=1.0 / (C * n_train), elasticNetParam=0.0,
-                                     standardization=False, fitIntercept=True, maxIter=max_iter, tol=1e-9))
+                                     standardization=False, fitIntercept=True, maxIter=max_iter, tol=1e-6))
     return Pipeline(stages=stages)
 
 
@@ -153,7 +154,7 @@ def fit_presence_model(df: DataFrame, target: str, train_end: int, valid: int, t
     """Split, guard, fit.  Returns (PipelineModel, split frame)."""
     categorical = list(BASE_CATEGORICAL if categorical is None else categorical)
     numeric = list(BASE_NUMERIC if numeric is None else numeric)
-    s = with_split(df, train_end, valid, test)
+    s = with_split(df, train_end, valid, test).persist(StorageLevel.MEMORY_AND_DISK)
     sizes = check_splits(s, target)
     train = s.where(F.col("split") == "train")
     modes = {r["column_name"]: r["mode_value"] for r in mode_values(train, categorical).collect()} if categorical else {}

@@ -63,10 +63,10 @@ def activity_bins_batch(reports: DataFrame, closed_before, bin_days: int = 7, an
     ``closed_before``."""
     rep = prepare_reports(reports).where(F.col("obs_ts").isNotNull()).dropDuplicates([key])
     anchor_ts = F.lit(anchor[:10] + " 00:00:00").cast("timestamp_ntz")
-    days = F.floor(F.timestampdiff("SECOND", anchor_ts, F.col("obs_ts")) / F.lit(86400 * bin_days))
-    start = F.timestampadd("DAY", (days * bin_days).cast("int"), anchor_ts)
+    days = F.floor(F.timestamp_diff("SECOND", anchor_ts, F.col("obs_ts")) / F.lit(86400 * bin_days))
+    start = F.timestamp_add("DAY", (days * bin_days).cast("int"), anchor_ts)
     g = (rep.groupBy(start.alias("bin_start"), region, entity).agg(F.sum("obs_count").alias("obs_count"))
-         .withColumn("bin_end", F.timestampadd("DAY", F.lit(bin_days), F.col("bin_start"))))
+         .withColumn("bin_end", F.timestamp_add("DAY", F.lit(bin_days), F.col("bin_start"))))
     return g.where(F.col("bin_end") <= F.lit(closed_before).cast("timestamp_ntz")).select(
         "bin_start", "bin_end", region, entity, "obs_count")
 
