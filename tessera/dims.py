@@ -130,7 +130,7 @@ REGION_DIM_SCHEMA = T.StructType([
     T.StructField("state", T.StringType(), False),
     T.StructField("lat", T.DoubleType(), False),
     T.StructField("lon", T.DoubleType(), False),
-    T.StructField("ebird_region", T.StringType(), False),
+    T.StructField("region_code", T.StringType(), False),
     T.StructField("south_states", T.ArrayType(T.StringType(), False), False),
 ])
 
@@ -142,7 +142,7 @@ SPECIES_DIM_SCHEMA = T.StructType([
 
 
 def region_dim(spark: SparkSession, config: dict | None = None) -> DataFrame:
-    """Region dimension (state, lat, lon, ebird_region, south_states)."""
+    """Region dimension (state, lat, lon, region_code, south_states)."""
     config = STATE_CONFIG if config is None else config
     rows = [(s, lat, lon, code, list(south)) for s, (lat, lon, code, south) in config.items()]
     return spark.createDataFrame(rows, REGION_DIM_SCHEMA)

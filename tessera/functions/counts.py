@@ -14,6 +14,10 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Characters stripped around a reported value (ASCII whitespace).
+_WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def normalize_count(value) -> Column:
     """Reported count -> integer count.
 
@@ -21,13 +25,20 @@ def normalize_count(value) -> Column:
     (a bare presence report); a number is truncated toward zero.  Numeric
     inputs go through their string form, so the rule is the same for both.
     ``nan``/``inf`` and values beyond the 64-bit range also give 1.
+
+    Fast path: a plain integer of up to 15 characters (exact as a double) is
+    cast directly; only other strings meet the decimal-syntax regex.
     """
-    s = F.regexp_replace(_c(value).cast("string"), r"^\s+|\s+$", "")
-    number = F.regexp_replace(s, "_", "").try_cast("double").try_cast("bigint")
+    s = F.btrim(_c(value).cast("string"), F.lit(_WHITESPACE))
+    plain = F.when(F.length(s) <= 15, s.try_cast("bigint"))
+    number = F.replace(s, F.lit("_"), F.lit("")).try_cast("double").try_cast("bigint")
+    one = F.lit(1).cast("bigint")
     return (
-        F.when(s.isNull() | (s == "") | (F.upper(s) == "X"), F.lit(1).cast("bigint"))
-        .when(s.rlike(_DECIMAL), F.coalesce(number, F.lit(1).cast("bigint")))
-        .otherwise(F.lit(1).cast("bigint"))
+        F.when(s.isNull() | (s == "") | (F.upper(s) == "X"), one)
+        .otherwise(F.coalesce(
+            plain,
+            F.when(s.rlike(_DECIMAL), F.coalesce(number, one)).otherwise(one),
+        ))
     )
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-AUC_BINS = 1024
+AUC_BINS = 1 << 16
 
 
 def _keys(by) -> list[str]:

@@ -19,6 +19,8 @@ whole feature lineage.
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
+ROWS_PER_FIT_PARTITION = 200_000
+
 BASE_CATEGORICAL = ["species", "stateProvince"]
 BASE_NUMERIC = [
     "week_of_year",
@@ -163,11 +167,23 @@ def fit_presence_model(df: DataFrame, target: str, train_end: int, valid: int, t
     w = F.lit(0.0)
     for lab, wt in weights.items():
         w = F.when(F.col(target).cast("int") == lab, F.lit(float(wt))).otherwise(w)
-    ensure_checkpoint_dir(df.sparkSession)
-    fit_input = train.select(*categorical, *numeric, F.col(target).cast("double").alias("_label"),
-                             w.alias("_weight")).checkpoint(eager=True)
-    model = build_pipeline(categorical, numeric, modes, stats, sizes["train"], max_iter).fit(fit_input)
-    return model, s
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    # Every solver iteration is a job over these partitions: size them by rows
+    # (about ROWS_PER_FIT_PARTITION each), never above the cluster's parallelism.
+    parts = max(1, min(spark.sparkContext.defaultParallelism, math.ceil(sizes["train"] / ROWS_PER_FIT_PARTITION)))
+    fit_input = (train.select(*categorical, *numeric, F.col(target).cast("double").alias("_label"),
+                              w.alias("_weight"))
+                 .repartition(parts).checkpoint(eager=True))
+    # Fit the preprocessing stages, keep the assembled vectors in memory for the
+    # solver's passes, then fit the classifier alone on them.
+    stages = build_pipeline(categorical, numeric, modes, stats, sizes["train"], max_iter).getStages()
+    prefix = Pipeline(stages=stages[:-1]).fit(fit_input)
+    vectors = (prefix.transform(fit_input).select("_features", "_label", "_weight")
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    classifier = stages[-1].fit(vectors)
+    vectors.unpersist()
+    return PipelineModel(stages=[*prefix.stages, classifier]), s
 
 
 def score(model: PipelineModel, df: DataFrame, keep=None) -> DataFrame:

@@ -67,3 +67,24 @@ def apply_rules(df: DataFrame, state: str = "state", entity: str = "comName") ->
         rules.kmh_to_mph(F.col("wind_max_7d")).alias("wind_mph"),
         F.round(p * 100.0, 1).alias("probability_pct"),
     )
+
+
+def to_model_features(feats: DataFrame, species_dim: DataFrame, region: str = "state",
+                      entity: str = "comName") -> DataFrame:
+    """Rename the assembled request features to the training schema:
+    ``species`` = scientific name of the requested common name (lookup in the
+    broadcast entity dimension), ``stateProvince`` = region."""
+    names = F.broadcast(species_dim.select(F.col("common_name").alias(entity), F.col("scientific_name")))
+    return (feats.join(names, entity, "left")
+            .withColumn("species", F.col("scientific_name"))
+            .withColumn("stateProvince", F.col(region)))
+
+
+def model_probability(model, feats: DataFrame) -> DataFrame:
+    """M9 on request rows: probability of presence and predicted class from
+    a fitted pipeline (its own 0.5 threshold decides the class)."""
+    from pyspark.ml.functions import vector_to_array
+    out = model.transform(feats)
+    return out.select(*feats.columns,
+                      vector_to_array("probability")[1].alias("probability_present"),
+                      F.col("prediction").cast("int").alias("prediction"))

@@ -193,17 +193,15 @@ def _fit_and_score(spark: SparkSession, feats: DataFrame, numeric, max_iter: int
     fitted, split = model.fit_presence_model(
         feats, "present_rel_10pct_peak", fx.FIXTURE_TRAIN_END_YEAR, fx.FIXTURE_VALID_YEAR, fx.FIXTURE_TEST_YEAR,
         numeric=numeric, max_iter=max_iter)
-    path = scratch_path(spark, "model")
-    model.save_model(fitted, path)
-    loaded = model.load_model(path)
+    model.save_model(fitted, scratch_path(spark, "model"))
     test = split.where(F.col("split") == "test")
-    scored = model.score(loaded, test, keep=["species", "stateProvince", "year", "week_of_year",
+    scored = model.score(fitted, test, keep=["species", "stateProvince", "year", "week_of_year",
                                              "present_rel_10pct_peak"])
     return fx.round_doubles(scored.withColumnRenamed("present_rel_10pct_peak", "y_true"))
 
 
 def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit on the train years, save, load, score the test year."""
+    """Fit on the train years, save the pipeline, score the test year."""
     from tessera.dims import MAX_ITER_BASE
     from tessera.operators import model
     return _fit_and_score(spark, fx.fixture_history(spark, sf_dir), model.BASE_NUMERIC, MAX_ITER_BASE)
@@ -220,6 +218,31 @@ def train_score_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit_and_score(spark, feats, model.BASE_NUMERIC + WEEKLY_COVARIATES + LAGGED_COVARIATES, MAX_ITER_WEATHER)
 
 
+def presence_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M16/M17 with the fitted covariate model: every requested pair is
+    assembled (activity, corridor, recent covariates, season), mapped to the
+    training schema and scored in one transform, then the rules apply.
+    Request entities unknown to the entity dimension are imputed with the
+    training mode, as the fitted imputer does."""
+    from tessera.dims import MAX_ITER_WEATHER, species_dim
+    from tessera.operators import model, score
+    from tessera.schemas import LAGGED_COVARIATES, WEEKLY_COVARIATES
+    weekly = covariates.weekly_covariates(tables.daily_covariates(spark, sf_dir))
+    feats_hist = features.add_history(covariates.merge_covariates(fx.fixture_panel(spark, sf_dir), weekly))
+    fitted, _ = model.fit_presence_model(
+        feats_hist, "present_rel_10pct_peak", fx.FIXTURE_TRAIN_END_YEAR, fx.FIXTURE_VALID_YEAR,
+        fx.FIXTURE_TEST_YEAR, numeric=model.BASE_NUMERIC + WEEKLY_COVARIATES + LAGGED_COVARIATES,
+        max_iter=MAX_ITER_WEATHER)
+    reps = _reports(spark, sf_dir)
+    act = recent.recent_activity(reps, fx.FIXTURE_AS_OF)
+    requests = reps.select("state", "comName").distinct()
+    corridor = recent.corridor_signal(requests, act, region_dim(spark))
+    weather = recent.recent_covariates(tables.daily_covariates(spark, sf_dir, by_state=True), region="state")
+    feats = score.assemble_features(requests, act, corridor, weather, fx.FIXTURE_AS_OF)
+    scored = score.model_probability(fitted, score.to_model_features(feats, species_dim(spark)))
+    return fx.round_doubles(score.apply_rules(scored))
+
+
 # --- lake and payloads (B1, S6, S7) ---------------------------------------------
 
 def lake_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,6 +330,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scaled_features": scaled_features,
     "train_score": train_score,
     "train_score_weather": train_score_weather,
+    "presence_model_scores": presence_model_scores,
     "lake_roundtrip": lake_roundtrip,
     "lake_spring_counts": lake_spring_counts,
     "array_payload": array_payload,

@@ -78,3 +78,16 @@ def test_empty_split_raises(spark):
 def test_mode_ties_take_smallest(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,), ("c",)], "c string")
     assert model.mode_values(df, ["c"]).first().mode_value == "a"
+
+
+def test_save_load_same_scores(spark):
+    from tessera.session import scratch_path
+    pdf = make_frame(seed=3)
+    df = spark.createDataFrame(pdf)
+    fitted, _ = model.fit_presence_model(df, "y", 2000, 2001, 2002, categorical=["cat"], numeric=["x1", "x2"],
+                                         max_iter=100)
+    path = scratch_path(spark, "model-test")
+    model.save_model(fitted, path)
+    a = model.score(fitted, df).select("y_proba").collect()
+    b = model.score(model.load_model(path), df).select("y_proba").collect()
+    assert a == b
