@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 AUC_BINS = 1 << 16
 
 
@@ -31,18 +33,20 @@ def _keys(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def auc_by_group(scored: DataFrame, by=None, y: str = "y_true", p: str = "y_proba",
-                 bins: int = AUC_BINS) -> DataFrame:
-    """Exact ROC-AUC per group (one row per group, column roc_auc)."""
-    keys = _keys(by)
-    base = scored if keys else scored.withColumn("_all", F.lit(0))
-    keys = keys or ["_all"]
+def _score_groups(scored: DataFrame, keys, y: str, yhat: str | None, p: str) -> DataFrame:
+    """The only pass over the scored rows: positives and negatives per
+    (group, score[, predicted class]), partially aggregated map-side, then
+    materialized - the metric plan reads it four times with different
+    column needs, which would otherwise replay the scoring plan each time."""
     yv = F.col(y).cast("long")
-    g = base.groupBy(*keys, F.col(p).cast("double").alias("_p")).agg(
-        F.sum(yv).alias("_pos"), F.sum(F.lit(1) - yv).alias("_neg"))
-    stats = g.groupBy(*keys).agg(
-        F.min("_p").alias("_lo"), F.max("_p").alias("_hi"),
-        F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
+    extra = [F.col(yhat).cast("int").alias("_h")] if yhat else []
+    return materialize(scored.groupBy(*keys, F.col(p).cast("double").alias("_p"), *extra).agg(
+        F.sum(yv).alias("_pos"), F.sum(F.lit(1) - yv).alias("_neg")))
+
+
+def _auc_credit(g: DataFrame, stats: DataFrame, keys, bins: int) -> DataFrame:
+    """Per group: sum over positives of (negatives scored below + half the
+    negatives scored equal), from the (group, score) counts ``g``."""
     span = F.col("_hi") - F.col("_lo")
     binned = g.join(stats.select(*keys, "_lo", "_hi"), keys).withColumn(
         "_bin",
@@ -52,17 +56,46 @@ def auc_by_group(scored: DataFrame, by=None, y: str = "y_true", p: str = "y_prob
     below_bin = F.coalesce(F.sum("_bin_neg").over(
         Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per_bin = per_bin.select(*keys, "_bin", below_bin.alias("_neg_below_bin"))
-    within = F.coalesce(F.sum("_neg").over(
-        Window.partitionBy(*keys, "_bin").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # negatives up to and including this score inside the bin (all rows of a
+    # tied score included), and the negatives at exactly this score
+    upto = F.sum("_neg").over(Window.partitionBy(*keys, "_bin").orderBy("_p")
+                              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    tie = F.sum("_neg").over(Window.partitionBy(*keys, "_bin", "_p"))
     ranked = binned.join(per_bin, keys + ["_bin"]).select(
-        *keys, "_pos", "_neg", (F.col("_neg_below_bin") + within).alias("_below"))
-    credit = ranked.groupBy(*keys).agg(
-        F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") * 0.5)).alias("_credit"))
-    out = credit.join(stats.select(*keys, "_P", "_N"), keys).select(
-        *keys,
-        F.when((F.col("_P") > 0) & (F.col("_N") > 0),
-               F.col("_credit") / (F.col("_P").cast("double") * F.col("_N").cast("double"))).alias("roc_auc"))
-    return out.drop("_all") if by is None or not _keys(by) else out
+        *keys, "_pos", (F.col("_neg_below_bin") + upto - tie * 0.5).alias("_below"))
+    return ranked.groupBy(*keys).agg(F.sum(F.col("_pos") * F.col("_below")).alias("_credit"))
+
+
+def _stats_aggs(with_confusion: bool):
+    aggs = [F.min("_p").alias("_lo"), F.max("_p").alias("_hi"),
+            F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N")]
+    if with_confusion:
+        h = F.col("_h")
+        aggs += [
+            (F.sum("_pos") + F.sum("_neg")).alias("n_rows"),
+            F.sum(F.when(h == 0, F.col("_neg")).otherwise(0)).alias("tn"),
+            F.sum(F.when(h == 1, F.col("_neg")).otherwise(0)).alias("fp"),
+            F.sum(F.when(h == 0, F.col("_pos")).otherwise(0)).alias("fn"),
+            F.sum(F.when(h == 1, F.col("_pos")).otherwise(0)).alias("tp"),
+        ]
+    return aggs
+
+
+def _auc_column():
+    return F.when((F.col("_P") > 0) & (F.col("_N") > 0),
+                  F.col("_credit") / (F.col("_P").cast("double") * F.col("_N").cast("double")))
+
+
+def auc_by_group(scored: DataFrame, by=None, y: str = "y_true", p: str = "y_proba",
+                 bins: int = AUC_BINS) -> DataFrame:
+    """Exact ROC-AUC per group (one row per group, column roc_auc)."""
+    keys = _keys(by)
+    base = scored if keys else scored.withColumn("_all", F.lit(0))
+    k = keys or ["_all"]
+    g = _score_groups(base, k, y, None, p)
+    stats = g.groupBy(*k).agg(*_stats_aggs(False))
+    out = _auc_credit(g, stats, k, bins).join(stats, k).select(*k, _auc_column().alias("roc_auc"))
+    return out if keys else out.drop("_all")
 
 
 def confusion_aggs(y: str = "y_true", yhat: str = "y_pred"):
@@ -94,25 +127,31 @@ def metric_columns():
 
 
 def grouped_metrics(scored: DataFrame, by, y: str = "y_true", yhat: str = "y_pred", p: str = "y_proba",
-                    flag_name: str | None = None, flag_members=None) -> DataFrame:
+                    flag_name: str | None = None, flag_members=None, bins: int = AUC_BINS) -> DataFrame:
     """n_rows, positive_rate, accuracy, precision, recall, f1, roc_auc,
-    tn, fp, fn, tp per group, plus an optional membership flag (P9)."""
+    tn, fp, fn, tp per group, plus an optional membership flag (P9).
+
+    The scored rows are read once: they collapse to (group, score, predicted
+    class) counts, from which both the confusion counts and the AUC follow.
+    """
     keys = _keys(by)
-    counts = scored.groupBy(*keys).agg(*confusion_aggs(y, yhat))
-    auc = auc_by_group(scored, keys, y, p)
-    out = counts.join(auc, keys, "left").select(
-        *keys, "n_rows", "positive_rate", *metric_columns(), "roc_auc", "tn", "fp", "fn", "tp")
+    base = scored if keys else scored.withColumn("_all", F.lit(0))
+    k = keys or ["_all"]
+    g = _score_groups(base, k, y, yhat, p)
+    stats = g.groupBy(*k).agg(*_stats_aggs(True))
+    out = _auc_credit(g, stats, k, bins).join(stats, k, "right").select(
+        *k, F.col("n_rows").cast("long").alias("n_rows"),
+        _ratio(F.col("_P"), F.col("n_rows")).alias("positive_rate"),
+        *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "tn")], _auc_column().alias("roc_auc"))
+    out = out.select(*k, "n_rows", "positive_rate", *metric_columns(), "roc_auc", "tn", "fp", "fn", "tp")
     if flag_name:
         out = out.withColumn(flag_name, F.col(keys[0]).isin(list(flag_members or [])))
-    return out
+    return out if keys else out.drop("_all")
 
 
 def overall_metrics(scored: DataFrame, y: str = "y_true", yhat: str = "y_pred", p: str = "y_proba") -> DataFrame:
     """M11-M13 + M10 over the whole frame: one row."""
-    counts = scored.agg(*confusion_aggs(y, yhat)).withColumn("_all", F.lit(0))
-    auc = auc_by_group(scored.withColumn("_all", F.lit(0)), ["_all"], y, p)
-    return counts.join(auc, "_all", "left").select(
-        "n_rows", "positive_rate", *metric_columns(), "roc_auc", "tn", "fp", "fn", "tp")
+    return grouped_metrics(scored, None, y, yhat, p)
 
 
 def rank_by_f1(metrics: DataFrame, key: str) -> DataFrame:

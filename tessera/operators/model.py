@@ -29,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import ensure_checkpoint_dir, materialize
 
 ROWS_PER_FIT_PARTITION = 200_000
 
@@ -172,9 +172,8 @@ def fit_presence_model(df: DataFrame, target: str, train_end: int, valid: int, t
     # Every solver iteration is a job over these partitions: size them by rows
     # (about ROWS_PER_FIT_PARTITION each), never above the cluster's parallelism.
     parts = max(1, min(spark.sparkContext.defaultParallelism, math.ceil(sizes["train"] / ROWS_PER_FIT_PARTITION)))
-    fit_input = (train.select(*categorical, *numeric, F.col(target).cast("double").alias("_label"),
-                              w.alias("_weight"))
-                 .repartition(parts).checkpoint(eager=True))
+    fit_input = materialize(train.select(*categorical, *numeric, F.col(target).cast("double").alias("_label"),
+                                         w.alias("_weight")).repartition(parts))
     # Fit the preprocessing stages, keep the assembled vectors in memory for the
     # solver's passes, then fit the classifier alone on them.
     stages = build_pipeline(categorical, numeric, modes, stats, sizes["train"], max_iter).getStages()

@@ -103,3 +103,17 @@ def sized_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) ->
     if n * _row_width(df.schema) <= limit_bytes:
         return F.broadcast(df)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage: the rows are cached, written
+    by a reliable ``checkpoint()`` to the shared checkpoint folder, and the
+    cache is released.  The result reads the checkpoint files, so several
+    consumers (and a retried task after an executor loss) never replay the
+    upstream plan.  Without the cache the checkpoint job would compute the
+    plan a second time."""
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

@@ -55,3 +55,13 @@ def test_pack_and_parse_roundtrip(spark):
     assert packed.count() == 2  # January and February payloads
     back = payloads.parse_daily_payload(packed).select("stateProvince", "date", *payloads.DAILY_VARS)
     assert back.exceptAll(daily).isEmpty() and daily.exceptAll(back).isEmpty()
+
+
+def test_declared_table_schemas_equal_inferred(spark):
+    from pyspark.sql.types import _parse_datatype_string
+
+    from tessera.sources.tables import TABLE_SCHEMAS
+    for name, ddl in TABLE_SCHEMAS.items():
+        inferred = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").schema
+        assert [(f.name, f.dataType) for f in inferred] == \
+               [(f.name, f.dataType) for f in _parse_datatype_string(ddl).fields], name
