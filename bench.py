@@ -2,7 +2,7 @@
 and print one JSON line {"metric", "value", "unit", "queries", "sf"}.
 
 Each query is timed end to end (plan + all jobs + collecting the result to
-the driver).  Before timing, every headline query runs once on the smallest
+the driver).  Before timing, every headline query runs once on smaller
 test tables ($BENCH_WARMUP_DIR, default /root/testdata/sf0.001) so that JVM
 start-up and JIT/codegen compilation are not billed to the measured run;
 set BENCH_WARMUP=0 to time cold.  ``value`` is the sum over the headline

@@ -10,7 +10,9 @@ from tessera.functions.rules import (
     kmh_to_mph,
     migration_warning,
     adjusted_interpretation,
+    fixed_text,
     mm_to_in,
+    percent_text,
     prediction_label,
 )
 
@@ -18,5 +20,5 @@ __all__ = [
     "calendar_year", "iso_week", "week_sin", "week_cos",
     "lenient_timestamp", "normalize_count",
     "interpret_probability", "arrival_window", "migration_warning", "adjusted_interpretation",
-    "prediction_label", "final_interpretation", "c_to_f", "mm_to_in", "kmh_to_mph",
+    "prediction_label", "final_interpretation", "c_to_f", "mm_to_in", "kmh_to_mph", "percent_text", "fixed_text",
 ]

@@ -90,3 +90,13 @@ def mm_to_in(mm) -> Column:
 
 def kmh_to_mph(kmh) -> Column:
     return _c(kmh) * 0.621371
+
+
+def percent_text(p, digits: int = 1) -> Column:
+    """Display text of a probability, e.g. 0.4567 -> '45.7%'."""
+    return F.concat(F.format_number(_c(p) * 100.0, digits), F.lit("%"))
+
+
+def fixed_text(x, digits: int = 1) -> Column:
+    """Display text with ``digits`` decimals and thousands separators."""
+    return F.format_number(_c(x), digits)

@@ -187,7 +187,7 @@ def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.round_doubles(h.select("species", "stateProvince", "year", "week_of_year", "split", *cols))
 
 
-def _fit_and_score(spark: SparkSession, feats: DataFrame, numeric, max_iter: int) -> DataFrame:
+def _fit_and_score(spark: SparkSession, feats: DataFrame, numeric, max_iter: int, rounded: bool = True) -> DataFrame:
     from tessera.operators import model
     from tessera.session import scratch_path
     fitted, split = model.fit_presence_model(
@@ -197,7 +197,8 @@ def _fit_and_score(spark: SparkSession, feats: DataFrame, numeric, max_iter: int
     test = split.where(F.col("split") == "test")
     scored = model.score(fitted, test, keep=["species", "stateProvince", "year", "week_of_year",
                                              "present_rel_10pct_peak"])
-    return fx.round_doubles(scored.withColumnRenamed("present_rel_10pct_peak", "y_true"))
+    scored = scored.withColumnRenamed("present_rel_10pct_peak", "y_true")
+    return fx.round_doubles(scored) if rounded else scored
 
 
 def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,15 +208,29 @@ def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit_and_score(spark, fx.fixture_history(spark, sf_dir), model.BASE_NUMERIC, MAX_ITER_BASE)
 
 
-def train_score_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The covariate variant: history features + 14 weekly covariates."""
+def _weather_scores(spark: SparkSession, sf_dir: str, rounded: bool) -> DataFrame:
     from tessera.dims import MAX_ITER_WEATHER
     from tessera.operators import model
     from tessera.schemas import LAGGED_COVARIATES, WEEKLY_COVARIATES
     weekly = covariates.weekly_covariates(tables.daily_covariates(spark, sf_dir))
     merged = covariates.merge_covariates(fx.fixture_panel(spark, sf_dir), weekly)
     feats = features.add_history(merged)
-    return _fit_and_score(spark, feats, model.BASE_NUMERIC + WEEKLY_COVARIATES + LAGGED_COVARIATES, MAX_ITER_WEATHER)
+    return _fit_and_score(spark, feats, model.BASE_NUMERIC + WEEKLY_COVARIATES + LAGGED_COVARIATES,
+                          MAX_ITER_WEATHER, rounded)
+
+
+def train_score_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The covariate variant: history features + 14 weekly covariates."""
+    return _weather_scores(spark, sf_dir, True)
+
+
+def model_metrics_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B7 with the fitted covariate model: test-year metrics per region with
+    the focus-group flag, best F1 first."""
+    scored = _weather_scores(spark, sf_dir, False)
+    m = metrics.grouped_metrics(scored, "stateProvince", flag_name="is_new_england",
+                                flag_members=fx.FIXTURE_FOCUS_REGIONS)
+    return fx.round_doubles(metrics.rank_by_f1(m, "stateProvince"))
 
 
 def presence_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +255,12 @@ def presence_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     weather = recent.recent_covariates(tables.daily_covariates(spark, sf_dir, by_state=True), region="state")
     feats = score.assemble_features(requests, act, corridor, weather, fx.FIXTURE_AS_OF)
     scored = score.model_probability(fitted, score.to_model_features(feats, species_dim(spark)))
-    return fx.round_doubles(score.apply_rules(scored))
+    from tessera.functions.rules import fixed_text, percent_text
+    out = score.apply_rules(scored)
+    return fx.round_doubles(out.select(
+        "*", percent_text("probability_present").alias("probability_text"),
+        fixed_text("temp_mean_f").alias("temp_mean_f_text"),
+        fixed_text("lag_1_obs_count", 0).alias("local_last_7d_text")))
 
 
 # --- lake and payloads (B1, S6, S7) ---------------------------------------------
@@ -331,6 +351,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "train_score": train_score,
     "train_score_weather": train_score_weather,
     "presence_model_scores": presence_model_scores,
+    "model_metrics_region": model_metrics_region,
     "lake_roundtrip": lake_roundtrip,
     "lake_spring_counts": lake_spring_counts,
     "array_payload": array_payload,

@@ -91,3 +91,8 @@ def test_arrival_and_northern_rules(spark):
 def test_unit_conversions(spark):
     r = spark.range(1).select(rules.c_to_f(F.lit(100.0)), rules.mm_to_in(F.lit(25.4)), rules.kmh_to_mph(F.lit(10.0))).first()
     assert r[0] == 212.0 and r[1] == 1.0 and abs(r[2] - 6.21371) < 1e-12
+
+
+def test_display_text(spark):
+    r = spark.range(1).select(rules.percent_text(F.lit(0.4567)), rules.fixed_text(F.lit(12345.678), 0)).first()
+    assert r[0] == "45.7%" and r[1] == "12,346"
