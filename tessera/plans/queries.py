@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.dims import region_dim
-from tessera.operators import covariates, features, metrics, panel, profile, recent
+from tessera.dims import MAX_ITER_BASE, MAX_ITER_WEATHER, region_dim, species_dim
+from tessera.functions.rules import fixed_text, percent_text
+from tessera.operators import covariates, features, metrics, model, panel, profile, recent, score
 from tessera.plans import fixture as fx
-from tessera.sources import tables
+from tessera.schemas import LAGGED_COVARIATES, WEEKLY_COVARIATES
+from tessera.session import scratch_path
+from tessera.sources import lake, payloads, tables
+from tessera.streaming.activity import run_fixture_stream
 
 
 # --- panel (B2) -------------------------------------------------------------
@@ -89,7 +93,6 @@ def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- splits and metrics (B6-B8) ---------------------------------------------
 
 def time_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.operators import model
     p = fx.fixture_panel(spark, sf_dir)
     s = model.with_split(p, fx.FIXTURE_TRAIN_END_YEAR, fx.FIXTURE_VALID_YEAR, fx.FIXTURE_TEST_YEAR)
     return fx.round_doubles(model.split_counts(s, "present_rel_10pct_peak"))
@@ -145,7 +148,6 @@ def recent_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def presence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.operators import score
     reps = _reports(spark, sf_dir)
     act = recent.recent_activity(reps, fx.FIXTURE_AS_OF)
     requests = reps.select("state", "comName").distinct()
@@ -158,26 +160,22 @@ def presence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- model (B6) ---------------------------------------------------------------
 
 def _train_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.operators import model
     h = fx.fixture_history(spark, sf_dir)
     s = model.with_split(h, fx.FIXTURE_TRAIN_END_YEAR, fx.FIXTURE_VALID_YEAR, fx.FIXTURE_TEST_YEAR)
     return s.where(F.col("split") == "train")
 
 
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.operators import model
     return fx.round_doubles(model.class_weights(_train_frame(spark, sf_dir), "present_rel_10pct_peak"))
 
 
 def mode_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.operators import model
     return model.mode_values(_train_frame(spark, sf_dir), model.BASE_CATEGORICAL)
 
 
 def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4/M5 applied: every split row, numeric features zero-imputed and
     standardised with the training statistics."""
-    from tessera.operators import model
     h = model.with_split(fx.fixture_history(spark, sf_dir), fx.FIXTURE_TRAIN_END_YEAR,
                          fx.FIXTURE_VALID_YEAR, fx.FIXTURE_TEST_YEAR).where(F.col("split").isNotNull())
     stats = {r["feature"]: (r["mean"], r["scale"])
@@ -188,8 +186,6 @@ def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fit_and_score(spark: SparkSession, feats: DataFrame, numeric, max_iter: int, rounded: bool = True) -> DataFrame:
-    from tessera.operators import model
-    from tessera.session import scratch_path
     fitted, split = model.fit_presence_model(
         feats, "present_rel_10pct_peak", fx.FIXTURE_TRAIN_END_YEAR, fx.FIXTURE_VALID_YEAR, fx.FIXTURE_TEST_YEAR,
         numeric=numeric, max_iter=max_iter)
@@ -203,15 +199,10 @@ def _fit_and_score(spark: SparkSession, feats: DataFrame, numeric, max_iter: int
 
 def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on the train years, save the pipeline, score the test year."""
-    from tessera.dims import MAX_ITER_BASE
-    from tessera.operators import model
     return _fit_and_score(spark, fx.fixture_history(spark, sf_dir), model.BASE_NUMERIC, MAX_ITER_BASE)
 
 
 def _weather_scores(spark: SparkSession, sf_dir: str, rounded: bool) -> DataFrame:
-    from tessera.dims import MAX_ITER_WEATHER
-    from tessera.operators import model
-    from tessera.schemas import LAGGED_COVARIATES, WEEKLY_COVARIATES
     weekly = covariates.weekly_covariates(tables.daily_covariates(spark, sf_dir))
     merged = covariates.merge_covariates(fx.fixture_panel(spark, sf_dir), weekly)
     feats = features.add_history(merged)
@@ -239,9 +230,6 @@ def presence_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     training schema and scored in one transform, then the rules apply.
     Request entities unknown to the entity dimension are imputed with the
     training mode, as the fitted imputer does."""
-    from tessera.dims import MAX_ITER_WEATHER, species_dim
-    from tessera.operators import model, score
-    from tessera.schemas import LAGGED_COVARIATES, WEEKLY_COVARIATES
     weekly = covariates.weekly_covariates(tables.daily_covariates(spark, sf_dir))
     feats_hist = features.add_history(covariates.merge_covariates(fx.fixture_panel(spark, sf_dir), weekly))
     fitted, _ = model.fit_presence_model(
@@ -255,7 +243,6 @@ def presence_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     weather = recent.recent_covariates(tables.daily_covariates(spark, sf_dir, by_state=True), region="state")
     feats = score.assemble_features(requests, act, corridor, weather, fx.FIXTURE_AS_OF)
     scored = score.model_probability(fitted, score.to_model_features(feats, species_dim(spark)))
-    from tessera.functions.rules import fixed_text, percent_text
     out = score.apply_rules(scored)
     return fx.round_doubles(out.select(
         "*", percent_text("probability_present").alias("probability_text"),
@@ -269,8 +256,6 @@ def lake_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations landed as CSV, read with the declared
     schema, projected, written as a year/month lake, read back with
     partition discovery, profiled."""
-    from tessera.session import scratch_path
-    from tessera.sources import lake
     root = scratch_path(spark, "lake")
     lake.land_csv(lake.as_observation_rows(tables.observations(spark, sf_dir)), f"{root}/raw")
     back = lake.build_lake(spark, f"{root}/raw", f"{root}/lake")
@@ -280,8 +265,6 @@ def lake_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lake_spring_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S2 pruning: the panel's weekly counts read from the lake with the
     spring months as a partition filter."""
-    from tessera.session import scratch_path
-    from tessera.sources import lake
     root = scratch_path(spark, "lake")
     lake.write_lake(lake.project_observations(lake.as_observation_rows(tables.observations(spark, sf_dir))), root)
     return panel.weekly_counts(lake.read_lake(spark, root), entities=fx.FIXTURE_ENTITIES, months=fx.FIXTURE_MONTHS)
@@ -289,8 +272,6 @@ def lake_spring_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def array_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily measures landed as parallel-array payloads and parsed back."""
-    from tessera.session import scratch_path
-    from tessera.sources import payloads
     path = scratch_path(spark, "payload")
     payloads.land_json(payloads.pack_daily_payload(tables.daily_covariates(spark, sf_dir)), path)
     return fx.round_doubles(payloads.parse_daily_payload(payloads.read_daily_payload(spark, path)))
@@ -299,8 +280,6 @@ def array_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_payload_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports landed as JSON objects, read with the declared schema,
     normalised and binned (equals ``recent_activity``)."""
-    from tessera.session import scratch_path
-    from tessera.sources import payloads
     path = scratch_path(spark, "reports")
     payloads.land_json(tables.recent_observations(spark, sf_dir), path)
     reps = recent.prepare_reports(payloads.read_reports_json(spark, path))
@@ -316,7 +295,6 @@ STREAM_ANCHOR = "2024-01-01"
 def stream_recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1 on landed report files: two overlapping deliveries, watermark
     1 day, 7-day bins from 2024-01-01; only closed bins are emitted."""
-    from tessera.streaming.activity import run_fixture_stream
     return run_fixture_stream(spark, tables.recent_observations(spark, sf_dir), STREAM_DELAY, STREAM_ANCHOR,
                               split_at="2024-01-20 00:00:00", overlap_from="2024-01-15 00:00:00")
 

@@ -98,10 +98,11 @@ def sized_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) ->
     on its real row count, not on an optimizer estimate.  Beyond the limit the
     frame is returned as is and the join stays a shuffle join.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = cached.count()
     if n * _row_width(df.schema) <= limit_bytes:
-        return F.broadcast(df)
+        return F.broadcast(cached)
+    cached.unpersist()
     return df
 
 

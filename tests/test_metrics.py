@@ -73,3 +73,9 @@ def test_error_summary_and_flags(spark):
     es = metrics.error_summary(m, "g").collect()
     assert all(r.total_errors == r.fp + r.fn for r in es)
     assert [r.total_errors for r in es] == sorted([r.total_errors for r in es], reverse=True)
+
+
+def test_confusion_counts_cover_every_row(spark):
+    pdf = scored_frame(seed=11, n=500)
+    for r in metrics.grouped_metrics(spark.createDataFrame(pdf), "g").collect():
+        assert r.tp + r.fp + r.fn + r.tn == r.n_rows
