@@ -57,8 +57,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the cluster.
 
     The folder named by ``spark.checkpoint.dir`` (or already set on the
-    SparkContext) is used as is.  Only when nothing is configured - local
-    tests - a folder under the system temp dir is created and registered.
+    SparkContext) is used as is.  Only when nothing is configured and the
+    master is local (tests, a laptop) a folder under the system temp dir is
+    created; on a cluster an unset folder is an error, since a machine-local
+    path is not visible to the executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -66,6 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
