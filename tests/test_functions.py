@@ -15,9 +15,11 @@ def py_count(value):
     if s.upper() == "X" or s == "":
         return 1
     try:
-        return int(float(s))
+        n = int(float(s))
     except (ValueError, OverflowError):
         return 1
+    # counts are 64-bit; a value outside that range counts as a bare report
+    return n if -(2 ** 63) <= n < 2 ** 63 else 1
 
 
 EDGE = [None, "", " x ", "X", "5", " 7 ", "2.7", "1e3", "abc", "5d", "nan", "inf", "-3", "1_000",
@@ -96,3 +98,22 @@ def test_unit_conversions(spark):
 def test_display_text(spark):
     r = spark.range(1).select(rules.percent_text(F.lit(0.4567)), rules.fixed_text(F.lit(12345.678), 0)).first()
     assert r[0] == "45.7%" and r[1] == "12,346"
+
+
+def test_normalize_count_random_strings(spark):
+    """Property: the column expression equals the Python rule on strings
+    drawn from the characters that matter to number syntax."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    alphabet = st.sampled_from(list("0123456789._eE+- xXdfn\t"))
+    texts = st.lists(st.text(alphabet, min_size=0, max_size=8), min_size=200, max_size=200)
+
+    @settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+    @given(texts)
+    def check(values):
+        df = spark.createDataFrame([(v,) for v in values], "v string")
+        got = [r[0] for r in df.select(counts.normalize_count("v")).collect()]
+        assert got == [py_count(v) for v in values]
+
+    check()
