@@ -26,7 +26,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir, materialize
@@ -153,17 +153,49 @@ def build_pipeline(categorical, numeric, modes: dict, stats: dict, n_train: int,
     return Pipeline(stages=stages)
 
 
+def fitted_constants(s: DataFrame, target: str, categorical, numeric):
+    """Everything the fit needs from the data in two passes over the split
+    frame: (1) one aggregate with the split sizes, the training class counts
+    and the mean / population std of every zero-imputed numeric column;
+    (2) one GROUPING SETS count giving each categorical column's most
+    frequent training value (ties -> smallest)."""
+    is_train = F.col("split") == "train"
+    t = F.col(target).cast("int")
+    aggs = [F.count_if(F.col("split") == x).alias(f"n_{x}") for x in ("train", "valid", "test")]
+    aggs += [F.count_if(is_train & (t == 0)).alias("c0"), F.count_if(is_train & (t == 1)).alias("c1")]
+    for c in numeric:
+        v = F.when(is_train, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+        aggs += [F.avg(v).alias(f"m__{c}"), F.stddev_pop(v).alias(f"s__{c}")]
+    row = s.agg(*aggs).first()
+    sizes = {x: row[f"n_{x}"] for x in ("train", "valid", "test")}
+    if any(v == 0 for v in sizes.values()):
+        raise ValueError(f"One of the splits is empty: {sizes}")
+    n = sizes["train"]
+    weights = {lab: n / (2.0 * row[c]) for lab, c in ((0, "c0"), (1, "c1")) if row[c]}
+    stats = {c: (row[f"m__{c}"], row[f"s__{c}"] if row[f"s__{c}"] else 1.0) for c in numeric}
+    modes = {c: None for c in categorical}
+    if categorical:
+        train = s.where(is_train)
+        counted = (train.groupingSets([[c] for c in categorical], *categorical)
+                   .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_n")))
+        value = F.coalesce(*[F.col(c).cast("string") for c in categorical])
+        which = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in categorical])
+        ranked = counted.where(value.isNotNull()).select(
+            which.alias("_col"), value.alias("_val"), "_n",
+            F.row_number().over(Window.partitionBy("_gid").orderBy(F.desc("_n"), F.asc(value))).alias("_rk"))
+        for r in ranked.where(F.col("_rk") == 1).collect():
+            modes[r["_col"]] = r["_val"]
+    return sizes, weights, stats, modes
+
+
 def fit_presence_model(df: DataFrame, target: str, train_end: int, valid: int, test: int,
                        categorical=None, numeric=None, max_iter: int = 2000):
     """Split, guard, fit.  Returns (PipelineModel, split frame)."""
     categorical = list(BASE_CATEGORICAL if categorical is None else categorical)
     numeric = list(BASE_NUMERIC if numeric is None else numeric)
     s = with_split(df, train_end, valid, test).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = check_splits(s, target)
+    sizes, weights, stats, modes = fitted_constants(s, target, categorical, numeric)
     train = s.where(F.col("split") == "train")
-    modes = {r["column_name"]: r["mode_value"] for r in mode_values(train, categorical).collect()} if categorical else {}
-    stats = {r["feature"]: (r["mean"], r["scale"]) for r in scaler_stats(train, numeric).collect()}
-    weights = {r["label"]: r["weight"] for r in class_weights(train, target).collect()}
     w = F.lit(0.0)
     for lab, wt in weights.items():
         w = F.when(F.col(target).cast("int") == lab, F.lit(float(wt))).otherwise(w)

@@ -80,13 +80,14 @@ def zero_activity(requests: DataFrame, activity: DataFrame, keys=("state", "comN
                     *[F.coalesce(F.col(c), F.lit(0).cast(activity.schema[c].dataType)).alias(c) for c in cols])
 
 
-def check_known(requests: DataFrame, dim: DataFrame, key: str = "state", dim_key: str = "state") -> DataFrame:
+def check_known(requests: DataFrame, dim: DataFrame, key: str = "state", dim_key: str = "state",
+                what: str = "state") -> DataFrame:
     """J-4: a lookup whose unmatched key is an error.  Returns ``requests``
     with the check compiled into the plan (raise_error in the task that
     meets an unknown key), so no extra job is run."""
     d = F.broadcast(dim.select(F.col(dim_key).alias("_known")).distinct())
     j = requests.join(d, F.col(key) == F.col("_known"), "left")
-    guard = fail_when(F.col("_known").isNull(), F.concat(F.lit("Unsupported state: "), F.col(key).cast("string")))
+    guard = fail_when(F.col("_known").isNull(), F.concat(F.lit(f"Unsupported {what}: "), F.col(key).cast("string")))
     return j.where(F.coalesce(guard.isNull(), F.lit(True))).drop("_known")
 
 

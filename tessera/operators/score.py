@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules
 from tessera.functions.calendar import week_cos, week_sin
-from tessera.operators.recent import zero_activity
+from tessera.operators.recent import check_known, zero_activity
 
 
 def assemble_features(requests: DataFrame, activity: DataFrame, corridor: DataFrame, weather: DataFrame,
@@ -70,10 +70,16 @@ def apply_rules(df: DataFrame, state: str = "state", entity: str = "comName") ->
 
 
 def to_model_features(feats: DataFrame, species_dim: DataFrame, region: str = "state",
-                      entity: str = "comName") -> DataFrame:
+                      entity: str = "comName", strict: bool = True) -> DataFrame:
     """Rename the assembled request features to the training schema:
     ``species`` = scientific name of the requested common name (lookup in the
-    broadcast entity dimension), ``stateProvince`` = region."""
+    broadcast entity dimension), ``stateProvince`` = region.
+
+    ``strict`` (J-4): a requested name missing from the dimension raises; when
+    off, its ``species`` is NULL and the fitted imputer gives it the training
+    mode."""
+    if strict:
+        feats = check_known(feats, species_dim, key=entity, dim_key="common_name", what="entity")
     names = F.broadcast(species_dim.select(F.col("common_name").alias(entity), F.col("scientific_name")))
     return (feats.join(names, entity, "left")
             .withColumn("species", F.col("scientific_name"))

@@ -91,3 +91,25 @@ def test_save_load_same_scores(spark):
     a = model.score(fitted, df).select("y_proba").collect()
     b = model.score(model.load_model(path), df).select("y_proba").collect()
     assert a == b
+
+
+def test_fitted_constants_match_separate_jobs(spark):
+    pdf = make_frame(seed=4)
+    s = model.with_split(spark.createDataFrame(pdf), 2000, 2001, 2002)
+    sizes, weights, stats, modes = model.fitted_constants(s, "y", ["cat"], ["x1", "x2"])
+    train = s.where("split = 'train'")
+    assert sizes == {r.split: r.n_rows for r in model.split_counts(s, "y").collect()}
+    assert weights == {r.label: r.weight for r in model.class_weights(train, "y").collect()}
+    for r in model.scaler_stats(train, ["x1", "x2"]).collect():
+        assert abs(stats[r.feature][0] - r.mean) < 1e-12 and abs(stats[r.feature][1] - r.scale) < 1e-12
+    assert modes == {r.column_name: r.mode_value for r in model.mode_values(train, ["cat"]).collect()}
+
+
+def test_unknown_entity_raises_when_strict(spark):
+    from tessera.dims import species_dim
+    from tessera.operators import score
+    feats = spark.createDataFrame([("Georgia", "Yellow Warbler"), ("Georgia", "Dodo")], "state string, comName string")
+    with pytest.raises(Exception, match="Unsupported entity: Dodo"):
+        score.to_model_features(feats, species_dim(spark)).collect()
+    lax = score.to_model_features(feats, species_dim(spark), strict=False).collect()
+    assert {r.comName: r.species for r in lax} == {"Yellow Warbler": "Setophaga petechia", "Dodo": None}
