@@ -28,11 +28,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.calendar import iso_week
-from tessera.session import materialize
 
 # Largest axis we bind into a plan as a literal array.
 MAX_LITERAL_REGIONS = 50_000
@@ -100,8 +100,10 @@ def dense_panel(counts: DataFrame, entity: str = "species", region: str = "state
     Axes are the distinct values present in ``counts``; all (year, week)
     combinations are produced, even those that never occur together.
     """
-    # read three times (axes, region list, cells): computed once, lineage cut
-    counts = materialize(counts)
+    # read three times (axes, region list, cells): computed once and cached.
+    # Its lineage is short (scan -> join -> aggregate), so a lost block is
+    # simply recomputed; no checkpoint needed here.
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     years, weeks, n_regions = _time_axes(counts, region, year, week)
     pairs = _entity_region_pairs(counts, entity, region, n_regions)
 
