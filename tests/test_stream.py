@@ -34,3 +34,19 @@ def test_stream_equals_batch_with_repeats(spark):
 def test_window_offset():
     assert activity.window_offset("2024-01-01") == "4 days"
     assert activity.window_offset("1970-01-01") == "0 days"
+
+
+def test_report_after_emitted_bin_is_not_counted(spark):
+    """A second delivery that arrives after the watermark has closed a bin
+    does not change the emitted bin (append mode: emitted bins are final)."""
+    first = [(1, "Georgia", "x", "2024-01-02 10:00", "2"), (2, "Georgia", "x", "2024-01-20 10:00", "1")]
+    late = [(3, "Georgia", "x", "2024-01-03 10:00", "5")]
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/t-{uuid.uuid4().hex[:8]}"
+    spark.createDataFrame(first, RAW).write.json(f"{root}/landing")
+    activity.activity_bins_stream(spark, f"{root}/landing", f"{root}/sink", f"{root}/ckpt", delay="1 day",
+                                  anchor="2024-01-01")
+    spark.createDataFrame(late, RAW).write.mode("append").json(f"{root}/landing")
+    activity.activity_bins_stream(spark, f"{root}/landing", f"{root}/sink", f"{root}/ckpt", delay="1 day",
+                                  anchor="2024-01-01")
+    rows = {(r.bin_start.day, r.obs_count) for r in spark.read.parquet(f"{root}/sink").collect()}
+    assert (1, 2) in rows and not any(d == 1 and n != 2 for d, n in rows)
