@@ -65,3 +65,24 @@ def test_declared_table_schemas_equal_inferred(spark):
         inferred = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").schema
         assert [(f.name, f.dataType) for f in inferred] == \
                [(f.name, f.dataType) for f in _parse_datatype_string(ddl).fields], name
+
+
+def test_preview_and_schema_rows(spark):
+    from tessera.operators import profile
+    from tessera.sources import tables
+    obs = tables.observations(spark, "/root/testdata/sf0.001")
+    assert len(profile.preview(obs).collect()) == 5
+    rows = {r.column_name: (r.column_type, r.nullable) for r in profile.describe_schema(obs).collect()}
+    assert rows["eventDate"][0] == "date" and rows["year"][0] == "int" and rows["species"][0] == "string"
+
+
+def test_write_panel_and_table_roundtrip(spark):
+    from tessera.operators import panel as P
+    from tessera.plans import fixture as fx
+    p = fx.fixture_panel(spark, "/root/testdata/sf0.001")
+    root = _root(spark)
+    P.write_panel(p, f"{root}/panel")
+    back = spark.read.parquet(f"{root}/panel")
+    assert back.count() == p.count() and back.exceptAll(p.select(*back.columns)).isEmpty()
+    lake.write_table(back.select("species", "obs_count"), f"{root}/t", sort_cols=["species"])
+    assert spark.read.parquet(f"{root}/t").count() == p.count()
