@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import rules
 from tessera.functions.calendar import week_cos, week_sin
 from tessera.operators.recent import check_known, zero_activity
+from tessera.schemas import require_columns
 
 
 def assemble_features(requests: DataFrame, activity: DataFrame, corridor: DataFrame, weather: DataFrame,
@@ -25,8 +26,8 @@ def assemble_features(requests: DataFrame, activity: DataFrame, corridor: DataFr
     req = requests.select(region, entity).distinct()
     feats = zero_activity(req, activity, (region, entity))
     feats = feats.join(corridor, [region, entity], "left")
-    wx = weather.withColumnRenamed(weather.columns[0], region) if region not in weather.columns else weather
-    feats = feats.join(wx, region, "left")
+    require_columns(weather, [region], "recent covariates")
+    feats = feats.join(weather, region, "left")
     week = F.weekofyear(t0)
     return feats.select("*", week.alias("week_of_year"), week_sin(week).alias("week_sin"),
                         week_cos(week).alias("week_cos"))
