@@ -34,19 +34,25 @@ def window_offset(anchor: str, bin_days: int = 7) -> str:
 def activity_bins_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
                          delay: str = "30 days", bin_days: int = 7, anchor: str = "2024-01-01",
                          region: str = "state", entity: str = "comName", key: str = "obs_id",
-                         state_partitions: int | None = None):
+                         state_partitions: int | None = None, max_files_per_trigger: int | None = None):
     """Start the stream (availableNow) and block until the landed files are
     processed; returns the finished StreamingQuery.
 
     ``state_partitions`` is the number of state-store partitions of the
     de-duplication and the windowed aggregate (fixed by the first run of a
     checkpoint).  Every micro-batch commits each of them, so the default is
-    the cluster's parallelism rather than the batch shuffle width."""
+    the cluster's parallelism rather than the batch shuffle width.
+    ``max_files_per_trigger`` bounds each micro-batch of a large backlog
+    (reports older than the watermark at their batch are then dropped, so
+    the delay must cover how out of order the files arrive)."""
     s = spark.newSession()
     s.conf.set("spark.sql.session.timeZone", "UTC")
     s.conf.set("spark.sql.shuffle.partitions",
                str(state_partitions or spark.sparkContext.defaultParallelism))
-    raw = s.readStream.schema(REPORT_LANDING_SCHEMA).json(landing)
+    reader = s.readStream.schema(REPORT_LANDING_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    raw = reader.json(landing)
     rep = prepare_reports(raw).where(F.col("obs_ts").isNotNull())
     rep = rep.withColumn("event_time", F.col("obs_ts").cast("timestamp"))
     w = F.window("event_time", f"{bin_days} days", startTime=window_offset(anchor, bin_days))

@@ -50,3 +50,17 @@ def test_report_after_emitted_bin_is_not_counted(spark):
                                   anchor="2024-01-01")
     rows = {(r.bin_start.day, r.obs_count) for r in spark.read.parquet(f"{root}/sink").collect()}
     assert (1, 2) in rows and not any(d == 1 and n != 2 for d, n in rows)
+
+
+def test_bounded_micro_batches_give_same_bins(spark):
+    rows = [(i, "Georgia", "x", f"2024-01-{1 + i % 20:02d} 08:00", "1") for i in range(60)]
+    df = spark.createDataFrame(rows, RAW).repartition(6)
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/t-{uuid.uuid4().hex[:8]}"
+    df.orderBy("obsDt").coalesce(1).write.json(f"{root}/landing")
+    activity.activity_bins_stream(spark, f"{root}/landing", f"{root}/sink", f"{root}/ckpt", delay="1 day",
+                                  anchor="2024-01-01", max_files_per_trigger=1)
+    cols = ["bin_start", "bin_end", "state", "comName", "obs_count"]
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{root}/sink").select(*cols).collect())
+    want = sorted(tuple(r) for r in activity.activity_bins_batch(df, closed_before="2024-01-19 08:00:00")
+                  .select(*cols).collect())
+    assert got == want and len(got) > 0
