@@ -79,3 +79,13 @@ def test_confusion_counts_cover_every_row(spark):
     pdf = scored_frame(seed=11, n=500)
     for r in metrics.grouped_metrics(spark.createDataFrame(pdf), "g").collect():
         assert r.tp + r.fp + r.fn + r.tn == r.n_rows
+
+
+def test_metric_plan_reads_scored_rows_once(spark):
+    """The metric plan reads the group counts materialized from the scored
+    rows; the scoring plan (tables, panel cache) is not replayed per branch."""
+    from tessera.plans import fixture as fx
+    m = metrics.grouped_metrics(fx.fixture_scored_test(spark, "/root/testdata/sf0.001"), "stateProvince")
+    m.collect()
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" not in plan and "InMemoryTableScan" not in plan
