@@ -24,9 +24,11 @@ only the neighbours can have the longest common left part L.  Every pair with
 L + R >= LENGTH marks the bytes from L before to R behind the anchor.  This
 finds all bytes to remove without looking at all pairs.
 
-A group with more than ``GROUP`` members does not go to one task.  Its string
-starts are counted one by one by 128-bit hash, in a grouped count with partial
-sums; this is exact too.
+A group with more than ``GROUP`` members does not go to one task.  Members
+that are equal in all the bytes they own are counted first, with partial sums:
+those that occur twice or more lose all of these bytes, and one of each kind
+goes on to the merge.  Where even the kinds are more than GROUP, their string
+starts are counted one by one by 128-bit hash.  Both ways are exact.
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing;
 repeated rows are different documents (all their strings repeat); null ids are
@@ -45,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import load, pick, stored
+from tessera.llm.common import load, pick, small, stored
 
 LENGTH = 400
 #: Places among which an anchor is chosen; bytes of the hashed k-grams.
@@ -99,28 +101,33 @@ def anchors_of(data: bytes, length: int = LENGTH, window: int = WINDOW):
 
 
 def anchor_table(docs: DataFrame, length: int, window: int) -> DataFrame:
-    """doc_id, th, at, lo, hi, ctx of every anchor of ``docs`` (doc_id, th, text)."""
+    """The anchors of ``docs`` (doc_id, th, text).  One row for each document
+    and kind of anchor: ctx (hash of the bytes behind it), own (hash of all
+    bytes of its strings), before and owned (its distance from the first
+    string start, and from there to the last), at (where such anchors are)."""
     shared = length - window
 
     def run(batches):
         for b in batches:
-            cols = [[], [], [], [], [], []]
+            cols = [[], [], [], [], [], [], []]
             for doc_id, th, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "th", "text")], strict=True):
                 data = text.encode()
-                at, lo, hi = anchors_of(data, length, window)
-                cols[0] += [doc_id] * len(at)
-                cols[1] += [th] * len(at)
-                cols[2] += at
-                cols[3] += lo
-                cols[4] += hi
-                cols[5] += [xxhash.xxh64_intdigest(data[i:i + shared]) for i in at]
-            ctx = np.array(cols[5], dtype=np.uint64).view(np.int64)
+                kinds = {}
+                for at, lo, hi in zip(*anchors_of(data, length, window), strict=True):
+                    kind = (xxhash.xxh64_intdigest(data[at:at + shared]), xxhash.xxh64_intdigest(data[lo:hi + length]), at - lo, hi - lo)
+                    kinds.setdefault(kind, []).append(at)
+                cols[0] += [doc_id] * len(kinds)
+                cols[1] += [th] * len(kinds)
+                for i in range(4):
+                    cols[2 + i] += [k[i] for k in kinds]
+                cols[6] += kinds.values()
+            ctx, own = (np.array(c, dtype=np.uint64).view(np.int64) for c in cols[2:4])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
-                 pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(ctx)],
-                names=["doc_id", "th", "at", "lo", "hi", "ctx"])
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(ctx), pa.array(own),
+                 pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.list_(pa.int32()))],
+                names=["doc_id", "th", "ctx", "own", "before", "owned", "at"])
 
-    return docs.mapInArrow(run, "doc_id bigint, th bigint, at int, lo int, hi int, ctx bigint")
+    return docs.mapInArrow(run, "doc_id bigint, th bigint, ctx bigint, own bigint, before int, owned int, at array<int>")
 
 
 # ---- runs: front-coded, sorted suffixes ----
@@ -300,12 +307,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     """doc_id, th, s, e: byte spans to remove (they overlap).  ``docs`` has
     doc_id, th (a hash of the text) and text; a document is (doc_id, th)."""
     table = stored(anchor_table(docs, length, window), "suffix-anchors")
-    counts = table.groupBy("ctx").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = stored(
-        table.join(counts, "ctx").groupBy("doc_id", "th").agg(
-            F.collect_set(F.struct("at", "lo", "hi", "ctx", (F.col("n") > group).alias("hot"))).alias("marks")),
-        "suffix-candidates")
-    total = wanted.agg(F.sum(F.size("marks"))).first()[0] or 0
+    groups = stored(table.groupBy("ctx").agg(F.sum(F.size("at")).alias("n")).where("n > 1"), "suffix-groups")
+    cold = table.join(groups.where(F.col("n") <= group), "ctx").select(
+        "doc_id", "th", F.struct("ctx", "before", "owned", "at", F.lit(False).alias("one_by_one")).alias("mark"))
+    settled = None
+    if groups.where(F.col("n") > group).limit(1).count():
+        hot = table.join(small(groups.where(F.col("n") > group).select("ctx")), "ctx")
+        kinds = stored(hot.groupBy("ctx", "own").agg(
+            F.sum(F.size("at")).alias("n"), F.min(F.struct("doc_id", "th", "before", "owned", F.slice("at", 1, 1).alias("at"))).alias("one")),
+            "suffix-kinds")
+        per_group = kinds.groupBy("ctx").agg(F.count("*").alias("kinds"))
+        ones = kinds.join(per_group, "ctx").select("one.doc_id", "one.th", F.struct(
+            "ctx", "one.before", "one.owned", "one.at", (F.col("kinds") > group).alias("one_by_one")).alias("mark"))
+        cold = cold.unionByName(ones)
+        settled = hot.join(kinds.where("n > 1").select("ctx", "own"), ["ctx", "own"]).select(
+            "doc_id", "th", F.explode("at").alias("at"), "before", "owned").select(
+            "doc_id", "th", (F.col("at") - F.col("before")).cast("bigint").alias("s"),
+            (F.col("at") - F.col("before") + F.col("owned") + length).cast("bigint").alias("e"))
+    wanted = stored(cold.groupBy("doc_id", "th").agg(F.collect_set("mark").alias("marks")), "suffix-candidates")
+    total = wanted.agg(F.sum(F.aggregate("marks", F.lit(0), lambda a, m: a + F.size(m["at"])))).first()[0] or 0
     ranges = max(1, -(-total // RANGE_ROWS))
     joined = docs.alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id AND d.th = w.th")).select(
         "d.doc_id", "d.th", "d.text", "w.marks")
@@ -316,9 +336,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
             hot = [[], [], [], [], []]
             for doc_id, th, text, marks in zip(*[b.column(c).to_pylist() for c in ("doc_id", "th", "text", "marks")], strict=True):
                 data = text.encode()
-                for m in marks:
-                    at, lo, hi = m["at"], m["lo"], m["hi"]
-                    if m["hot"]:
+                for m, at in ((m, at) for m in marks for at in m["at"]):
+                    lo = at - m["before"]
+                    hi = lo + m["owned"]
+                    if m["one_by_one"]:
                         for i in range(lo, hi + 1):
                             k = xxhash.xxh128_intdigest(data[i:i + length])
                             hot[0].append((k >> 64) - 2**63)
@@ -363,11 +384,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         frame = pd.DataFrame(out, columns=["doc_id", "th", "s", "e"])
         return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
-    cold = runs.where("run is not null").select("range", "run").groupBy("range").applyInPandas(merge, SPANS)
+    spans = runs.where("run is not null").select("range", "run").groupBy("range").applyInPandas(merge, SPANS)
     starts = runs.where("run is null")
     again = starts.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
-    hot = starts.join(again, ["k1", "k2"]).select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
-    return cold.unionByName(hot)
+    spans = spans.unionByName(starts.join(again, ["k1", "k2"]).select("doc_id", "th", "s", (F.col("s") + length).alias("e")))
+    return spans if settled is None else spans.unionByName(settled)
 
 
 def union_of(spans) -> list[list[int]]:
