@@ -43,6 +43,21 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """The rows with the highest ``n`` (positive), at most ``limit`` of them.
+    The bound is a step of a logarithmic scale, found from the number of rows
+    on each step (a few hundred), so no task and no driver sorts the rows;
+    rows on the same step stay or go together."""
+    step = F.floor(F.log2(n) * 16)
+    left, least = limit, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect():
+        left -= r["rows"]
+        if left < 0:
+            break
+        least = r["step"]
+    return counts.where(step >= least) if least is not None else counts.limit(0)
+
+
 def process_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker process, shared by
     the tasks that run in it one after the other."""

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import add_columns, load, pick, stored
+from tessera.llm.common import add_columns, load, most_frequent, pick, stored
 
 #: Upper bound of labelled rows that the model is fit on.
 FIT_ROWS = 20_000
@@ -141,17 +141,15 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_grams: int = MAX_GRAM
     cut = ids.agg(F.max("h")).first()[0]
     sample = sample.where(F.xxhash64("doc_id") <= F.lit(cut)) if cut is not None else sample
     counts = stored(gram_counts(word_counts(sample)), "langid-counts")
-    top = None
+    totals = stored(counts.groupBy("ord", "gram").agg(
+        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")), "langid-grams")
+    rows = []  # at most max_grams * (1 + len(ORDERS))
     for o in (0, *ORDERS):
-        part = (counts.where(F.col("ord") == o).groupBy("ord", "gram")
-                .agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-                .orderBy(F.desc("total"), "gram").limit(max_grams))
-        top = part if top is None else top.unionByName(part)
-    rows = top.select("ord", "gram", "by_lang").collect()  # at most max_grams * (1 + len(ORDERS))
+        rows += most_frequent(totals.where(F.col("ord") == o), "total", max_grams).select("ord", "gram", "by_lang").collect()
     langs = sorted({la for r in rows for la in r["by_lang"]})
     tables, scores = {}, {}
     for o in (0, *ORDERS):
-        own = [r for r in rows if r["ord"] == o]
+        own = sorted((r for r in rows if r["ord"] == o), key=lambda r: r["gram"])
         n = np.array([[r["by_lang"].get(la, 0) for la in langs] for r in own], dtype=float).reshape(len(own), len(langs))
         tables[o] = {r["gram"]: i for i, r in enumerate(own)}
         scores[o] = np.log(n + 0.5) - np.log(n.sum(axis=0) + 0.5 * (len(own) + 1))
