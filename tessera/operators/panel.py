@@ -7,36 +7,34 @@ Plan shape (see README, "panel"):
 
 * A1 is one hash aggregate on the four keys with map-side partial
   aggregation, so a hot entity/region is combined before the shuffle.
-* The sparse counts are folded into one map per (entity, region) pair:
-  a pair holds at most |years| x |weeks| cells, a bound set by the calendar,
-  not by the data volume.
-* The grid is generated, not joined: distinct entities are exploded over
-  the region axis, left-joined to the per-pair maps on (entity, region),
-  and only then exploded over the (year, week) axis.  The dense rows - the
-  largest data set of the job - are never shuffled; the only exchange on
-  (entity, region) carries |entities| x |regions| small rows.
+* The sparse counts are written once to the shared scratch folder and read
+  back three times (axes, pairs, cells).  Nothing is cached: a later call sees
+  files that landed in between.
+* The grid is generated, not joined: entities meet regions through an
+  equi-join on a fixed number of salts, the pairs are dealt by (entity,
+  region), left-joined to one sorted array of cells per pair, and only then
+  exploded over the (year, week) axis.  The dense rows - the largest data set
+  of the job - are never shuffled.
+* A pair's array holds at most |years| x |weeks| cells, a bound set by the
+  calendar.  Each cell is exploded up to the next one, so the zero cells
+  between two of them need no search.
 * The yearly peak (W1) and the history windows downstream
   (``features.add_history``) are clustered on (entity, region, ...) and
   ordered by (year, week), so they reuse that single exchange and one sort.
-* Axis values (years, weeks, regions) are collected to the driver only
-  after their size is checked; this is the same step Spark's own ``pivot``
-  takes to find its values.  A region axis above the limit is paired with
-  entities through a bucketed equi-join instead.
+* The distinct years and weeks are collected to the driver: a handful of
+  numbers, whatever the data volume.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.calendar import iso_week
+from tessera.session import materialize
 
-# Largest axis we bind into a plan as a literal array.
-MAX_LITERAL_REGIONS = 50_000
-MAX_TIME_CELLS = 200_000
+# Salts over which regions are spread when they are paired with entities.
+PAIR_SALTS = 1024
 
 
 def weekly_counts(obs: DataFrame, entity: str = "species", region: str = "stateProvince",
@@ -67,30 +65,17 @@ def weekly_counts(obs: DataFrame, entity: str = "species", region: str = "stateP
     )
 
 
-def _time_axes(counts: DataFrame, region: str, year: str, week: str):
-    row = counts.agg(
-        F.sort_array(F.collect_set(year)).alias("years"),
-        F.sort_array(F.collect_set(week)).alias("weeks"),
-        F.approx_count_distinct(region).alias("n_regions"),
-    ).first()
-    years, weeks = list(row["years"] or []), list(row["weeks"] or [])
-    if len(years) * len(weeks) > MAX_TIME_CELLS:
-        raise ValueError(f"time axis too large for one panel: {len(years)} years x {len(weeks)} weeks")
-    return years, weeks, int(row["n_regions"] or 0)
-
-
-def _entity_region_pairs(counts: DataFrame, entity: str, region: str, n_regions: int) -> DataFrame:
-    entities = counts.select(entity).distinct()
-    if n_regions <= MAX_LITERAL_REGIONS:
-        regions = [r[0] for r in counts.select(region).distinct().orderBy(region).collect()]
-        if len(regions) <= MAX_LITERAL_REGIONS:
-            axis = F.array(*[F.lit(r) for r in regions]) if regions else F.array().cast("array<string>")
-            return entities.select(entity, F.explode(axis).alias(region))
-    # Large region axis: every entity meets each region bucket once.
-    buckets = max(1, math.ceil(n_regions / MAX_LITERAL_REGIONS))
-    reg = counts.select(region).distinct().withColumn("_bucket", F.pmod(F.xxhash64(region), F.lit(buckets)))
-    ent = entities.withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))))
-    return ent.join(reg, "_bucket").drop("_bucket")
+def _time_axes(counts: DataFrame, year: str, week: str) -> tuple[list[int], list[int]]:
+    row = counts.agg(F.sort_array(F.collect_set(year)), F.sort_array(F.collect_set(week))).first()
+    return [int(y) for y in row[0] or []], [int(w) for w in row[1] or []]
+
+
+def _entity_region_pairs(counts: DataFrame, entity: str, region: str) -> DataFrame:
+    """Every entity with every region, dealt by (entity, region)."""
+    regions = counts.select(region).distinct().withColumn("_salt", F.pmod(F.xxhash64(region), F.lit(PAIR_SALTS)))
+    entities = counts.select(entity).distinct().withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PAIR_SALTS - 1).cast("bigint"))))
+    return entities.join(regions, "_salt").select(entity, region).repartition(entity, region)
 
 
 def dense_panel(counts: DataFrame, entity: str = "species", region: str = "stateProvince",
@@ -100,31 +85,35 @@ def dense_panel(counts: DataFrame, entity: str = "species", region: str = "state
     Axes are the distinct values present in ``counts``; all (year, week)
     combinations are produced, even those that never occur together.
     """
-    # read three times (axes, region list, cells): computed once and cached.
-    # Its lineage is short (scan -> join -> aggregate), so a lost block is
-    # simply recomputed; no checkpoint needed here.
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
-    years, weeks, n_regions = _time_axes(counts, region, year, week)
-    pairs = _entity_region_pairs(counts, entity, region, n_regions)
-
-    cell_key = F.col(year) * F.lit(1000) + F.col(week)
-    cells = counts.groupBy(entity, region).agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            cell_key.alias("k"),
-            F.struct("obs_count", "first_event_date_in_week").alias("v"),
-        ))).alias("_cells")
-    )
-    time_axis = F.array(*[
-        F.struct(F.lit(int(y)).alias(year), F.lit(int(w)).alias(week)) for y in years for w in weeks
-    ]) if years and weeks else F.array().cast(f"array<struct<{year}:int,{week}:int>>")
-
-    grid = pairs.join(cells, [entity, region], "left")
-    dense = grid.select(entity, region, "_cells", F.inline(time_axis))
-    cell = F.try_element_at(F.col("_cells"), cell_key)
+    counts = materialize(counts, "panel-counts")
+    years, weeks = _time_axes(counts, year, week)
+    n_weeks, n_cells = len(weeks), len(years) * len(weeks)
+    year_axis = F.array(*[F.lit(y) for y in years]).cast("array<int>")
+    week_axis = F.array(*[F.lit(w) for w in weeks]).cast("array<int>")
+
+    # A cell's place on the time axis; places run from 0 to n_cells - 1.
+    place = (F.array_position(year_axis, F.col(year)) - 1) * F.lit(n_weeks) + F.array_position(week_axis, F.col(week)) - 1
+    cells = counts.groupBy(entity, region).agg(F.sort_array(F.collect_list(F.struct(
+        place.cast("int").alias("at"), "obs_count", "first_event_date_in_week"))).alias("_cells"))
+    before = F.struct(F.lit(-1).alias("at"), F.lit(0).cast("bigint").alias("obs_count"),
+                      F.lit(None).cast("date").alias("first_event_date_in_week"))
+    spans = F.transform("_cells", lambda c, i: F.struct(
+        c["at"].alias("at"), c["obs_count"].alias("n"), c["first_event_date_in_week"].alias("first"),
+        F.coalesce(F.get("_cells", i + 1)["at"], F.lit(n_cells)).alias("next")))
+
+    grid = _entity_region_pairs(counts, entity, region).join(cells, [entity, region], "left")
+    grid = grid.withColumn("_cells", F.concat(F.array(before), F.coalesce("_cells", F.array().cast(
+        "array<struct<at:int,obs_count:bigint,first_event_date_in_week:date>>"))))
+    runs = grid.select(entity, region, F.inline(spans))
+    dense = runs.select(entity, region, "at", "n", "first",
+                        F.explode(F.sequence(F.col("at"), F.col("next") - 1)).alias("_place")).where("_place >= 0")
+    seen = F.col("_place") == F.col("at")
     return dense.select(
-        entity, region, year, week,
-        F.coalesce(cell["obs_count"], F.lit(0).cast("bigint")).alias("obs_count"),
-        cell["first_event_date_in_week"].alias("first_event_date_in_week"),
+        entity, region,
+        F.get(year_axis, F.floor(F.col("_place") / F.lit(max(1, n_weeks))).cast("int")).alias(year),
+        F.get(week_axis, F.col("_place") % F.lit(max(1, n_weeks))).alias(week),
+        F.when(seen, F.col("n")).otherwise(F.lit(0).cast("bigint")).alias("obs_count"),
+        F.when(seen, F.col("first")).alias("first_event_date_in_week"),
     )
 
 

@@ -110,15 +110,12 @@ def sized_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) ->
     return df
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage: the rows are cached, written
-    by a reliable ``checkpoint()`` to the shared checkpoint folder, and the
-    cache is released.  The result reads the checkpoint files, so several
-    consumers (and a retried task after an executor loss) never replay the
-    upstream plan.  Without the cache the checkpoint job would compute the
-    plan a second time."""
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Compute ``df`` once and cut its lineage: the rows are written as a
+    Parquet table under the shared checkpoint folder and read back, so several
+    consumers (and a retried task after an executor loss) read columns of the
+    stored table and never replay the upstream plan.  Nothing stays cached:
+    a later call over changed input computes its own table."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
