@@ -41,17 +41,26 @@ def pack_daily_payload(daily: DataFrame, region: str = "stateProvince", date: st
 
 
 def read_daily_payload(spark: SparkSession, path: str, measures=DAILY_VARS) -> DataFrame:
-    return spark.read.schema(daily_payload_schema(measures)).json(path)
+    """A corrupt line raises in the task that meets it."""
+    return spark.read.schema(daily_payload_schema(measures)).option("mode", "FAILFAST").json(path)
 
 
 def parse_daily_payload(payload: DataFrame, measures=DAILY_VARS, region: str = "stateProvince") -> DataFrame:
     """S6 + F2-F4 + P11: payload -> (region, date, measures..., year,
-    week_of_year).  Missing payload fields raise before any job runs; a
-    malformed date raises in the task that meets it (strict parse)."""
+    week_of_year).  Fields missing from the schema raise before any job runs;
+    a payload without ``daily``, without one of its arrays, or with arrays of
+    different lengths raises in the task that meets it, and so does a malformed
+    date (strict parse)."""
     daily_fields = payload.schema["daily"].dataType.fieldNames()
     require_columns(payload.select("daily.*"), ["time", *measures], "daily payload")
     zipped = F.arrays_zip(*[F.col(f"daily.{f}").alias(f) for f in ["time", *measures] if f in daily_fields])
-    rows = payload.select(F.col(region), F.inline(zipped))
+    arrays = [F.col(f"daily.{f}") for f in ["time", *measures]]
+    whole = F.lit(True)
+    for a in arrays:
+        whole = whole & a.isNotNull() & (F.size(a) == F.size(arrays[0]))
+    guard = F.when(F.coalesce(whole, F.lit(False)), True).otherwise(
+        F.raise_error(F.concat(F.lit("incomplete daily payload of "), F.coalesce(F.col(region), F.lit("?")))).cast("boolean"))
+    rows = payload.where(guard).select(F.col(region), F.inline(zipped))
     return rows.select(
         region, F.to_date("time", "yyyy-MM-dd").alias("date"), *measures,
     ).withColumn("year", calendar_year("date")).withColumn("week_of_year", iso_week("date"))
@@ -62,5 +71,5 @@ def land_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_reports_json(spark: SparkSession, path: str) -> DataFrame:
-    """Landed report objects with a declared schema."""
-    return spark.read.schema(REPORT_LANDING_SCHEMA).json(path)
+    """Landed report objects with a declared schema; a corrupt line raises."""
+    return spark.read.schema(REPORT_LANDING_SCHEMA).option("mode", "FAILFAST").json(path)

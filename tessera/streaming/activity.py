@@ -49,7 +49,7 @@ def activity_bins_stream(spark: SparkSession, landing: str, sink: str, checkpoin
     s.conf.set("spark.sql.session.timeZone", "UTC")
     s.conf.set("spark.sql.shuffle.partitions",
                str(state_partitions or spark.sparkContext.defaultParallelism))
-    reader = s.readStream.schema(REPORT_LANDING_SCHEMA)
+    reader = s.readStream.schema(REPORT_LANDING_SCHEMA).option("mode", "FAILFAST")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     raw = reader.json(landing)

@@ -47,6 +47,57 @@ def test_payload_parse_and_missing_field(spark):
         payloads.parse_daily_payload(bad)
 
 
+def _land(spark, name, *lines):
+    path = f"{_root(spark)}/{name}"
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
+GOOD = '{"stateProvince": "S", "daily": {"time": ["2024-01-01"], ' + ", ".join(f'"{m}": [1.0]' for m in payloads.DAILY_VARS) + "}}"
+
+
+@pytest.mark.parametrize("bad", [
+    '{"stateProvince": "T"}',
+    GOOD.replace(f'"{payloads.DAILY_VARS[0]}": [1.0], ', ""),
+    GOOD.replace('["2024-01-01"]', '["2024-01-01", "2024-01-02"]'),
+    GOOD.replace('"time": ["2024-01-01"], ', ""),
+    '{"stateProvince": "T", "daily": ',
+])
+def test_incomplete_landed_payload_raises(spark, bad):
+    assert payloads.parse_daily_payload(payloads.read_daily_payload(spark, _land(spark, "ok", GOOD))).count() == 1
+    with pytest.raises(Exception, match="(?i)incomplete daily payload|malformed"):
+        payloads.parse_daily_payload(payloads.read_daily_payload(spark, _land(spark, "bad", GOOD, bad))).collect()
+
+
+def test_corrupt_report_raises(spark):
+    path = _land(spark, "reports", '{"obs_id": 1, "obsDt": "2024-01-01 10:00"}', '{"obs_id": 2, ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        payloads.read_reports_json(spark, path).collect()
+
+
+def _csv_line(**values):
+    return ",".join(values.get(c, "") for c in KEEP_COLUMNS)
+
+
+def test_csv_quotes_dates_and_numbers(spark):
+    path = _land(spark, "csv", ",".join(KEEP_COLUMNS),
+                 _csv_line(eventDate="2020-03-02T10:15:00", locality='"Smith ""Old"" Pond, north"', species="a", individualCount="3.0",
+                           order="Passeriformes", **{"class": "Aves"}),
+                 _csv_line(eventDate="2020-03-03 10:15:00", species="b", taxonKey="9007199254740993"),
+                 _csv_line(eventDate="2020-03-04", decimalLatitude="1.5"))
+    got = lake.read_observations_csv(spark, path).orderBy("eventDate").collect()
+    assert [r.eventDate for r in got] == [dt.date(2020, 3, d) for d in (2, 3, 4)]
+    assert (got[0].locality, got[0].species, got[0].individualCount) == ('Smith "Old" Pond, north', "a", 3)
+    assert (got[0]["class"], got[0]["order"], got[1].taxonKey, got[2].decimalLatitude) == ("Aves", "Passeriformes", 2**53 + 1, 1.5)
+
+
+@pytest.mark.parametrize("line", [_csv_line(eventDate="03/04/2020"), _csv_line(eventDate="2020-03-02", year="x"), "2020-03-02,2020"])
+def test_bad_csv_raises(spark, line):
+    path = _land(spark, "csv", ",".join(KEEP_COLUMNS), line)
+    with pytest.raises(Exception, match="(?i)bad value|malformed"):
+        lake.read_observations_csv(spark, path).collect()
+
+
 def test_pack_and_parse_roundtrip(spark):
     rows = [("S", dt.date(2024, 1, 1) + dt.timedelta(days=i), *[float(i)] * 7) for i in range(40)]
     daily = spark.createDataFrame(rows, "stateProvince string, date date, " +
