@@ -40,6 +40,8 @@ def _score_groups(scored: DataFrame, keys, y: str, yhat: str | None, p: str) ->
     column needs, which would otherwise replay the scoring plan each time."""
     yv = F.col(y).cast("long")
     extra = [F.col(yhat).cast("int").alias("_h")] if yhat else []
+    for k in keys:
+        scored = scored.where(F.col(k).isNotNull())  # a NULL key is no group
     return materialize(scored.groupBy(*keys, F.col(p).cast("double").alias("_p"), *extra).agg(
         F.sum(yv).alias("_pos"), F.sum(F.lit(1) - yv).alias("_neg")))
 

@@ -193,19 +193,18 @@ def fit_presence_model(df: DataFrame, target: str, train_end: int, valid: int, t
     """Split, guard, fit.  Returns (PipelineModel, split frame)."""
     categorical = list(BASE_CATEGORICAL if categorical is None else categorical)
     numeric = list(BASE_NUMERIC if numeric is None else numeric)
-    s = with_split(df, train_end, valid, test).persist(StorageLevel.MEMORY_AND_DISK)
+    s = materialize(with_split(df, train_end, valid, test), "model-rows")
     sizes, weights, stats, modes = fitted_constants(s, target, categorical, numeric)
+    if len(weights) < 2:
+        raise ValueError("the training split holds a single class")
     train = s.where(F.col("split") == "train")
     w = F.lit(0.0)
     for lab, wt in weights.items():
         w = F.when(F.col(target).cast("int") == lab, F.lit(float(wt))).otherwise(w)
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    # Every solver iteration is a job over these partitions: size them by rows
-    # (about ROWS_PER_FIT_PARTITION each), never above the cluster's parallelism.
-    parts = max(1, min(spark.sparkContext.defaultParallelism, math.ceil(sizes["train"] / ROWS_PER_FIT_PARTITION)))
-    fit_input = materialize(train.select(*categorical, *numeric, F.col(target).cast("double").alias("_label"),
-                                         w.alias("_weight")).repartition(parts))
+    # Every solver iteration is a job over these partitions: size them by rows.
+    parts = max(1, math.ceil(sizes["train"] / ROWS_PER_FIT_PARTITION))
+    fit_input = train.select(*categorical, *numeric, F.col(target).cast("double").alias("_label"),
+                             w.alias("_weight")).repartition(parts)
     # Fit the preprocessing stages, keep the assembled vectors in memory for the
     # solver's passes, then fit the classifier alone on them.
     stages = build_pipeline(categorical, numeric, modes, stats, sizes["train"], max_iter).getStages()
