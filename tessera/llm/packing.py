@@ -40,7 +40,10 @@ GENERATIONS = 4
 EPOCHS = 2
 MAX_ROUNDS = 4
 #: Token strings remembered by a worker.
-CACHE = 600_000
+CACHE = 1_000_000
+#: Punctuation that may be encoded apart from the letters before it; not the
+#: apostrophe, which begins contractions.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
@@ -58,7 +61,12 @@ class ChunkTokenizer:
         self.cache = cache
 
     def _encode(self, chunk: str) -> bytes:
-        got = np.array(self.encoder.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        word = chunk.rstrip(PUNCTUATION)
+        if word and len(word) < len(chunk) and word[-1].isalpha():
+            # Letters end where punctuation begins: a word boundary of the tokenizer too.
+            got = b"".join([self.cache.get(p) or self._encode(p) for p in (word, chunk[len(word):])])
+        else:
+            got = np.array(self.encoder.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self.cache) >= CACHE:
             self.cache.clear()
         self.cache[chunk] = got
