@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import load, pick, stored
+from tessera.llm.common import load, most_frequent, pick, stored
 
 #: Token entries that travel to the tasks.
 HEAD = 100_000
@@ -179,9 +179,10 @@ def fit(texts: DataFrame, counts: DataFrame) -> Model:
     """``texts``: the training rows (text); ``counts``: their token counts."""
     docs = texts.count()
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
-    head_rows = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    head = {bytes(r["word"]): r["n"] for r in head_rows}
-    classes = {w: 1 + i for i, w in enumerate(list(head)[:FREQUENT])}
+    head_rows = most_frequent(counts, "n", HEAD).collect()
+    head = {bytes(r["word"]): r["n"] for r in sorted(head_rows, key=lambda r: (-r["n"], bytes(r["word"])))}
+    first = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    classes = {bytes(r["word"]): 1 + i for i, r in enumerate(first)}
     triples = triple_counts(texts, classes).toPandas()
     codes, n = triples["code"].to_numpy(dtype=np.int64), triples["n"].to_numpy(dtype=np.int64)
     order = np.argsort(codes)
@@ -228,7 +229,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 ids[-1] = END
                 ids[:-1][known] = head_class[at[known]]
                 rare = [words[i] for i in np.flatnonzero(~known).tolist()]
-                ids[:-1][~known] = [spelled_class(w) for w in rare]
+                ids[:-1][~known] = [classes.get(w) or spelled_class(w) for w in rare]
                 model_part = log_p[triple_codes(ids)].sum() - log_total[ids].sum()
                 count_part = head_log[at[known]].sum() + math.log10(end_count + 0.5)
                 out_stats.append((row, doc_id, None, len(ids), int(known.sum()) + (1 if end_count else 0), model_part, count_part))

@@ -176,24 +176,24 @@ WITH RECURSIVE counted AS MATERIALIZED (
   UNION ALL
   SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (
     SELECT i, lo, hi, (lo + hi) / 2 AS mid,
-           ln(list_sum(list_transform(ps, x -> pow(x, (lo + hi) / 2))))
-           - list_sum(list_transform(ps, x -> pow(x, (lo + hi) / 2) * ln(pow(x, (lo + hi) / 2))))
-             / list_sum(list_transform(ps, x -> pow(x, (lo + hi) / 2))) >= g AS ok
+           ln(list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2))))
+           - list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2) * ln(pow(x, (lo + hi) / 2))))
+             / list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2))) >= g AS ok
     FROM search, goal) WHERE i < {BISECTIONS}
 ), entropy_t AS (
-  SELECT CASE WHEN -list_sum(list_transform(ps, x -> x * ln(x))) >= g THEN 1.0
+  SELECT CASE WHEN -list_sum(list_transform(ps, lambda x: x * ln(x))) >= g THEN 1.0
          ELSE (SELECT lo FROM search WHERE i = {BISECTIONS}) END AS t FROM goal
 ), search2 AS (
   SELECT 0 AS i, (SELECT t FROM entropy_t) AS lo, 1.0::DOUBLE AS hi
   UNION ALL
   SELECT i + 1, CASE WHEN over THEN mid ELSE lo END, CASE WHEN over THEN hi ELSE mid END FROM (
     SELECT i, lo, hi, (lo + hi) / 2 AS mid,
-           {BUDGET} * list_max(list_transform(ps, x -> pow(x, (lo + hi) / 2 - 1)))
-           / list_sum(list_transform(ps, x -> pow(x, (lo + hi) / 2))) > {MAX_EPOCHS} AS over
+           {BUDGET} * list_max(list_transform(ps, lambda x: pow(x, (lo + hi) / 2 - 1)))
+           / list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2))) > {MAX_EPOCHS} AS over
     FROM search2, goal) WHERE i < {BISECTIONS}
 ), final_t AS (
-  SELECT CASE WHEN {BUDGET} * list_max(list_transform(ps, x -> pow(x, t - 1)))
-                   / list_sum(list_transform(ps, x -> pow(x, t))) <= {MAX_EPOCHS} THEN t
+  SELECT CASE WHEN {BUDGET} * list_max(list_transform(ps, lambda x: pow(x, t - 1)))
+                   / list_sum(list_transform(ps, lambda x: pow(x, t))) <= {MAX_EPOCHS} THEN t
          ELSE (SELECT lo FROM search2 WHERE i = {BISECTIONS}) END AS t FROM goal, entropy_t
 ), w AS MATERIALIZED (
   SELECT source, tokens, pow(share, t) / (SELECT sum(pow(share, t)) FROM p, final_t) AS weight FROM p, final_t

@@ -190,13 +190,13 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 WITH v AS (
   SELECT row_number() OVER () AS uid, vec_id,
-         list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
 ), s AS (
   SELECT q.uid AS quid, q.vec_id AS query_id, c.vec_id AS vec_id, c.uid AS cuid,
-         CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.uid <> c.uid
   WHERE q.vec_id % 50 = 0
 ), r AS (
