@@ -36,7 +36,7 @@ TUPLE = 2
 #: k-mers looked at at once; longer texts go through block by block.
 BLOCK = 1 << 16
 #: Rows of a range.
-RANGE_ROWS = 4_000
+RANGE_ROWS = 1_000
 #: Most ranges; beyond it they get longer (a range is read row by row).
 MAX_RANGES = 10_000
 
