@@ -8,7 +8,7 @@ The document's language has the highest total; its score is the share of
 that language when the totals are taken as log weights.
 
 The model is fit on a sample of labelled rows of bounded size (``fit_rows``,
-the rows with the smallest hash of their id) and keeps at most ``max_grams``
+the rows with the smallest hash of their id) and keeps a bounded number of
 entries of each kind, the most frequent ones; its size is therefore fixed and
 it travels to the tasks with their code.  Prediction reads every whole text.
 
@@ -33,7 +33,10 @@ from tessera.llm.common import add_columns, load, most_frequent, pick, stored
 #: Upper bound of labelled rows that the model is fit on.
 FIT_ROWS = 20_000
 #: Entries kept of the words, and of the n-grams of each length.
+MAX_WORDS = 200_000
 MAX_GRAMS = 50_000
+#: Unseen words whose scores a task remembers.
+MEMO = 200_000
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 
@@ -110,30 +113,45 @@ class Model:
                 return self.scores[o][known].mean(axis=0)
         return np.zeros(len(self.langs))
 
-    def predict(self, text: str | None, memo: dict) -> tuple[str, float]:
+    def predict(self, text: str | None, memo: Memo) -> tuple[str, float]:
         words = words_of(text) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        known = self.tables[0]
-        at, total = [], np.zeros(len(self.langs))
-        for w in words:
-            i = known.get(w)
-            if i is not None:
-                at.append(i)
-            else:
-                s = memo.get(w)
-                if s is None:
-                    if len(memo) > 200_000:
-                        memo.clear()
-                    s = memo[w] = self.back_off(w)
-                total += s
-        if at:
-            total += self.scores[0][at].sum(axis=0)
+        get = self.tables[0].get
+        at = [get(w, -1) for w in words]
+        places = np.array(at, dtype=np.int64)
+        total = self.scores[0][places[places >= 0]].sum(axis=0)
+        if len(places) > 0 and places.min() < 0:
+            total = total + memo.total(self, [w for w, i in zip(words, at, strict=True) if i < 0])
         best = int(np.argmax(total))
         return self.langs[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_grams: int = MAX_GRAMS) -> Model:
+class Memo:
+    """Scores of unseen words, at most MEMO at a time."""
+
+    def __init__(self):
+        self.places, self.scores = {}, None
+
+    def total(self, model: Model, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(model.langs))
+        if self.scores is None:
+            self.scores = np.zeros((MEMO, len(model.langs)))
+        at = []
+        for w in words:
+            i = self.places.get(w)
+            if i is None:
+                if len(self.places) == MEMO:
+                    out += self.scores[at].sum(axis=0)
+                    at = []
+                    self.places.clear()
+                i = self.places[w] = len(self.places)
+                self.scores[i] = model.back_off(w)
+            at.append(i)
+        return out + self.scores[at].sum(axis=0)
+
+
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Fit on (doc_id, text, lang) rows that have a text and a language."""
     sample = (labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
               .select("doc_id", "text", "lang"))
@@ -143,9 +161,9 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_grams: int = MAX_GRAM
     counts = stored(gram_counts(word_counts(sample)), "langid-counts")
     totals = stored(counts.groupBy("ord", "gram").agg(
         F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")), "langid-grams")
-    rows = []  # at most max_grams * (1 + len(ORDERS))
+    rows = []  # at most max_words + max_grams * len(ORDERS)
     for o in (0, *ORDERS):
-        rows += most_frequent(totals.where(F.col("ord") == o), "total", max_grams).select("ord", "gram", "by_lang").collect()
+        rows += most_frequent(totals.where(F.col("ord") == o), "total", max_grams if o else max_words).select("ord", "gram", "by_lang").collect()
     langs = sorted({la for r in rows for la in r["by_lang"]})
     tables, scores = {}, {}
     for o in (0, *ORDERS):
@@ -161,7 +179,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables, model.scores))
 
     def start():
-        m, memo = Model(*shipped.value), {}
+        m, memo = Model(*shipped.value), Memo()
 
         def work(texts):
             return tuple(zip(*[m.predict(t, memo) for t in texts], strict=True)) or ((), ())

@@ -18,20 +18,28 @@ ID_ROWS = [(i, " ".join(w[(i + k) % len(w)] for k in range(12)), la, "s")
 def test_language_of_known_and_unknown_words(spark):
     model = langid.fit(langid.train_rows(table(spark, ID_ROWS)))
     assert model.langs == ["de", "en", "fr"]
-    assert model.predict("The house", {})[0] == "en"
-    assert model.predict("HAUS schönheit", {})[0] == "de"  # one unseen word, by its n-grams
-    assert model.predict("châteaux", {})[0] == "fr"
-    assert model.predict("", {}) == model.predict(None, {}) == model.predict("12 !!", {}) == ("und", 0.0)
+    assert model.predict("The house", langid.Memo())[0] == "en"
+    assert model.predict("HAUS schönheit", langid.Memo())[0] == "de"  # one unseen word, by its n-grams
+    assert model.predict("châteaux", langid.Memo())[0] == "fr"
+    assert model.predict("", langid.Memo()) == model.predict(None, langid.Memo()) == model.predict("12 !!", langid.Memo()) == ("und", 0.0)
     for t in ("the", "das le", "zzzz", "ж"):
-        assert 0.0 <= model.predict(t, {})[1] <= 1.0
+        assert 0.0 <= model.predict(t, langid.Memo())[1] <= 1.0
 
 
 def test_back_off_takes_the_longest_known_grams():
     model = langid.Model(["a", "b"], {0: {}, 4: {"<abc": 0}, 3: {"<ab": 0}, 2: {}, 1: {"x": 0}},
                          {0: np.zeros((0, 2)), 4: np.array([[-1.0, -5.0]]), 3: np.array([[-5.0, -1.0]]), 2: np.zeros((0, 2)),
                           1: np.array([[-2.0, -1.0]])})
-    assert model.predict("abcd", {})[0] == "a" and model.predict("ab", {})[0] == "b" and model.predict("xq", {})[0] == "b"
-    assert model.predict("q", {}) == ("a", 0.5)  # nothing known: a tie
+    assert model.predict("abcd", langid.Memo())[0] == "a" and model.predict("ab", langid.Memo())[0] == "b" and model.predict("xq", langid.Memo())[0] == "b"
+    assert model.predict("q", langid.Memo()) == ("a", 0.5)  # nothing known: a tie
+
+
+def test_memo_may_fill_up(monkeypatch):
+    monkeypatch.setattr(langid, "MEMO", 3)
+    model = langid.Model(["a", "b"], {0: {}, 4: {}, 3: {}, 2: {}, 1: {"x": 0, "y": 1}},
+                         {o: np.array([[-1.0, -2.0], [-4.0, -1.0]]) if o == 1 else np.zeros((0, 2)) for o in (0, 4, 3, 2, 1)})
+    words = ["x", "y", "xx", "yy", "xy", "x", "y"]
+    assert np.allclose(langid.Memo().total(model, words), sum(model.back_off(w) for w in words))
 
 
 def test_language_id_rows(spark, tmp_path):
@@ -47,7 +55,7 @@ def test_language_id_rows(spark, tmp_path):
 def test_language_id_without_training(spark):
     empty = table(spark, [])
     model = langid.fit(langid.train_rows(empty))
-    assert model.predict("words", {}) == ("und", 0.0)
+    assert model.predict("words", langid.Memo()) == ("und", 0.0)
     assert langid.identify(empty, model).count() == 0
 
 
