@@ -22,6 +22,8 @@ gives no rows.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,8 +41,8 @@ POPULATION = 4
 GENERATIONS = 4
 EPOCHS = 2
 MAX_ROUNDS = 4
-#: Token strings remembered by a worker.
-CACHE = 1_000_000
+#: Token strings remembered by a worker (about 200 bytes each).
+CACHE = 800_000
 #: Punctuation that may be encoded apart from the letters before it; not the
 #: apostrophe, which begins contractions.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -51,32 +53,47 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 class ChunkTokenizer:
     """Ids of a text by the tokenizer file, with the ids of text chunks
     remembered.  A single space between two other characters always begins a
-    new word of this tokenizer, so chunks cut there can be encoded alone."""
+    new word of this tokenizer, so chunks cut there can be encoded alone.
+
+    ``cache`` holds two generations: when the young one is full it becomes the
+    old one; what is used again comes back, what is rare is forgotten."""
 
-    def __init__(self, path: str, cache: dict):
+    def __init__(self, path: str, cache: dict, entries: int = CACHE):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache = cache
+        self.cache, self.entries = cache, entries
+        cache.setdefault("young", {})
+        cache.setdefault("old", {})
 
     def _encode(self, chunk: str) -> bytes:
         word = chunk.rstrip(PUNCTUATION)
         if word and len(word) < len(chunk) and word[-1].isalpha():
             # Letters end where punctuation begins: a word boundary of the tokenizer too.
-            got = b"".join([self.cache.get(p) or self._encode(p) for p in (word, chunk[len(word):])])
-        else:
-            got = np.array(self.encoder.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        self.cache[chunk] = got
+            got = self._known(word) + self._known(chunk[len(word):])
+            self.cache["young"][chunk] = got
+            return got
+        return self._known(chunk)
+
+    def _known(self, chunk: str) -> bytes:
+        young = self.cache["young"]
+        got = young.get(chunk)
+        if got is None:
+            got = self.cache["old"].get(chunk)
+            if got is None:
+                ids = self.encoder.encode(chunk, add_special_tokens=False).ids
+                got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(young) >= self.entries // 2:
+                self.cache["old"], self.cache["young"] = young, {}
+            self.cache["young"][chunk] = got
         return got
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        cache, out = self.cache, []
+        get, out = self.cache["young"].get, []
         for chunk in chunks_of(text):
-            got = cache.get(chunk)
+            got = get(chunk)
             out.append(self._encode(chunk) if got is None else got)
         return b"".join(out)
 
@@ -95,14 +112,15 @@ def chunks_of(text: str) -> list[str]:
     return out
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every document: doc_id, piece, start, length, ids."""
+def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, cache_entries: int = CACHE) -> DataFrame:
+    """The pieces of every document: doc_id, piece, start, length, ids.
+    ``cache_entries`` trades a worker's memory against its speed."""
 
     def run(batches):
         cache = process_cache("chunks")
-        coder = ChunkTokenizer(tokenizer_path, cache)
+        coder = ChunkTokenizer(tokenizer_path, cache, cache_entries)
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for b in batches:
+        for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             rows, held = [], 0
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = (coder.ids(text) if text else b"") + end
@@ -114,7 +132,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
                     rows.append((doc_id, k, at, size, ids[4 * at:4 * (at + size)]))
                     at, size, k = at + size, capacity, k + 1
                 held += n
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield _piece_batch(rows)
                     rows, held = [], 0
             yield _piece_batch(rows)

@@ -55,7 +55,7 @@ WINDOW, KGRAM = 200, 16
 #: Most members of a group that one task merges.
 GROUP = 50_000
 #: Anchors in a range of the merge; bytes of suffixes a task holds as one run.
-RANGE_ROWS, RUN_BYTES = 100_000, 48_000_000
+RANGE_ROWS, RUN_BYTES = 40_000, 16_000_000
 
 FACTOR = 0x9E3779B97F4A7C15
 
