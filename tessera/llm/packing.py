@@ -22,6 +22,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
@@ -46,6 +47,9 @@ CACHE = 800_000
 #: Punctuation that may be encoded apart from the letters before it; not the
 #: apostrophe, which begins contractions.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters of plain words, which the tokenizer never divides before its merges.
+PLAIN_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+PLAIN_WORD = re.compile(f" ?[{PLAIN_LETTERS}]+")
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
@@ -63,11 +67,18 @@ class ChunkTokenizer:
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.encoder.model
+        # The byte-level spelling of each character of a plain word, asked of the tokenizer itself.
+        self.spelling = str.maketrans({c: self.encoder.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in " " + PLAIN_LETTERS})
         self.cache, self.entries = cache, entries
         cache.setdefault("young", {})
         cache.setdefault("old", {})
 
     def _encode(self, chunk: str) -> bytes:
+        head, line_feed, tail = chunk.partition("\n")
+        if line_feed and head and tail and not head[-1].isspace() and not tail[0].isspace():
+            # A line feed between two other characters is a word of its own.
+            return self._chunk(head) + self._known(line_feed) + self._chunk(tail)
         word = chunk.rstrip(PUNCTUATION)
         if word and len(word) < len(chunk) and word[-1].isalpha():
             # Letters end where punctuation begins: a word boundary of the tokenizer too.
@@ -76,13 +87,20 @@ class ChunkTokenizer:
             return got
         return self._known(chunk)
 
+    def _chunk(self, chunk: str) -> bytes:
+        got = self.cache["young"].get(chunk)
+        return self._encode(chunk) if got is None else got
+
     def _known(self, chunk: str) -> bytes:
         young = self.cache["young"]
         got = young.get(chunk)
         if got is None:
             got = self.cache["old"].get(chunk)
             if got is None:
-                ids = self.encoder.encode(chunk, add_special_tokens=False).ids
+                if PLAIN_WORD.fullmatch(chunk):  # one word of the tokenizer: no need to look for its words
+                    ids = [t.id for t in self.model.tokenize(chunk.translate(self.spelling))]
+                else:
+                    ids = self.encoder.encode(chunk, add_special_tokens=False).ids
                 got = struct.pack(f"<{len(ids)}I", *ids)
             if len(young) >= self.entries // 2:
                 self.cache["old"], self.cache["young"] = young, {}

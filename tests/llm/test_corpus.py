@@ -165,6 +165,7 @@ def test_chunked_tokens_equal_whole_tokens(sample_docs):
     coder = packing.ChunkTokenizer(packing.tokenizer_path(), {})
     texts = [t for _, t, *_ in sample_docs if t][:80]
     texts += ["", " ", "  a  b ", "a \n b", " lead", "trail ", "x  y", "a <|endoftext|> b", "don't 12 34's", "\ta b", "é  \r\n é", "a  b"]
+    texts += ["one.\nTwo, three\n\nfour", "a\n's", "\nß\nª²½ µx", "x\n y \nz", "ŉ\n日本 Straße,\nÉté"]
     for t in texts:
         assert np.frombuffer(coder.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
