@@ -8,12 +8,14 @@ half credit, equal to the tie-averaged rank formula) without putting a group
 into one task:
 
 1. rows collapse to (group, score) with positive / negative counts;
-2. each group's score range is cut into ordered bins; negatives per bin and
-   their running total over the (at most ``AUC_BINS``) bins of a group give
-   "negatives scored below this bin";
-3. inside a (group, bin) a running sum over the distinct scores gives the
-   negatives below each score;
-4. AUC = sum(pos x (neg_below + neg_equal / 2)) / (P x N), NULL when a
+2. these are range-partitioned by (group, score), so partitions hold like
+   numbers of scores however the scores are distributed; equal scores meet in
+   one partition, and its number is stored with the rows;
+3. negatives per (group, partition) and their running total over a group's
+   partitions give "negatives scored below this partition";
+4. inside a (group, partition) a running sum over the distinct scores gives
+   the negatives below each score;
+5. AUC = sum(pos x (neg_below + neg_equal / 2)) / (P x N), NULL when a
    group has one class only.
 """
 
@@ -24,53 +26,47 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
-AUC_BINS = 1 << 16
-
-
 def _keys(by) -> list[str]:
     if by is None:
         return []
     return [by] if isinstance(by, str) else list(by)
 
 
-def _score_groups(scored: DataFrame, keys, y: str, yhat: str | None, p: str) -> DataFrame:
+def _score_groups(scored: DataFrame, keys, y: str, yhat: str | None, p: str, partitions: int | None) -> DataFrame:
     """The only pass over the scored rows: positives and negatives per
     (group, score[, predicted class]), partially aggregated map-side, then
-    materialized - the metric plan reads it four times with different
-    column needs, which would otherwise replay the scoring plan each time."""
+    range-partitioned and materialized with the partition's number - the
+    metric plan reads them several times with different column needs."""
     yv = F.col(y).cast("long")
     extra = [F.col(yhat).cast("int").alias("_h")] if yhat else []
     for k in keys:
         scored = scored.where(F.col(k).isNotNull())  # a NULL key is no group
-    return materialize(scored.groupBy(*keys, F.col(p).cast("double").alias("_p"), *extra).agg(
-        F.sum(yv).alias("_pos"), F.sum(F.lit(1) - yv).alias("_neg")))
+    g = scored.groupBy(*keys, F.col(p).cast("double").alias("_p"), *extra).agg(
+        F.sum(yv).alias("_pos"), F.sum(F.lit(1) - yv).alias("_neg"))
+    order = [*keys, "_p"]
+    g = g.repartitionByRange(partitions, *order) if partitions else g.repartitionByRange(*order)
+    return materialize(g.withColumn("_part", F.spark_partition_id()), "score-groups")
 
 
-def _auc_credit(g: DataFrame, stats: DataFrame, keys, bins: int) -> DataFrame:
+def _auc_credit(g: DataFrame, keys) -> DataFrame:
     """Per group: sum over positives of (negatives scored below + half the
     negatives scored equal), from the (group, score) counts ``g``."""
-    span = F.col("_hi") - F.col("_lo")
-    binned = g.join(stats.select(*keys, "_lo", "_hi"), keys).withColumn(
-        "_bin",
-        F.when(span > 0, F.least(F.floor((F.col("_p") - F.col("_lo")) / span * F.lit(bins)),
-                                 F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
-    per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_neg").alias("_bin_neg"))
-    below_bin = F.coalesce(F.sum("_bin_neg").over(
-        Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per_bin = per_bin.select(*keys, "_bin", below_bin.alias("_neg_below_bin"))
-    # negatives up to and including this score inside the bin (all rows of a
-    # tied score included), and the negatives at exactly this score
-    upto = F.sum("_neg").over(Window.partitionBy(*keys, "_bin").orderBy("_p")
+    per_part = g.groupBy(*keys, "_part").agg(F.sum("_neg").alias("_part_neg"))
+    below_part = F.coalesce(F.sum("_part_neg").over(
+        Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_part = per_part.select(*keys, "_part", below_part.alias("_neg_below_part"))
+    # negatives up to and including this score inside the partition (all rows
+    # of a tied score included), and the negatives at exactly this score
+    upto = F.sum("_neg").over(Window.partitionBy(*keys, "_part").orderBy("_p")
                               .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    tie = F.sum("_neg").over(Window.partitionBy(*keys, "_bin", "_p"))
-    ranked = binned.join(per_bin, keys + ["_bin"]).select(
-        *keys, "_pos", (F.col("_neg_below_bin") + upto - tie * 0.5).alias("_below"))
+    tie = F.sum("_neg").over(Window.partitionBy(*keys, "_part", "_p"))
+    ranked = g.join(per_part, [*keys, "_part"]).select(
+        *keys, "_pos", (F.col("_neg_below_part") + upto - tie * 0.5).alias("_below"))
     return ranked.groupBy(*keys).agg(F.sum(F.col("_pos") * F.col("_below")).alias("_credit"))
 
 
 def _stats_aggs(with_confusion: bool):
-    aggs = [F.min("_p").alias("_lo"), F.max("_p").alias("_hi"),
-            F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N")]
+    aggs = [F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N")]
     if with_confusion:
         h = F.col("_h")
         aggs += [
@@ -89,14 +85,14 @@ def _auc_column():
 
 
 def auc_by_group(scored: DataFrame, by=None, y: str = "y_true", p: str = "y_proba",
-                 bins: int = AUC_BINS) -> DataFrame:
+                 partitions: int | None = None) -> DataFrame:
     """Exact ROC-AUC per group (one row per group, column roc_auc)."""
     keys = _keys(by)
     base = scored if keys else scored.withColumn("_all", F.lit(0))
     k = keys or ["_all"]
-    g = _score_groups(base, k, y, None, p)
+    g = _score_groups(base, k, y, None, p, partitions)
     stats = g.groupBy(*k).agg(*_stats_aggs(False))
-    out = _auc_credit(g, stats, k, bins).join(stats, k).select(*k, _auc_column().alias("roc_auc"))
+    out = _auc_credit(g, k).join(stats, k).select(*k, _auc_column().alias("roc_auc"))
     return out if keys else out.drop("_all")
 
 
@@ -129,7 +125,7 @@ def metric_columns():
 
 
 def grouped_metrics(scored: DataFrame, by, y: str = "y_true", yhat: str = "y_pred", p: str = "y_proba",
-                    flag_name: str | None = None, flag_members=None, bins: int = AUC_BINS) -> DataFrame:
+                    flag_name: str | None = None, flag_members=None, partitions: int | None = None) -> DataFrame:
     """n_rows, positive_rate, accuracy, precision, recall, f1, roc_auc,
     tn, fp, fn, tp per group, plus an optional membership flag (P9).
 
@@ -139,9 +135,9 @@ def grouped_metrics(scored: DataFrame, by, y: str = "y_true", yhat: str = "y_pre
     keys = _keys(by)
     base = scored if keys else scored.withColumn("_all", F.lit(0))
     k = keys or ["_all"]
-    g = _score_groups(base, k, y, yhat, p)
+    g = _score_groups(base, k, y, yhat, p, partitions)
     stats = g.groupBy(*k).agg(*_stats_aggs(True))
-    out = _auc_credit(g, stats, k, bins).join(stats, k, "right").select(
+    out = _auc_credit(g, k).join(stats, k, "right").select(
         *k, F.col("n_rows").cast("long").alias("n_rows"),
         _ratio(F.col("_P"), F.col("n_rows")).alias("positive_rate"),
         *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "tn")], _auc_column().alias("roc_auc"))

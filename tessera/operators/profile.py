@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,19 @@ def top_values(df: DataFrame, column: str, k: int = 50) -> DataFrame:
     )
 
 
+def top_values_of(df: DataFrame, columns, k: int = 50) -> DataFrame:
+    """A5/O3 for several columns in one pass: (column_name, value, n) of the k
+    most frequent non-NULL values of each.  The rank limit is planned as a
+    group limit before the shuffle by column."""
+    counted = df.groupingSets([[c] for c in columns], *columns).agg(F.count(F.lit(1)).alias("n"))
+    found = counted.select(
+        F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in columns]).alias("column_name"),
+        F.coalesce(*[F.col(c).cast("string") for c in columns]).alias("value"), "n")
+    w = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
+    return (found.where(F.col("value").isNotNull()).withColumn("_rank", F.row_number().over(w))
+            .where(F.col("_rank") <= k).drop("_rank"))
+
+
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """First rows of a table."""
     return df.limit(n)

@@ -23,6 +23,8 @@ FIXTURE_VALID_YEAR = 2000
 FIXTURE_TEST_YEAR = 2001
 # Region subset standing for the six-state focus group of the region report.
 FIXTURE_FOCUS_REGIONS = ["NATION_19", "NATION_20", "NATION_21", "NATION_22", "NATION_23", "NATION_24"]
+# Below the number of entities (5) and regions (25), so that the report cuts.
+FIXTURE_TOP_K = 4
 FIXTURE_AS_OF = tables.RECENT_AS_OF
 
 HISTORY_COLUMNS = [

@@ -83,11 +83,7 @@ def month_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = tables.observations(spark, sf_dir)
-    parts = [
-        profile.top_values(obs, c).select(F.lit(c).alias("column_name"), F.col(c).alias("value"), "n")
-        for c in ("species", "stateProvince")
-    ]
-    return parts[0].unionByName(parts[1])
+    return profile.top_values_of(obs, ["species", "stateProvince"], k=fx.FIXTURE_TOP_K)
 
 
 # --- splits and metrics (B6-B8) ---------------------------------------------
@@ -113,8 +109,8 @@ def overall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = metrics.grouped_metrics(fx.fixture_scored_test(spark, sf_dir), "stateProvince")
-    return metrics.error_summary(m, "stateProvince")
+    counts = fx.fixture_scored_test(spark, sf_dir).groupBy("stateProvince").agg(*metrics.confusion_aggs())
+    return metrics.error_summary(counts, "stateProvince")
 
 
 def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +128,12 @@ def count_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.round_doubles(recent.recent_activity(_reports(spark, sf_dir), fx.FIXTURE_AS_OF))
+    return fx.round_doubles(recent.recent_activity(_reports(spark, sf_dir), fx.FIXTURE_AS_OF, landed="ts"))
 
 
 def corridor_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     reps = _reports(spark, sf_dir)
-    act = recent.recent_activity(reps, fx.FIXTURE_AS_OF)
+    act = recent.recent_activity(reps, fx.FIXTURE_AS_OF, landed="ts")
     requests = reps.select("state", "comName").distinct()
     return recent.corridor_signal(requests, act, region_dim(spark))
 
@@ -149,7 +145,7 @@ def recent_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def presence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     reps = _reports(spark, sf_dir)
-    act = recent.recent_activity(reps, fx.FIXTURE_AS_OF)
+    act = recent.recent_activity(reps, fx.FIXTURE_AS_OF, landed="ts")
     requests = reps.select("state", "comName").distinct()
     corridor = recent.corridor_signal(requests, act, region_dim(spark))
     weather = recent.recent_covariates(tables.daily_covariates(spark, sf_dir, by_state=True), region="state")
@@ -237,7 +233,7 @@ def presence_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         fx.FIXTURE_TEST_YEAR, numeric=model.BASE_NUMERIC + WEEKLY_COVARIATES + LAGGED_COVARIATES,
         max_iter=MAX_ITER_WEATHER)
     reps = _reports(spark, sf_dir)
-    act = recent.recent_activity(reps, fx.FIXTURE_AS_OF)
+    act = recent.recent_activity(reps, fx.FIXTURE_AS_OF, landed="ts")
     requests = reps.select("state", "comName").distinct()
     corridor = recent.corridor_signal(requests, act, region_dim(spark))
     weather = recent.recent_covariates(tables.daily_covariates(spark, sf_dir, by_state=True), region="state")
@@ -283,7 +279,7 @@ def report_payload_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports landed as JSON objects, read with the declared schema,
     normalised and binned (equals ``recent_activity``)."""
     path = scratch_path(spark, "reports")
-    payloads.land_json(tables.recent_observations(spark, sf_dir), path)
+    payloads.land_json(tables.recent_observations(spark, sf_dir).drop("ts"), path)
     reps = recent.prepare_reports(payloads.read_reports_json(spark, path))
     return fx.round_doubles(recent.recent_activity(reps, fx.FIXTURE_AS_OF))
 
@@ -295,10 +291,10 @@ STREAM_ANCHOR = "2024-01-01"
 
 
 def stream_recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1 on landed report files: two overlapping deliveries, watermark
-    1 day, 7-day bins from 2024-01-01; only closed bins are emitted."""
-    return run_fixture_stream(spark, tables.recent_observations(spark, sf_dir), STREAM_DELAY, STREAM_ANCHOR,
-                              split_at="2024-01-20 00:00:00", overlap_from="2024-01-15 00:00:00")
+    """ST1 on landed report files: two overlapping deliveries, a run after each,
+    watermark 1 day, 7-day bins from 2024-01-01; only closed bins are emitted."""
+    return run_fixture_stream(spark, tables.recent_observations(spark, sf_dir).drop("ts"), STREAM_DELAY, STREAM_ANCHOR,
+                              split_at="2024-01-20 00:00:00", overlap_from="2024-01-15 00:00:00", state_partitions=8)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

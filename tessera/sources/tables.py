@@ -144,7 +144,8 @@ def state_of_user(user_id: str) -> F.Column:
 
 
 def recent_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recent report stand-in: (obs_id, state, comName, obsDt string, howMany string)."""
+    """Recent report stand-in: (obs_id, state, comName, obsDt string, howMany
+    string) and the native time ``ts``."""
     ev = table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "props"])
     return ev.select(
         F.col("event_id").alias("obs_id"),
@@ -152,4 +153,5 @@ def recent_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("comName"),
         F.date_format("ts", "yyyy-MM-dd HH:mm").alias("obsDt"),
         F.get_json_object("props", "$.k").alias("howMany"),
+        "ts",
     )

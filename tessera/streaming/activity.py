@@ -32,23 +32,22 @@ def window_offset(anchor: str, bin_days: int = 7) -> str:
 
 
 def activity_bins_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
-                         delay: str = "30 days", bin_days: int = 7, anchor: str = "2024-01-01",
+                         state_partitions: int, delay: str = "30 days", bin_days: int = 7, anchor: str = "2024-01-01",
                          region: str = "state", entity: str = "comName", key: str = "obs_id",
-                         state_partitions: int | None = None, max_files_per_trigger: int | None = None):
+                         max_files_per_trigger: int | None = None):
     """Start the stream (availableNow) and block until the landed files are
     processed; returns the finished StreamingQuery.
 
     ``state_partitions`` is the number of state-store partitions of the
-    de-duplication and the windowed aggregate (fixed by the first run of a
-    checkpoint).  Every micro-batch commits each of them, so the default is
-    the cluster's parallelism rather than the batch shuffle width.
+    de-duplication and the windowed aggregate.  The first run of a checkpoint
+    fixes it for good, so the caller states it: size it for the open reports
+    of the whole stream, not for the cores of the moment.
     ``max_files_per_trigger`` bounds each micro-batch of a large backlog
     (reports older than the watermark at their batch are then dropped, so
     the delay must cover how out of order the files arrive)."""
     s = spark.newSession()
     s.conf.set("spark.sql.session.timeZone", "UTC")
-    s.conf.set("spark.sql.shuffle.partitions",
-               str(state_partitions or spark.sparkContext.defaultParallelism))
+    s.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     reader = s.readStream.schema(REPORT_LANDING_SCHEMA).option("mode", "FAILFAST")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
@@ -85,23 +84,23 @@ def activity_bins_batch(reports: DataFrame, closed_before, bin_days: int = 7, an
         "bin_start", "bin_end", region, entity, "obs_count")
 
 
-def land_reports_in_batches(reports: DataFrame, landing: str, split_at: str, overlap_from: str) -> None:
-    """Landing helper: write the reports as two JSON batches that overlap in
-    time ([.., split_at) and [overlap_from, ..)), so reports in the overlap
-    are delivered twice, as a re-polling fetcher would."""
+def deliveries(reports: DataFrame, split_at: str, overlap_from: str) -> tuple[DataFrame, DataFrame]:
+    """Two deliveries that overlap in time ([.., split_at) and
+    [overlap_from, ..)), so reports in the overlap are delivered twice, as a
+    re-polling fetcher would."""
     ts = F.col("obsDt").try_cast("timestamp_ntz")
-    first = reports.where(ts.isNull() | (ts < F.lit(split_at).cast("timestamp_ntz")))
-    second = reports.where(ts >= F.lit(overlap_from).cast("timestamp_ntz"))
-    first.write.mode("append").json(landing)
-    second.write.mode("append").json(landing)
+    return (reports.where(ts.isNull() | (ts < F.lit(split_at).cast("timestamp_ntz"))),
+            reports.where(ts >= F.lit(overlap_from).cast("timestamp_ntz")))
 
 
 def run_fixture_stream(spark: SparkSession, reports: DataFrame, delay: str, anchor: str,
-                       split_at: str, overlap_from: str) -> DataFrame:
-    """Land ``reports`` in two overlapping batches under the shared
-    checkpoint folder, run the stream over them, and read the sink."""
+                       split_at: str, overlap_from: str, state_partitions: int) -> DataFrame:
+    """Land a delivery, run the stream, land the next one, run it again from
+    the same checkpoint: the second run meets repeated reports and reports
+    behind the watermark.  Returns the sink."""
     root = scratch_path(spark, "stream")
     landing, sink, ckpt = f"{root}/landing", f"{root}/sink", f"{root}/checkpoint"
-    land_reports_in_batches(reports, landing, split_at, overlap_from)
-    activity_bins_stream(spark, landing, sink, ckpt, delay=delay, anchor=anchor)
+    for part in deliveries(reports, split_at, overlap_from):
+        part.write.mode("append").json(landing)
+        activity_bins_stream(spark, landing, sink, ckpt, state_partitions, delay=delay, anchor=anchor)
     return spark.read.parquet(sink)

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tessera.operators import metrics
 
@@ -51,9 +52,24 @@ def test_overall_auc_and_small_bins(spark):
     df = spark.createDataFrame(pdf)
     want = pair_auc(list(pdf.y_true), list(pdf.y_proba))
     assert abs(metrics.overall_metrics(df).first().roc_auc - want) < 1e-12
-    # very few bins: the within-bin running sums must still give the exact value
-    assert abs(metrics.auc_by_group(df, None, bins=2).first().roc_auc - want) < 1e-12
-
+    # one and many partitions: the running sums must give the exact value
+    for n in (1, 2, 50):
+        assert abs(metrics.auc_by_group(df, None, partitions=n).first().roc_auc - want) < 1e-12
+
+
+def test_concentrated_scores_share_partitions(spark):
+    """Scores of one group, nearly all close to 0 and one at 1.0: no
+    partition holds more than a fair share of the distinct scores."""
+    df = spark.range(20_000).select(
+        (F.col("id") % 3 == 0).cast("int").alias("y_true"),
+        F.when(F.col("id") == 7, 1.0).otherwise(F.col("id") * 1e-9).alias("y_proba"), F.lit(0).alias("y_pred"))
+    g = metrics._score_groups(df.withColumn("g", F.lit("a")), ["g"], "y_true", "y_pred", "y_proba", 8)
+    sizes = [r["count"] for r in g.groupBy("_part").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / 8
+    pdf = df.toPandas()
+    below = (pdf.y_true == 0)[pdf.y_proba.argsort(kind="stable")].cumsum()
+    want = below[pdf.y_true == 1].sum() / ((pdf.y_true == 1).sum() * (pdf.y_true == 0).sum())
+    assert abs(metrics.auc_by_group(df, None, partitions=8).first().roc_auc - want) < 1e-9
 
 def test_class_report_rows(spark):
     pdf = scored_frame(seed=7, n=300)

@@ -19,8 +19,9 @@ def test_stream_equals_batch_with_repeats(spark):
     df = spark.createDataFrame(rows, RAW)
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/t-{uuid.uuid4().hex[:8]}"
     # two deliveries overlapping on 10-20 Jan: those reports arrive twice
-    activity.land_reports_in_batches(df, f"{root}/landing", "2024-01-20 00:00:00", "2024-01-10 00:00:00")
-    activity.activity_bins_stream(spark, f"{root}/landing", f"{root}/sink", f"{root}/ckpt", delay="1 day",
+    for part in activity.deliveries(df, "2024-01-20 00:00:00", "2024-01-10 00:00:00"):
+        part.write.mode("append").json(f"{root}/landing")
+    activity.activity_bins_stream(spark, f"{root}/landing", f"{root}/sink", f"{root}/ckpt", state_partitions=4, delay="1 day",
                                   anchor="2024-01-01")
     got = spark.read.parquet(f"{root}/sink")
     max_ts = "2024-01-27 23:15:00"
@@ -31,6 +32,17 @@ def test_stream_equals_batch_with_repeats(spark):
     assert got.agg({"bin_end": "max"}).first()[0].isoformat(" ") <= max_ts
 
 
+def test_two_runs_equal_batch(spark):
+    """Land, run, land, run: the second delivery repeats ten days of reports,
+    some of them behind the watermark, and changes no count."""
+    rows = [(i, "Georgia", "x", f"2024-01-{1 + i % 27:02d} {i % 24:02d}:15", str(i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, RAW)
+    got = activity.run_fixture_stream(spark, df, "1 day", "2024-01-01", "2024-01-20 00:00:00",
+                                      "2024-01-10 00:00:00", state_partitions=4)
+    want = activity.activity_bins_batch(df, closed_before="2024-01-26 23:15:00").select(*got.columns)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
 def test_window_offset():
     assert activity.window_offset("2024-01-01") == "4 days"
     assert activity.window_offset("1970-01-01") == "0 days"
@@ -43,10 +55,10 @@ def test_report_after_emitted_bin_is_not_counted(spark):
     late = [(3, "Georgia", "x", "2024-01-03 10:00", "5")]
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/t-{uuid.uuid4().hex[:8]}"
     spark.createDataFrame(first, RAW).write.json(f"{root}/landing")
-    activity.activity_bins_stream(spark, f"{root}/landing", f"{root}/sink", f"{root}/ckpt", delay="1 day",
+    activity.activity_bins_stream(spark, f"{root}/landing", f"{root}/sink", f"{root}/ckpt", state_partitions=4, delay="1 day",
                                   anchor="2024-01-01")
     spark.createDataFrame(late, RAW).write.mode("append").json(f"{root}/landing")
-    activity.activity_bins_stream(spark, f"{root}/landing", f"{root}/sink", f"{root}/ckpt", delay="1 day",
+    activity.activity_bins_stream(spark, f"{root}/landing", f"{root}/sink", f"{root}/ckpt", state_partitions=4, delay="1 day",
                                   anchor="2024-01-01")
     rows = {(r.bin_start.day, r.obs_count) for r in spark.read.parquet(f"{root}/sink").collect()}
     assert (1, 2) in rows and not any(d == 1 and n != 2 for d, n in rows)
@@ -57,7 +69,7 @@ def test_bounded_micro_batches_give_same_bins(spark):
     df = spark.createDataFrame(rows, RAW).repartition(6)
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/t-{uuid.uuid4().hex[:8]}"
     df.orderBy("obsDt").coalesce(1).write.json(f"{root}/landing")
-    activity.activity_bins_stream(spark, f"{root}/landing", f"{root}/sink", f"{root}/ckpt", delay="1 day",
+    activity.activity_bins_stream(spark, f"{root}/landing", f"{root}/sink", f"{root}/ckpt", state_partitions=4, delay="1 day",
                                   anchor="2024-01-01", max_files_per_trigger=1)
     cols = ["bin_start", "bin_end", "state", "comName", "obs_count"]
     got = sorted(tuple(r) for r in spark.read.parquet(f"{root}/sink").select(*cols).collect())
