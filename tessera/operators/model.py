@@ -12,9 +12,9 @@ C-scaled objective divided by C*n, hence ``regParam = 1 / (C * n_train)``.
 
 Fitted constants (modes, means, scales, weights) are a handful of numbers,
 computed by single aggregate jobs; the data never leaves the executors.
-The training frame is checkpointed to the shared checkpoint folder before
-the iterative fit, so a lost executor re-reads it instead of replaying the
-whole feature lineage.
+The split rows are written as a table under the shared checkpoint folder
+before the iterative fit, so a lost executor re-reads it instead of replaying
+the whole feature lineage.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ import math
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir, materialize
+from tessera.operators import metrics
+from tessera.session import materialize
 
 ROWS_PER_FIT_PARTITION = 200_000
 
@@ -62,14 +63,6 @@ def split_counts(df: DataFrame, target: str) -> DataFrame:
                  F.avg(F.col(target).cast("double")).alias("positive_rate")))
 
 
-def check_splits(df: DataFrame, target: str) -> dict:
-    """Raise when a split is empty; returns rows per split."""
-    got = {r["split"]: r["n_rows"] for r in split_counts(df, target).collect()}
-    if any(got.get(s, 0) == 0 for s in ("train", "valid", "test")):
-        raise ValueError(f"One of the splits is empty: {got}")
-    return got
-
-
 def mode_values(train: DataFrame, cols) -> DataFrame:
     """M2: most frequent non-NULL value per column (ties -> smallest), as
     rows (column_name, mode_value).  One grouped count per column."""
@@ -135,16 +128,29 @@ def preprocessing_sql(categorical, numeric, modes: dict, stats: dict) -> str:
     return "SELECT " + ", ".join(cols) + " FROM __THIS__"
 
 
+def one_hot_stages(categorical) -> list:
+    """M3: levels in alphabetical order; an unknown level is all zeros."""
+    return [StringIndexer(inputCols=[c + "__imp" for c in categorical], outputCols=[c + "__idx" for c in categorical],
+                          handleInvalid="keep", stringOrderType="alphabetAsc"),
+            OneHotEncoder(inputCols=[c + "__idx" for c in categorical],
+                          outputCols=[c + "__oh" for c in categorical], dropLast=True)]
+
+
+def one_hot(train: DataFrame, df: DataFrame, categorical) -> DataFrame:
+    """M2/M3 alone: ``df`` with an array column ``<name>_onehot`` for each
+    categorical column, levels and modes taken from ``train``."""
+    modes = {r["column_name"]: r["mode_value"] for r in mode_values(train, categorical).collect()}
+    stages = [SQLTransformer(statement=preprocessing_sql(categorical, [], modes, {})), *one_hot_stages(categorical)]
+    out = Pipeline(stages=stages).fit(train).transform(df)
+    return out.select(*df.columns, *[vector_to_array(c + "__oh").alias(c + "_onehot") for c in categorical])
+
+
 def build_pipeline(categorical, numeric, modes: dict, stats: dict, n_train: int, max_iter: int,
                    label: str = "_label", weight: str = "_weight", C: float = 1.0) -> Pipeline:
     """M3/M6/M8: preprocessing + one-hot + assembler + logistic regression."""
     stages = [SQLTransformer(statement=preprocessing_sql(categorical, numeric, modes, stats))]
     if categorical:
-        stages.append(StringIndexer(inputCols=[c + "__imp" for c in categorical],
-                                    outputCols=[c + "__idx" for c in categorical],
-                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=[c + "__idx" for c in categorical],
-                                    outputCols=[c + "__oh" for c in categorical], dropLast=True))
+        stages += one_hot_stages(categorical)
     stages.append(VectorAssembler(inputCols=[c + "__oh" for c in categorical] + [c + "__std" for c in numeric],
                                   outputCol="_features"))
     stages.append(LogisticRegression(featuresCol="_features", labelCol=label, weightCol=weight,
@@ -231,3 +237,46 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def feature_names(model: PipelineModel, categorical, numeric) -> list[str]:
+    """Names of the assembled features: ``column=level``, then the numeric ones."""
+    indexer = next((st for st in model.stages if isinstance(st, StringIndexerModel)), None)
+    levels = indexer.labelsArray if indexer else []
+    return [f"{c}={v}" for c, own in zip(categorical, levels, strict=True) for v in own] + list(numeric)
+
+
+def objective_gradient(model: PipelineModel, split: DataFrame, target: str, categorical, numeric) -> DataFrame:
+    """Rows (feature, gradient): the gradient of the penalised, class-weighted
+    objective at the fitted coefficients over the training rows.  It is 0 at
+    the optimum.  One aggregate, pre-summed by feature in every task."""
+    train = split.where(F.col("split") == "train")
+    weights = {r["label"]: r["weight"] for r in class_weights(train, target).collect()}
+    y = F.col(target).cast("double")
+    w = F.when(y == 1, F.lit(weights[1])).otherwise(F.lit(weights[0]))
+    fitted = model.stages[-1]
+    names = [*feature_names(model, categorical, numeric), "intercept"]
+    penalty = [float(b) * fitted.getRegParam() for b in fitted.coefficients.toArray()] + [0.0]
+    own = split.sparkSession.createDataFrame(
+        [(i, n, p) for i, (n, p) in enumerate(zip(names, penalty, strict=True))], "_at int, feature string, _penalty double")
+    rows = model.transform(train).select(
+        F.posexplode(F.concat(vector_to_array("_features"), F.array(F.lit(1.0)))).alias("_at", "_x"),
+        (w * (vector_to_array("probability")[1] - y)).alias("_r"), w.alias("_w"))
+    g = rows.groupBy("_at").agg((F.sum(F.col("_x") * F.col("_r")) / F.sum("_w")).alias("_g"))
+    return g.join(F.broadcast(own), "_at").select("feature", (F.col("_g") + F.col("_penalty")).alias("gradient"))
+
+
+def evaluate(model: PipelineModel, split: DataFrame, target: str, levels=((), ("stateProvince",), ("species",)),
+             splits=("valid", "test")) -> DataFrame:
+    """Metrics of a (loaded) model on the validation and test rows: one row
+    per split, level ('overall' or the grouping column) and key."""
+    scored = materialize(score(model, split.where(F.col("split").isin(*splits)), keep=[
+        "split", *sorted({c for by in levels for c in by}), target]).withColumnRenamed(target, "y_true"), "scored")
+    out = None
+    for by in levels:
+        m = metrics.grouped_metrics(scored, ["split", *by])
+        key = F.concat_ws("/", *by) if by else F.lit("all")
+        m = m.select("split", F.lit("/".join(by) or "overall").alias("level"), key.alias("key"),
+                     *[c for c in m.columns if c not in ("split", *by)])
+        out = m if out is None else out.unionByName(m)
+    return out

@@ -25,6 +25,8 @@ FIXTURE_TEST_YEAR = 2001
 FIXTURE_FOCUS_REGIONS = ["NATION_19", "NATION_20", "NATION_21", "NATION_22", "NATION_23", "NATION_24"]
 # Below the number of entities (5) and regions (25), so that the report cuts.
 FIXTURE_TOP_K = 4
+# Left out of the training rows of the encoding query, so that it is an unknown level.
+FIXTURE_UNKNOWN_ENTITY = "MACHINERY"
 FIXTURE_AS_OF = tables.RECENT_AS_OF
 
 HISTORY_COLUMNS = [

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.dims import MAX_ITER_BASE, MAX_ITER_WEATHER, region_dim, species_dim
+from tessera.dims import MAX_ITER_BASE, MAX_ITER_WEATHER, TARGET_COL, region_dim, species_dim
 from tessera.functions.rules import fixed_text, percent_text
 from tessera.operators import covariates, features, metrics, model, panel, profile, recent, score
 from tessera.plans import fixture as fx
@@ -181,71 +181,139 @@ def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.round_doubles(h.select("species", "stateProvince", "year", "week_of_year", "split", *cols))
 
 
-def _fit_and_score(spark: SparkSession, feats: DataFrame, numeric, max_iter: int, rounded: bool = True) -> DataFrame:
-    fitted, split = model.fit_presence_model(
-        feats, "present_rel_10pct_peak", fx.FIXTURE_TRAIN_END_YEAR, fx.FIXTURE_VALID_YEAR, fx.FIXTURE_TEST_YEAR,
-        numeric=numeric, max_iter=max_iter)
-    model.save_model(fitted, scratch_path(spark, "model"))
-    test = split.where(F.col("split") == "test")
-    scored = model.score(fitted, test, keep=["species", "stateProvince", "year", "week_of_year",
-                                             "present_rel_10pct_peak"])
-    scored = scored.withColumnRenamed("present_rel_10pct_peak", "y_true")
-    return fx.round_doubles(scored) if rounded else scored
+def encoded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3/M6: one-hot digits of every split row; the levels come from training
+    rows without one entity, which is therefore unknown (all zeros)."""
+    h = model.with_split(fx.fixture_history(spark, sf_dir), fx.FIXTURE_TRAIN_END_YEAR, fx.FIXTURE_VALID_YEAR,
+                         fx.FIXTURE_TEST_YEAR).where(F.col("split").isNotNull())
+    h = h.select("species", "stateProvince", "year", "week_of_year", "split")
+    train = h.where((F.col("split") == "train") & (F.col("species") != fx.FIXTURE_UNKNOWN_ENTITY))
+    digits = [F.array_join(F.transform(f"{c}_onehot", lambda x: x.cast("int").cast("string")), "").alias(f"{c}_digits")
+              for c in model.BASE_CATEGORICAL]
+    return model.one_hot(train, h, model.BASE_CATEGORICAL).select(*h.columns, *digits)
 
 
-def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit on the train years, save the pipeline, score the test year."""
-    return _fit_and_score(spark, fx.fixture_history(spark, sf_dir), model.BASE_NUMERIC, MAX_ITER_BASE)
+WEATHER_NUMERIC = model.BASE_NUMERIC + WEEKLY_COVARIATES + LAGGED_COVARIATES
+
+
+def _fit(feats: DataFrame, numeric, max_iter: int):
+    return model.fit_presence_model(feats, TARGET_COL, fx.FIXTURE_TRAIN_END_YEAR, fx.FIXTURE_VALID_YEAR,
+                                    fx.FIXTURE_TEST_YEAR, numeric=numeric, max_iter=max_iter)
+
+
+def _reloaded(spark: SparkSession, fitted):
+    """The model as every later job gets it: saved and loaded."""
+    path = scratch_path(spark, "model")
+    model.save_model(fitted, path)
+    return model.load_model(path)
+
+
+def _base_model(spark: SparkSession, sf_dir: str):
+    return _fit(fx.fixture_history(spark, sf_dir), model.BASE_NUMERIC, MAX_ITER_BASE)
 
 
-def _weather_scores(spark: SparkSession, sf_dir: str, rounded: bool) -> DataFrame:
+def _weather_model(spark: SparkSession, sf_dir: str):
+    """History first, on the narrow panel; the covariates join its result."""
     weekly = covariates.weekly_covariates(tables.daily_covariates(spark, sf_dir))
-    merged = covariates.merge_covariates(fx.fixture_panel(spark, sf_dir), weekly)
-    feats = features.add_history(merged)
-    return _fit_and_score(spark, feats, model.BASE_NUMERIC + WEEKLY_COVARIATES + LAGGED_COVARIATES,
-                          MAX_ITER_WEATHER, rounded)
+    feats = covariates.merge_covariates(fx.fixture_history(spark, sf_dir), weekly)
+    return _fit(feats, WEATHER_NUMERIC, MAX_ITER_WEATHER)
+
+
+SCORE_KEY = ["species", "stateProvince", "year", "week_of_year"]
+
+
+def _test_scores(fitted, split: DataFrame) -> DataFrame:
+    test = split.where(F.col("split") == "test")
+    return model.score(fitted, test, keep=[*SCORE_KEY, TARGET_COL]).withColumnRenamed(TARGET_COL, "y_true")
+
+
+def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit on the train years, save, load, score the test year."""
+    fitted, split = _base_model(spark, sf_dir)
+    return fx.round_doubles(_test_scores(_reloaded(spark, fitted), split))
 
 
 def train_score_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The covariate variant: history features + 14 weekly covariates."""
-    return _weather_scores(spark, sf_dir, True)
+    fitted, split = _weather_model(spark, sf_dir)
+    return fx.round_doubles(_test_scores(_reloaded(spark, fitted), split))
+
+
+def model_reload_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows, and those whose score by the loaded model differs."""
+    fitted, split = _base_model(spark, sf_dir)
+    again = _test_scores(_reloaded(spark, fitted), split).select(
+        *SCORE_KEY, F.col("y_proba").alias("p2"), F.col("y_pred").alias("h2"))
+    both = _test_scores(fitted, split).join(again, SCORE_KEY, "full")
+    same = F.col("y_proba").eqNullSafe(F.col("p2")) & F.col("y_pred").eqNullSafe(F.col("h2"))
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~same).alias("n_diff"))
+
+
+def fit_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: the objective's gradient at the fitted coefficients, three digits."""
+    fitted, split = _base_model(spark, sf_dir)
+    return fx.round_doubles(model.objective_gradient(
+        fitted, split, TARGET_COL, model.BASE_CATEGORICAL, model.BASE_NUMERIC), 3)
 
 
 def model_metrics_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B7 with the fitted covariate model: test-year metrics per region with
     the focus-group flag, best F1 first."""
-    scored = _weather_scores(spark, sf_dir, False)
-    m = metrics.grouped_metrics(scored, "stateProvince", flag_name="is_new_england",
-                                flag_members=fx.FIXTURE_FOCUS_REGIONS)
+    fitted, split = _weather_model(spark, sf_dir)
+    m = metrics.grouped_metrics(_test_scores(_reloaded(spark, fitted), split), "stateProvince",
+                                flag_name="is_new_england", flag_members=fx.FIXTURE_FOCUS_REGIONS)
     return fx.round_doubles(metrics.rank_by_f1(m, "stateProvince"))
 
 
+def model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both models, loaded, on validation and test: overall, per region,
+    per entity; ``is_new_england`` marks the focus group."""
+    parts = []
+    for name, build in (("base", _base_model), ("weather", _weather_model)):
+        fitted, split = build(spark, sf_dir)
+        parts.append(model.evaluate(_reloaded(spark, fitted), split, TARGET_COL).select(F.lit(name).alias("model"), "*"))
+    focus = (F.col("level") == "stateProvince") & F.col("key").isin(fx.FIXTURE_FOCUS_REGIONS)
+    return fx.round_doubles(parts[0].unionByName(parts[1]).withColumn("is_new_england", focus))
+
+
+def model_focus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The focus group's regions only, best F1 first, on the fixed score."""
+    m = metrics.grouped_metrics(fx.fixture_scored_test(spark, sf_dir), "stateProvince",
+                                flag_name="is_new_england", flag_members=fx.FIXTURE_FOCUS_REGIONS)
+    return fx.round_doubles(metrics.rank_by_f1(metrics.only_flagged(m, "is_new_england"), "stateProvince"))
+
+
+def model_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M14 of the loaded model, validation and test."""
+    fitted, split = _base_model(spark, sf_dir)
+    loaded = _reloaded(spark, fitted)
+    parts = [metrics.class_report(model.score(loaded, split.where(F.col("split") == s), keep=[TARGET_COL])
+                                  .withColumnRenamed(TARGET_COL, "y_true")).select(F.lit(s).alias("split"), "*")
+             for s in ("valid", "test")]
+    return fx.round_doubles(parts[0].unionByName(parts[1]))
+
+
 def presence_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M16/M17 with the fitted covariate model: every requested pair is
-    assembled (activity, corridor, recent covariates, season), mapped to the
-    training schema and scored in one transform, then the rules apply.
-    Request entities unknown to the entity dimension are imputed with the
-    training mode, as the fitted imputer does."""
-    weekly = covariates.weekly_covariates(tables.daily_covariates(spark, sf_dir))
-    feats_hist = features.add_history(covariates.merge_covariates(fx.fixture_panel(spark, sf_dir), weekly))
-    fitted, _ = model.fit_presence_model(
-        feats_hist, "present_rel_10pct_peak", fx.FIXTURE_TRAIN_END_YEAR, fx.FIXTURE_VALID_YEAR,
-        fx.FIXTURE_TEST_YEAR, numeric=model.BASE_NUMERIC + WEEKLY_COVARIATES + LAGGED_COVARIATES,
-        max_iter=MAX_ITER_WEATHER)
-    reps = _reports(spark, sf_dir)
+    """M16/M17/J-4 with a model fitted on the requested entities and regions
+    and loaded: every requested pair is assembled (activity, corridor, recent
+    covariates, season) and scored in one transform, then the rules apply.
+    An unknown entity or region raises."""
+    daily = tables.daily_covariates(spark, sf_dir, by_state=True)
+    weekly = covariates.weekly_covariates(daily.withColumnRenamed("state", "stateProvince"))
+    hist = features.add_history(panel.build_panel(tables.serving_observations(spark, sf_dir), months=fx.FIXTURE_MONTHS))
+    fitted, _ = _fit(covariates.merge_covariates(hist, weekly), WEATHER_NUMERIC, MAX_ITER_WEATHER)
+    reps = recent.prepare_reports(tables.serving_reports(spark, sf_dir))
     act = recent.recent_activity(reps, fx.FIXTURE_AS_OF, landed="ts")
     requests = reps.select("state", "comName").distinct()
     corridor = recent.corridor_signal(requests, act, region_dim(spark))
-    weather = recent.recent_covariates(tables.daily_covariates(spark, sf_dir, by_state=True), region="state")
-    feats = score.assemble_features(requests, act, corridor, weather, fx.FIXTURE_AS_OF)
-    # the test entities (event types) are not in the 4-entity dimension: they
-    # are scored with the training mode instead of raising
-    scored = score.model_probability(fitted, score.to_model_features(feats, species_dim(spark), strict=False))
-    out = score.apply_rules(scored)
-    return fx.round_doubles(out.select(
-        "*", percent_text("probability_present").alias("probability_text"),
-        fixed_text("temp_mean_f").alias("temp_mean_f_text"),
-        fixed_text("lag_1_obs_count", 0).alias("local_last_7d_text")))
+    feats = score.assemble_features(requests, act, corridor, recent.recent_covariates(daily, region="state"),
+                                    fx.FIXTURE_AS_OF)
+    scored = score.model_probability(_reloaded(spark, fitted), score.to_model_features(feats, species_dim(spark)))
+    out = score.full_row(scored, WEATHER_NUMERIC)
+    return out.select(
+        *[F.round(c, 6).alias(c) if c == "probability_present" else F.col(c) for c in out.columns],
+        percent_text("probability_present").alias("probability_text"),
+        fixed_text("model_features.lag_1_obs_count", 0).alias("local_last_7d_text"))
 
 
 # --- lake and payloads (B1, S6, S7) ---------------------------------------------
@@ -324,6 +392,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_weights": class_weights,
     "mode_impute": mode_impute,
     "scaled_features": scaled_features,
+    "encoded_features": encoded_features,
+    "model_reload_diff": model_reload_diff,
+    "fit_optimality": fit_optimality,
+    "model_evaluation": model_evaluation,
+    "model_class_report": model_class_report,
+    "model_focus_report": model_focus_report,
     "train_score": train_score,
     "train_score_weather": train_score_weather,
     "presence_model_scores": presence_model_scores,

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.dims import state_order
+from tessera.dims import SPECIES_MAP, state_order
 
 # As-of instant of the recent-activity fixture (the fourth 7-day bin starts
 # exactly at the first event day).
@@ -88,6 +88,30 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _one_of(values, key: str) -> F.Column:
+    """The value at position ``key % len(values)``."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.col(key), F.lit(len(values))) + 1).cast("int"))
+
+
+def serving_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations in the vocabulary of the requests: species = scientific
+    name at position ``custkey % 4``, region = state at ``nationkey % 15``."""
+    orders = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    customer = table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
+    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_shipdate"])
+    who = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
+        "o_orderkey", _one_of([s for s, _ in SPECIES_MAP.values()], "c_custkey").alias("species"),
+        state_of_user("c_nationkey").alias("stateProvince"))
+    return li.join(who, li.l_orderkey == who.o_orderkey).select(
+        "species", "stateProvince", F.to_date("l_shipdate").alias("eventDate"), F.year("l_shipdate").alias("year"),
+        F.month("l_shipdate").alias("month"), F.dayofmonth("l_shipdate").alias("day"))
+
+
+def serving_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``recent_observations`` with the common name at ``event_id % 4``."""
+    return recent_observations(spark, sf_dir).withColumn("comName", _one_of(list(SPECIES_MAP), "obs_id"))
+
+
 def flag_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense variant: species = l_returnflag, stateProvince = supplier's region name."""
     li = table(spark, sf_dir, "lineitem", ["l_suppkey", "l_returnflag", "l_shipdate"])

@@ -113,3 +113,38 @@ def test_unknown_entity_raises_when_strict(spark):
         score.to_model_features(feats, species_dim(spark)).collect()
     lax = score.to_model_features(feats, species_dim(spark), strict=False).collect()
     assert {r.comName: r.species for r in lax} == {"Yellow Warbler": "Setophaga petechia", "Dodo": None}
+
+
+def test_gradient_vanishes_at_the_fit_only(spark):
+    pdf = make_frame(seed=5)
+    fitted, split = model.fit_presence_model(spark.createDataFrame(pdf), "y", 2000, 2001, 2002,
+                                             categorical=["cat"], numeric=["x1", "x2"], max_iter=500)
+    got = {r.feature: r.gradient for r in model.objective_gradient(fitted, split, "y", ["cat"], ["x1", "x2"]).collect()}
+    assert set(got) == {"cat=p", "cat=q", "cat=r", "x1", "x2", "intercept"}
+    assert max(abs(g) for g in got.values()) < 5e-4
+    poor, split = model.fit_presence_model(spark.createDataFrame(pdf), "y", 2000, 2001, 2002,
+                                           categorical=["cat"], numeric=["x1", "x2"], max_iter=1)
+    got = [r.gradient for r in model.objective_gradient(poor, split, "y", ["cat"], ["x1", "x2"]).collect()]
+    assert max(abs(g) for g in got) > 1e-2
+
+
+def test_evaluate_counts_validation_and_test_rows(spark):
+    pdf = make_frame(seed=6)
+    fitted, split = model.fit_presence_model(spark.createDataFrame(pdf), "y", 2000, 2001, 2002,
+                                             categorical=["cat"], numeric=["x1", "x2"], max_iter=100)
+    rows = {(r.split, r.level, r.key): r for r in model.evaluate(fitted, split, "y", levels=((), ("cat",))).collect()}
+    scored = model.score(fitted, split, keep=["split", "cat", "y"]).toPandas()
+    assert len(rows) == 8
+    for (part, level, key), r in rows.items():
+        own = scored[(scored.split == part) & ((scored.cat == key) | (level == "overall"))]
+        assert r.n_rows == len(own) and abs(r.accuracy - (own.y == own.y_pred).mean()) < 1e-12
+        pos, neg = own[own.y == 1].y_proba.values, own[own.y == 0].y_proba.values
+        wins = (pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()
+        assert abs(r.roc_auc - wins / (len(pos) * len(neg))) < 1e-9
+
+
+def test_one_hot_of_unknown_and_missing_values(spark):
+    train = spark.createDataFrame([("a",), ("b",), ("b",)], "c string")
+    df = spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "c string")
+    got = {r.c: r.c_onehot for r in model.one_hot(train, df, ["c"]).collect()}
+    assert got == {"a": [1.0, 0.0], "b": [0.0, 1.0], "z": [0.0, 0.0], None: [0.0, 1.0]}

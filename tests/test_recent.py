@@ -77,3 +77,22 @@ def test_recent_covariates_needs_14_rows(spark):
     rows = [("S", dt.date(2024, 1, 1) + dt.timedelta(days=i), 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0) for i in range(13)]
     with pytest.raises(Exception, match="at least 14"):
         recent.recent_covariates(spark.createDataFrame(rows, DAILY), region="state").collect()
+
+
+def test_full_row_carries_names_and_both_structs(spark):
+    from tessera.operators import score
+
+    row = spark.createDataFrame(
+        [("Maine", "Yellow Warbler", "Setophaga petechia", "Setophaga petechia", "Maine", 20, 1.0, 0.0, 3.0, 0.0, 0.9, 1,
+          10.0, 15.0, 5.0, 25.4, 10.0)],
+        "state string, comName string, scientific_name string, species string, stateProvince string, week_of_year int, "
+        "lag_1_obs_count double, lag_2_obs_count double, south_corridor_obs_last_7d double, "
+        "south_corridor_obs_prev_7d double, probability_present double, prediction int, temp_mean_7d double, "
+        "temp_max_7d double, temp_min_7d double, precip_sum_7d double, wind_max_7d double")
+    r = score.full_row(row, ["week_of_year", "lag_1_obs_count"]).first()
+    assert set(r.asDict()) == {
+        "bird_common_name", "bird_scientific_name", "state", "prediction", "prediction_label", "probability_present",
+        "interpretation", "arrival_estimate", "model_features", "corridor_features", "migration_warning",
+        "adjusted_interpretation"}
+    assert r.bird_scientific_name == "Setophaga petechia" and r.model_features.lag_1_obs_count == 1.0
+    assert r.corridor_features.south_corridor_obs_last_7d == 3.0 and r.adjusted_interpretation == "Emerging signal"
