@@ -65,6 +65,15 @@ def process_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+def release_worker_memory() -> None:
+    """Called where an operator's tasks begin: forget what another operator
+    left in this Python worker, and give unused Arrow memory back."""
+    home = sys.modules.get("tessera_worker_cache")
+    for kept in [v for v in vars(home).values() if isinstance(v, dict)] if home else []:
+        kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def add_columns(df: DataFrame, inputs: list[str], new: list[tuple[str, str]], start) -> DataFrame:
     """``df`` with the columns ``new`` (name, type) computed by Python, batch
     by batch.  ``start()`` is called once a task and returns a function from
@@ -74,6 +83,7 @@ def add_columns(df: DataFrame, inputs: list[str], new: list[tuple[str, str]], st
     names = [*df.columns, *(n for n, _ in new)]
 
     def run(batches):
+        release_worker_memory()
         work = start()
         for b in batches:
             got = work(*[b.column(c).to_pylist() for c in inputs])

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import add_columns, load, most_frequent, pick, stored
+from tessera.llm.common import add_columns, load, most_frequent, pick, release_worker_memory, stored
 
 #: Upper bound of labelled rows that the model is fit on.
 FIT_ROWS = 20_000
@@ -37,6 +37,8 @@ MAX_WORDS = 200_000
 MAX_GRAMS = 50_000
 #: Unseen words whose scores a task remembers.
 MEMO = 200_000
+#: Counts a task gathers before it hands them on.
+HELD_COUNTS = 100_000
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 
@@ -63,6 +65,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     """word, lang, n over the rows (text, lang)."""
 
     def run(batches):
+        release_worker_memory()
         counts = Counter()
 
         def frame():
@@ -72,7 +75,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             for text, lang in zip(b["text"], b["lang"], strict=True):
                 for w, c in Counter(words_of(text)).items():
                     counts[w, lang] += c
-                if len(counts) > 500_000:
+                if len(counts) > HELD_COUNTS:
                     yield frame()
                     counts.clear()
         yield frame()
@@ -85,15 +88,21 @@ def gram_counts(words: DataFrame) -> DataFrame:
     """ord (0: whole word), gram, lang, n from counted words."""
 
     def run(batches):
+        counts = Counter()
+
+        def frame():
+            return pd.DataFrame([(o, g, la, n) for (o, g, la), n in counts.items()], columns=["ord", "gram", "lang", "n"])
+
         for b in batches:
-            counts = Counter()
             for w, lang, n in zip(b["word"], b["lang"], b["n"], strict=True):
                 counts[0, w, lang] += n
                 for o in ORDERS:
                     for g in grams_of(w, o):
                         counts[o, g, lang] += n
-            yield pd.DataFrame([(o, g, la, n) for (o, g, la), n in counts.items()],
-                               columns=["ord", "gram", "lang", "n"])
+                if len(counts) > HELD_COUNTS:
+                    yield frame()
+                    counts.clear()
+        yield frame()
 
     parts = words.mapInPandas(run, "ord int, gram string, lang string, n bigint")
     return parts.groupBy("ord", "gram", "lang").agg(F.sum("n").alias("n"))
