@@ -135,6 +135,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, cac
     ``cache_entries`` trades a worker's memory against its speed."""
 
     def run(batches):
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker held
         cache = process_cache("chunks")
         coder = ChunkTokenizer(tokenizer_path, cache, cache_entries)
         end = np.array([END_ID], dtype="<u4").tobytes()
