@@ -50,6 +50,8 @@ PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters of plain words, which the tokenizer never divides before its merges.
 PLAIN_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
 PLAIN_WORD = re.compile(f" ?[{PLAIN_LETTERS}]+")
+#: A line feed between two characters that are not white space: a word of its own.
+LINE_FEED = re.compile(r"(?<=\S)\n(?=\S)")
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
@@ -75,10 +77,13 @@ class ChunkTokenizer:
         cache.setdefault("old", {})
 
     def _encode(self, chunk: str) -> bytes:
-        head, line_feed, tail = chunk.partition("\n")
-        if line_feed and head and tail and not head[-1].isspace() and not tail[0].isspace():
-            # A line feed between two other characters is a word of its own.
-            return self._chunk(head) + self._known(line_feed) + self._chunk(tail)
+        if "\n" in chunk:
+            # In one loop, as a chunk may have any number of lines.
+            get, line_feed = self.cache["young"].get, self._known("\n")
+            return line_feed.join([self._line(part) if (got := get(part)) is None else got for part in LINE_FEED.split(chunk)])
+        return self._line(chunk)
+
+    def _line(self, chunk: str) -> bytes:
         word = chunk.rstrip(PUNCTUATION)
         if word and len(word) < len(chunk) and word[-1].isalpha():
             # Letters end where punctuation begins: a word boundary of the tokenizer too.
@@ -87,10 +92,6 @@ class ChunkTokenizer:
             return got
         return self._known(chunk)
 
-    def _chunk(self, chunk: str) -> bytes:
-        got = self.cache["young"].get(chunk)
-        return self._encode(chunk) if got is None else got
-
     def _known(self, chunk: str) -> bytes:
         young = self.cache["young"]
         got = young.get(chunk)

@@ -170,6 +170,15 @@ def test_chunked_tokens_equal_whole_tokens(sample_docs):
         assert np.frombuffer(coder.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_lines_without_spaces_are_cut_in_one_loop():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    coder = packing.ChunkTokenizer(packing.tokenizer_path(), {}, 1000)
+    for t in ("\n".join(f"word{i % 5000}" for i in range(100_000)), "日本\n" * 3000, "a\n\nb\nc\r\nd\n" * 2000, "\n" * 3000 + "x\ny"):
+        assert np.frombuffer(coder.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def test_packed_documents(spark, tmp_path):
     from tokenizers import Tokenizer
 
