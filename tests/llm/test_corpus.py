@@ -276,6 +276,34 @@ def test_stages_keep_the_columns_and_clean_documents(spark, sample_docs, tmp_pat
     check_packed(check, [(0, c[3]) for c in check], 1024)
 
 
+def test_near_dedup_keeps_its_rows_when_the_splits_change(spark, tmp_path, monkeypatch):
+    rows = [(i, f"unique words number {i * 7919} of text {i * 31} " * 3, "en", "s") for i in range(40)]
+    rows += [(1000 + i, r[1], "en", "s") for i, r in enumerate(rows[:10])]
+    path = str(tmp_path / "docs")
+    table(spark, rows).repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    whole = corpus_pipeline.simhash.components_of
+    expected = whole(docs.select("doc_id", "text")).groupBy("component_id").count().collect()
+
+    def components_then_other_splits(*args):
+        found = whole(*args)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return found
+
+    monkeypatch.setattr(corpus_pipeline.simhash, "components_of", components_then_other_splits)
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "5")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+        kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = sorted(r["doc_id"] for r in kept.collect())
+    finally:
+        for key in ("maxPartitionBytes", "minPartitionNum", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+    assert got == sorted(r["component_id"] for r in expected)
+
+
 def test_pipeline_of_no_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, saved(spark, tmp_path, [])).count() == 0
 
