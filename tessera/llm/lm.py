@@ -8,15 +8,18 @@ the class from the two classes before it,
     s(c | a, b) = (C1 * R[a] + C2 * R[b]) . Q[c] + bias[c],
 
 and is trained in numpy by noise-contrastive estimation against the class
-frequencies.  Batched matrix products over all contexts then give the
-normalised log-probabilities.  Inside its class a token has its smoothed
+frequencies.  The score is a sum of a part of (a, c) and a part of (b, c), so
+matrix products over all contexts give the normalised log-probabilities from
+three tables of classes by classes.  Inside its class a token has its smoothed
 frequency, so the probabilities of all tokens in any context, one unknown type
 for each shared class included, add up to 1.
 
 What is learned comes from every training text: token counts (a distributed
-count, partly summed in the tasks) and counts of class triples, of which there
-are at most CLASSES**3 however large the corpus.  The training steps run over
-those triples, drawn in proportion to their counts.
+count, partly summed in the tasks) and counts of class triples.  Every pass of
+the training goes over all counted triples, each weighted with its count, and
+takes the expectation over the noise exactly.  Classes grow with the cube root
+of the training tokens, as far as there are distinct tokens for them; the
+dimension grows with the classes, the steps with their cube.
 
 Scoring looks frequent tokens up in a table of at most ``HEAD`` entries that
 travels to the tasks.  All other tokens are joined to the counts by a shuffle,
@@ -43,10 +46,20 @@ from tessera.llm.common import load, most_frequent, pick, stored
 #: Token entries that travel to the tasks.
 HEAD = 100_000
 #: Classes: the end mark, frequent tokens one by one, and classes by spelling.
+#: These are the smallest numbers, see ``class_numbers``.
 FREQUENT, SPELLED = 63, 32
 CLASSES = 1 + FREQUENT + SPELLED
 END = 0
-DIM, NOISE, STEPS, BATCH, RATE, SEED = 24, 20, 600, 4096, 0.1, 11
+#: Training tokens for each possible class triple, from which the number of classes follows.
+TOKENS_PER_TRIPLE = 4
+#: Classes for each dimension; noise draws for each token.
+CLASSES_PER_DIM, NOISE, RATE, SEED = 4, 20, 0.1, 11
+#: Least batches of a pass, least passes and least steps; scores of a batch.
+BATCHES, PASSES, STEPS, BATCH_SCORES = 16, 10, 600, 2**20
+#: Triples the driver holds; more are read from the stored table part by part.
+HELD = 4_000_000
+#: Tokens whose triples a task counts before it hands counts on.
+COUNTED = 2_000_000
 #: Distinct tokens a task holds before it hands counts on.
 FLUSH = 400_000
 
@@ -57,9 +70,16 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def spelled_class(word: bytes) -> int:
+def class_numbers(tokens: int, distinct: int) -> tuple[int, int]:
+    """Classes of frequent tokens and classes by spelling for a corpus."""
+    grown = round((tokens / TOKENS_PER_TRIPLE) ** (1 / 3))
+    spelled = max(SPELLED, min(grown // 3, distinct // 2))
+    return max(FREQUENT, min(grown - 1 - spelled, distinct)), spelled
+
+
+def spelled_class(word: bytes, frequent: int = FREQUENT, spelled: int = SPELLED) -> int:
     tail = word[-2:]
-    return 1 + FREQUENT + (tail[0] * 31 + tail[-1] * 7 + len(tail)) % SPELLED
+    return 1 + frequent + (tail[0] * 31 + tail[-1] * 7 + len(tail)) % spelled
 
 
 def held_out(id_col: str = "doc_id"):
@@ -87,89 +107,165 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def class_ids(words: list[bytes], classes: dict) -> np.ndarray:
+def class_ids(words: list[bytes], classes: dict, frequent: int = FREQUENT, spelled: int = SPELLED) -> np.ndarray:
     """Classes of a text's tokens and of its end mark."""
     get = classes.get
-    out = [c if (c := get(w)) is not None else spelled_class(w) for w in words]
+    out = [c if (c := get(w)) is not None else spelled_class(w, frequent, spelled) for w in words]
     out.append(END)
     return np.array(out, dtype=np.int64)
 
 
-def triple_codes(ids: np.ndarray) -> np.ndarray:
-    """(class before last, class before, class) as one number; texts begin
-    after two end marks."""
-    padded = np.concatenate([[END, END], ids])
-    return (padded[:-2] * CLASSES + padded[1:-1]) * CLASSES + padded[2:]
+def padded_ids(ids: np.ndarray) -> np.ndarray:
+    """Texts begin after two end marks."""
+    return np.concatenate([[END, END], ids])
 
 
-def triple_counts(texts: DataFrame, classes: dict) -> DataFrame:
-    """code, n over all texts: at most CLASSES**3 rows."""
+def triple_codes(ids: np.ndarray, size: int = CLASSES) -> np.ndarray:
+    """(class before last, class before, class) as one number."""
+    padded = padded_ids(ids)
+    return (padded[:-2] * size + padded[1:-1]) * size + padded[2:]
 
-    def run(batches):
-        total = np.zeros(CLASSES**3, dtype=np.int64)
-        for b in batches:
-            memo = classes
-            codes = [triple_codes(class_ids(tokens_of(t), memo)) for t in b.column("text").to_pylist()]
-            if codes:
-                total += np.bincount(np.concatenate(codes), minlength=len(total))
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 50_000):
-            part = at[i:i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["code", "n"])
 
-    return (texts.select("text").mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")))
+def triple_counts(texts: DataFrame, classes: dict, frequent: int = FREQUENT, spelled: int = SPELLED) -> DataFrame:
+    """code, n over all texts: one row for each triple that occurs."""
+    size = 1 + frequent + spelled
 
+    def run(batches):
+        codes, held = [], 0
+
+        def counted():
+            found, n = np.unique(np.concatenate(codes), return_counts=True)
+            for i in range(0, len(found), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(found[i:i + 50_000]), pa.array(n[i:i + 50_000].astype(np.int64))],
+                                                 names=["code", "n"])
 
-def train(codes: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """log10 P(class | context) as an array of CLASSES**2 by CLASSES."""
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                codes.append(triple_codes(class_ids(tokens_of(t), classes, frequent, spelled), size))
+                held += len(codes[-1])
+                if held > COUNTED:
+                    yield from counted()
+                    codes, held = [], 0
+        if codes:
+            yield from counted()
+
+    return (texts.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")))
+
+
+class Scores:
+    """log10 P(c | a, b) from three tables of classes by classes."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        # exp in a matrix product: the largest of each row is taken out before.
+        top_a, top_b = first.max(axis=1, keepdims=True), second.max(axis=1, keepdims=True)
+        self.first, self.second = (first - top_a) / math.log(10), (second - top_b) / math.log(10)
+        total = np.exp(first - top_a) @ np.exp(second - top_b).T
+        self.norm = np.log10(np.maximum(total, np.finfo(float).tiny))
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """For each token of a text and its end mark."""
+        padded = padded_ids(ids)
+        a, b, c = padded[:-2], padded[1:-1], padded[2:]
+        return self.first[a, c] + self.second[b, c] - self.norm[a, b]
+
+
+def learn(parts, unigram: np.ndarray, groups: int = 1) -> Scores:
+    """``parts(i)`` gives the codes and counts of group i of the triples, all
+    triples of a context in the same group; ``unigram``: counts of the classes
+    as the last of a triple."""
+    size = len(unigram)
     rng = np.random.Generator(np.random.PCG64(SEED))
-    third = codes % CLASSES
-    unigram = np.bincount(third, weights=counts, minlength=CLASSES) + 0.5
-    noise = unigram / unigram.sum()
-    ctx, q = rng.normal(0, 0.1, (CLASSES, DIM)), rng.normal(0, 0.1, (CLASSES, DIM))
-    c1, c2, bias = np.ones(DIM) * 0.5, np.ones(DIM), np.log(noise)
+    total = unigram.sum()
+    noise = (unigram + 0.5) / (unigram + 0.5).sum()
+    dim = size // CLASSES_PER_DIM
+    ctx, q = rng.normal(0, 0.1, (size, dim)), rng.normal(0, 0.1, (size, dim))
+    c1, c2, bias = np.ones(dim) * 0.5, np.ones(dim), np.log(noise)
     params = [ctx, q, c1, c2, bias]
-    squares = [np.full_like(p, 1e-6) for p in params]
-    if len(codes):
-        share = np.cumsum(counts, dtype=np.float64) / counts.sum()
-        noise_cdf = np.cumsum(noise)
-        log_kn = np.log(NOISE * noise)
-        for _ in range(steps):
-            pick_at = np.minimum(np.searchsorted(share, rng.random(BATCH)), len(codes) - 1)
-            code = codes[pick_at]
-            a, b, c = code // (CLASSES * CLASSES), code // CLASSES % CLASSES, code % CLASSES
-            drawn = np.minimum(np.searchsorted(noise_cdf, rng.random((BATCH, NOISE))), CLASSES - 1)
-            out = np.concatenate([c[:, None], drawn], axis=1)
-            hidden = ctx[a] * c1 + ctx[b] * c2
-            score = np.einsum("bd,bkd->bk", hidden, q[out]) + bias[out]
-            # NCE: is the class from the data or one of NOISE draws from the noise?
-            err = 1.0 / (1.0 + np.exp(-(score - log_kn[out])))
-            err[:, 0] -= 1.0
-            # Gradients gathered by class with one matrix product.
-            weights = np.zeros((BATCH, CLASSES))
-            np.add.at(weights, (np.arange(BATCH)[:, None], out), err)
-            weights /= BATCH
-            g_hidden = weights @ q
-            g_ctx = np.zeros_like(ctx)
-            np.add.at(g_ctx, a, g_hidden * c1)
-            np.add.at(g_ctx, b, g_hidden * c2)
-            grads = [g_ctx, weights.T @ hidden, (g_hidden * ctx[a]).sum(0), (g_hidden * ctx[b]).sum(0), weights.sum(0)]
-            for p, s, g in zip(params, squares, grads, strict=True):
-                s += g * g
-                p -= RATE * g / np.sqrt(s)
-    first = np.repeat(np.arange(CLASSES), CLASSES)
-    second = np.tile(np.arange(CLASSES), CLASSES)
-    scores = (ctx[first] * c1 + ctx[second] * c2) @ q.T + bias
-    scores -= scores.max(axis=1, keepdims=True)
-    log_p = scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
-    return log_p / math.log(10)
+    squares = [np.full_like(p, 1e-20) for p in params]
+    per_group = max(1, -(-max(BATCHES, -(-size**3 // BATCH_SCORES)) // groups))
+    batches = per_group * groups
+    log_kn = np.log(NOISE * noise)
+
+    def step(a, b, at, c, counts):
+        """One batch: the classes of its contexts, and of each triple the place
+        of its context, its last class and its count."""
+        hidden = (ctx[a] * c1 + ctx[b] * c2).astype(np.float32)
+        # NCE: is the class from the data or one of NOISE draws from the noise?  Exact over data and noise.
+        data = hidden @ q.T.astype(np.float32)
+        data += (bias - log_kn).astype(np.float32)
+        data = 1.0 / (1.0 + np.exp(np.negative(data, out=data), out=data))
+        scale = batches / total
+        missed = counts * scale * (data[at, c] - 1.0)
+        mass = np.bincount(at, weights=counts, minlength=len(a)) * (scale * NOISE)
+        err = data
+        err *= mass.astype(np.float32)[:, None]
+        err *= noise.astype(np.float32)
+        err[at, c] += missed
+        # Gradients gathered by class with one matrix product.
+        g_hidden = err @ q.astype(np.float32)
+        g_ctx = np.zeros_like(ctx)
+        np.add.at(g_ctx, a, g_hidden * c1)
+        np.add.at(g_ctx, b, g_hidden * c2)
+        grads = [g_ctx, err.T @ hidden, (g_hidden * ctx[a]).sum(0), (g_hidden * ctx[b]).sum(0), err.sum(0)]
+        for p, s, g in zip(params, squares, grads, strict=True):
+            s += np.square(g, dtype=np.float64)
+            p -= RATE * g / np.sqrt(s)
+
+    def dealt(codes, counts):
+        """Batches of whole contexts, the contexts dealt by chance."""
+        contexts, at = np.unique(codes // size, return_inverse=True)
+        place = rng.permutation(len(contexts))
+        order = np.argsort(place[at] % per_group, kind="stable")
+        out = []
+        for mine in np.split(order, np.searchsorted(place[at][order] % per_group, np.arange(1, per_group))):
+            if len(mine):
+                own, own_at = np.unique(at[mine], return_inverse=True)
+                out.append((contexts[own] // size, contexts[own] % size, own_at, codes[mine] % size, counts[mine]))
+        return out
+
+    if total:
+        held = dealt(*parts(0)) if groups == 1 else None
+        for _ in range(max(PASSES, -(-STEPS // batches))):
+            for group in rng.permutation(groups).tolist():
+                work = held or dealt(*parts(group))
+                for i in rng.permutation(len(work)).tolist():
+                    step(*work[i])
+    return Scores((ctx * c1) @ q.T, (ctx * c2) @ q.T + bias)
+
+
+def train(codes: np.ndarray, counts: np.ndarray, size: int = CLASSES) -> np.ndarray:
+    """log10 P(class | context) as an array of size**2 by size: the whole
+    table, for few classes."""
+    got = learn(lambda _: (codes, counts), np.bincount(codes % size, weights=counts, minlength=size))
+    return (got.first[:, None, :] + got.second[None, :, :] - got.norm[:, :, None]).reshape(size * size, size)
+
+
+def train_stored(triples: DataFrame, size: int) -> Scores:
+    """``triples``: a stored table (code, n).  The driver holds at most about
+    HELD triples at a time and reads every triple in every pass."""
+    unigram = np.zeros(size)
+    rows = 0
+    for r in triples.groupBy(F.pmod("code", F.lit(size)).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect():
+        unigram[r["c"]] = r["n"]
+        rows += r["rows"]
+    groups = max(1, -(-rows // HELD))
+    group = F.pmod(F.hash(F.floor(F.col("code") / size)), F.lit(groups))
+
+    def read(i):
+        got = (triples.where(group == i) if groups > 1 else triples).toArrow()
+        codes, n = (got.column(c).to_numpy().astype(np.int64) for c in ("code", "n"))
+        order = np.argsort(codes)  # the order of the rows is not the same in every run
+        return codes[order], n[order]
+
+    return learn(read, unigram, groups)
 
 
 class Model:
-    """What scoring needs; its size is bounded by HEAD and CLASSES."""
+    """What scoring needs; its size follows from HEAD and the square of the classes."""
 
-    def __init__(self, classes, head, log_p, class_total, docs, n, v):
-        self.classes, self.head, self.log_p = classes, head, log_p
+    def __init__(self, classes, numbers, head, scores, class_total, docs, n, v):
+        self.classes, self.head, self.scores = classes, head, scores
+        self.numbers = numbers  # classes of frequent tokens and classes by spelling
         self.class_total = class_total  # smoothed count of each class
         self.docs = docs  # training texts: the count of the end mark
         self.n, self.v = n, v  # training tokens, distinct training tokens (end mark included)
@@ -181,43 +277,42 @@ def fit(texts: DataFrame, counts: DataFrame) -> Model:
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     head_rows = most_frequent(counts, "n", HEAD).collect()
     head = {bytes(r["word"]): r["n"] for r in sorted(head_rows, key=lambda r: (-r["n"], bytes(r["word"])))}
-    first = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    frequent, spelled = class_numbers((total or 0) + docs, distinct)
+    size = 1 + frequent + spelled
+    first = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
     classes = {bytes(r["word"]): 1 + i for i, r in enumerate(first)}
-    triples = triple_counts(texts, classes).toPandas()
-    codes, n = triples["code"].to_numpy(dtype=np.int64), triples["n"].to_numpy(dtype=np.int64)
-    order = np.argsort(codes)
-    log_p = train(codes[order], n[order])
+    scores = train_stored(stored(triple_counts(texts, classes, frequent, spelled), "lm-triples"), size)
 
     def by_class(batches):
         for b in batches:
-            at = [classes.get(w) or spelled_class(w) for w in b.column("word").to_pylist()]
+            at = [classes.get(w) or spelled_class(w, frequent, spelled) for w in b.column("word").to_pylist()]
             n = b.column("n").to_numpy() + 0.5
-            sums = np.bincount(at, weights=n, minlength=CLASSES) if at else np.zeros(CLASSES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(sums)], names=["c", "s"])
+            sums = np.bincount(at, weights=n, minlength=size) if at else np.zeros(size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(sums)], names=["c", "s"])
 
     sums = counts.mapInArrow(by_class, "c int, s double").groupBy("c").agg(F.sum("s").alias("s")).collect()
-    class_total = np.zeros(CLASSES)
+    class_total = np.zeros(size)
     for r in sums:
         class_total[r["c"]] = r["s"]
     class_total[END] = docs + 0.5
-    class_total[1 + FREQUENT:] += 0.5  # one unknown type for each shared class
-    return Model(classes, head, log_p, class_total, docs, (total or 0) + docs, (distinct or 0) + (1 if docs else 0))
+    class_total[1 + frequent:] += 0.5  # one unknown type for each shared class
+    return Model(classes, (frequent, spelled), head, scores, class_total, docs, (total or 0) + docs, (distinct or 0) + (1 if docs else 0))
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for
     the rows of ``docs`` (doc_id, text)."""
-    shipped = docs.sparkSession.sparkContext.broadcast((model.classes, model.head, model.log_p.ravel(), model.class_total))
+    shipped = docs.sparkSession.sparkContext.broadcast((model.classes, model.numbers, model.head, model.scores, model.class_total))
     denominator = math.log10(model.n + 0.5 * (model.v + 1))
     end_count = model.docs
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def run(batches):
-        classes, head, log_p, class_total = shipped.value
+        classes, (frequent, spelled), head, scores, class_total = shipped.value
         log_total = np.log10(np.maximum(class_total, 0.5))
         # Of each head token: its class and log10(c + 0.5), looked up by place.
         place = {w: i for i, w in enumerate(head)}
-        head_class = np.array([classes.get(w) or spelled_class(w) for w in head], dtype=np.int64)
+        head_class = np.array([classes.get(w) or spelled_class(w, frequent, spelled) for w in head], dtype=np.int64)
         head_log = np.log10(np.fromiter(head.values(), dtype=np.float64, count=len(head)) + 0.5)
         for b in batches:
             out_row, out_word, out_n, out_stats = [], [], [], []
@@ -229,8 +324,8 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 ids[-1] = END
                 ids[:-1][known] = head_class[at[known]]
                 rare = [words[i] for i in np.flatnonzero(~known).tolist()]
-                ids[:-1][~known] = [classes.get(w) or spelled_class(w) for w in rare]
-                model_part = log_p[triple_codes(ids)].sum() - log_total[ids].sum()
+                ids[:-1][~known] = [classes.get(w) or spelled_class(w, frequent, spelled) for w in rare]
+                model_part = scores.of(ids).sum() - log_total[ids].sum()
                 count_part = head_log[at[known]].sum() + math.log10(end_count + 0.5)
                 out_stats.append((row, doc_id, None, len(ids), int(known.sum()) + (1 if end_count else 0), model_part, count_part))
                 if rare:

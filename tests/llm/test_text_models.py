@@ -116,6 +116,37 @@ def test_class_model_is_normalised_and_learns():
     assert (counts * log_p[codes // lm.CLASSES, c]).sum() > (counts * np.log10(unigram[c])).sum()
 
 
+def test_every_counted_triple_is_trained_on():
+    size = lm.CLASSES
+    codes = np.array([(1 * size + 2) * size + 3, (5 * size + 6) * size + 7, (8 * size + 9) * size + 10])
+    log_p = lm.train(codes, np.array([10**9, 20, 20]))  # a draw of a few million would miss the rare ones
+    assert min(log_p[5 * size + 6, 7], log_p[8 * size + 9, 10]) > math.log10(20 / 10**9) + 2
+    assert log_p[5 * size + 6, 7] > log_p[5 * size + 6, 10] + 0.3 and log_p[8 * size + 9, 10] > log_p[8 * size + 9, 7] + 0.3
+
+
+def test_triples_in_parts_of_a_stored_table(spark, monkeypatch):
+    size, rng = 12, np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, size**3, 600))
+    counts = rng.integers(1, 40, len(codes))
+    rows = spark.createDataFrame(list(zip(codes.tolist(), counts.tolist(), strict=True)), "code bigint, n bigint")
+    fit = lambda scores: (counts * (scores.first[codes // size**2, codes % size] + scores.second[codes // size % size, codes % size]
+                                    - scores.norm[codes // size**2, codes // size % size])).sum() / counts.sum()
+    whole = fit(lm.train_stored(rows, size))
+    monkeypatch.setattr(lm, "HELD", 100)
+    monkeypatch.setattr(lm, "STEPS", 60)
+    monkeypatch.setattr(lm, "BATCHES", 4)
+    unigram = np.bincount(codes % size, weights=counts) / counts.sum()
+    parts = fit(lm.train_stored(rows, size))
+    assert parts > (counts * np.log10(unigram[codes % size])).sum() / counts.sum() and abs(parts - whole) < 0.2
+
+
+def test_classes_grow_with_the_training_tokens():
+    assert lm.class_numbers(0, 0) == lm.class_numbers(100_000, 5_000) == (lm.FREQUENT, lm.SPELLED)
+    sizes = [1 + sum(lm.class_numbers(n, 10**7)) for n in (10**7, 10**8, 10**9, 10**10)]
+    assert sizes == sorted(sizes) and all(b > 2 * a for a, b in zip(sizes, sizes[1:], strict=False))
+    assert lm.class_numbers(10**10, 200) == (200, 100)
+
+
 def test_model_beats_the_base_on_held_out_text(spark):
     got = lm.op5_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.count("*")).first()
     assert got[0] > got[1] and got[2] > 100
