@@ -3,7 +3,10 @@
 A page is parsed into a tree (forgiving: unclosed tags end where HTML says
 they do).  Parts that cannot be the article are left out: navigation, headers,
 footers, sidebars, forms, scripts, styles, adverts, notices, comment sections,
-by tag, role and the words of their class and id.  Every paragraph gives
+by tag and role, and containers by the whole names of their class and id.  A
+container named like a part of the layout stays if it holds most of the page's
+text outside of links, and if hardly any text is left without the named ones,
+they all stay.  Every paragraph gives
 points for its length and its commas to its parent, half of them to the
 grandparent, a third to the ancestor above; a container's points are
 discounted by its link density.  The best container is kept, together with
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +56,7 @@ DROP = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "inp
               "dialog", "menu", "label", "audio", "video", "map"}
 DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu",
               "menubar", "form", "toolbar", "note"}
-#: Words of a class or id that mark other parts of the page.
+#: Names (classes or ids) of other parts of the page.
 DROP_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo",
               "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside",
               "footer", "footnav", "header", "masthead", "topbar", "toolbar", "comment", "comments", "commentlist", "disqus",
@@ -60,40 +64,83 @@ DROP_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
               "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share",
               "sharing", "social", "related", "recommended", "recommendations", "widget", "pagination", "pager", "search",
               "copyright", "legal", "disclaimer", "skip", "toc", "rail", "outbrain", "taboola"}
+#: Of these, what has text of its own but is never the article, however long.
+FOREIGN_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "comment",
+                 "comments", "commentlist", "disqus", "respond", "reply", "replies", "cookie", "cookies", "consent", "gdpr",
+                 "outbrain", "taboola"}
+#: In a compound: words for a container, which say nothing by themselves, and
+#: words for a state or for the article, which say it is another thing.
+NEUTRAL_WORDS = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content",
+                 "form", "global", "group", "holder", "inner", "item", "items", "left", "link", "links", "list", "main", "module",
+                 "outer", "page", "panel", "primary", "right", "row", "secondary", "section", "site", "slot", "thread", "top",
+                 "unit", "wrap", "wrapper"}
+STATE_WORDS = {"has", "no", "non", "not", "with", "without", "is", "show", "hide", "toggle", "fixed", "sticky", "open", "closed"}
+ARTICLE_WORDS = {"article", "entry", "post", "story", "hentry", "text"}
+#: Elements that a name can leave out.
+NAMED = {"div", "section", "ul", "ol", "dl", "table", "header", "details", "figure", "center", "address", "span", "iframe", "ins"}
+#: Characters under which hardly any text is left, link density of a container that may stay.
+LITTLE, LINKED = 50, 0.33
 #: Elements whose text scores.
 PARAGRAPH = {"p", "pre", "td", "blockquote", "li", "dd"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "score", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "children", "drop", "named", "score", "chars", "link_chars")
 
-    def __init__(self, tag, parent, drop=False):
+    def __init__(self, tag, parent, drop=False, named=0):
         self.tag, self.parent, self.drop = tag, parent, drop
+        self.named = named  # 1: named like a part of the layout, 2: like a foreign part
         self.children: list = []
         self.score = 0.0
         self.chars = self.link_chars = 0
 
 
-def unwanted(tag: str, attributes: str) -> bool:
-    """Whether an element is left out by its tag, role, class or id."""
+@lru_cache(maxsize=10_000)
+def marks(name: str) -> int:
+    """What one class or id names: 2 a foreign part of the page, 1 a part of
+    its layout, 0 anything else.  A compound names such a part by its last
+    word, or by its first if words for containers follow."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+    if not words or not STATE_WORDS.isdisjoint(words):
+        return 0
+    head = words[-1]
+    if head not in DROP_WORDS:
+        head = words[0]
+        if not all(w in DROP_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in words):
+            return 0
+        head = next((w for w in words if w in DROP_WORDS), "")
+    foreign = not FOREIGN_WORDS.isdisjoint(words)
+    if not head or not foreign and not ARTICLE_WORDS.isdisjoint(words) and head in ("header", "masthead", "banner"):
+        return 0  # the article's own header
+    return 2 if foreign else 1
+
+
+def unwanted(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element is left out by its tag or role, and what its class
+    and id name."""
     if tag in DROP:
-        return True
+        return True, 0
+    named = 0
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if not DROP_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-                return True
+            for one in value.split():
+                got = marks(one)
+                # A text block goes by a foreign name alone, a container by any.
+                if got == 2 or got and tag in NAMED:
+                    named = max(named, got)
         elif name == "role" and value in DROP_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, 0
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, 0
+    return False, named
 
 
-def parse(page: str) -> Node:
-    root = Node("#root", None)
+def parse(page: str) -> tuple[Node, list[Node]]:
+    """The root, and the elements named like other parts of the page."""
+    root, marked = Node("#root", None), []
     at, node, pos = root, root, 0
     while True:
         m = TOKEN.search(page, pos)
@@ -101,7 +148,7 @@ def parse(page: str) -> Node:
         if text:
             at.children.append(entities.unescape(text) if "&" in text else text)
         if not m:
-            return root
+            return root, marked
         pos = m.end()
         tag = m[2]
         if not tag:
@@ -114,7 +161,17 @@ def parse(page: str) -> Node:
             at = _close(at, {"p"}) if tag != "body" else at
         if tag in CLOSES:
             at = _close(at, CLOSES[tag])
-        node = Node(tag, at, unwanted(tag, m[3]) or tag == "header" and not _inside(at, "article"))
+        drop, named = unwanted(tag, m[3])
+        if tag == "header" and not drop:
+            drop = not _inside(at, "article")
+        node = Node(tag, at, drop, named)
+        if named and not drop:
+            marked.append(node)
+        if tag in ("h1", "main"):
+            up = at
+            while up is not None:  # what holds the title is judged by its text, whatever its name
+                up.named = min(up.named, 1)
+                up = up.parent
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
@@ -160,6 +217,7 @@ def measure(root: Node) -> list[Node]:
         order.append(n)
         todo += [c for c in reversed(n.children) if not isinstance(c, str) and not c.drop]
     for n in reversed(order):
+        n.chars = n.link_chars = 0
         for c in n.children:
             if isinstance(c, str):
                 n.chars += len(SPACE.sub(" ", c).strip())
@@ -171,6 +229,20 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def leave_out_named(root: Node, named: list[Node]) -> None:
+    """Sets drop of the named containers (in page order) that are no part of
+    the article."""
+    layout = [n for n in named if n.named == 1]
+    for n in named:
+        n.drop = n.named == 2
+    if not layout:
+        return
+    measure(root)
+    whole = root.chars - root.link_chars
+    for n in layout:  # what lies in a container that stays is judged by itself
+        n.drop = 2 * (n.chars - n.link_chars) <= whole or link_density(n) > LINKED
+
+
 def flat_text(node: Node) -> str:
     """Text of a node's own blocks, as one string."""
     out, todo = [], [node]
@@ -232,9 +304,23 @@ def link_density(node: Node) -> float:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root = parse(page)
+    root, named = parse(page)
+    leave_out_named(root, named)
+    text, sure = best_text(root)
+    if named and not sure and len(text) < LITTLE:  # a second try without the names
+        for n in named:
+            n.drop = False
+        return max(text, best_text(root)[0], key=len)
+    return text
+
+
+def best_text(root: Node) -> tuple[str, bool]:
+    """The text of the best container and its siblings, and whether an element
+    says that it is the article."""
     order = measure(root)
     scored = set()
+    for n in order:
+        n.score = 0.0
     for n in order:
         prose = own_prose(n)
         if not prose:
@@ -254,7 +340,7 @@ def main_text(page: str | None) -> str:
             if best is None or n.score > best.score:
                 best = n
     if best is None:  # no paragraph: whatever text there is
-        return "\n".join(blocks(root))
+        return "\n".join(blocks(root)), False
     # An <article> or <main> around the best container holds the whole article.
     up = best
     while up is not None:
@@ -266,7 +352,8 @@ def main_text(page: str | None) -> str:
     if best.parent is not None and best.tag not in ("body", "article", "main"):
         near = max(10.0, best.score * 0.2)
         kept = [n for n in best.parent.children if n is best or not isinstance(n, str) and not n.drop and _sibling(n, near)]
-    return "\n".join(b for n in kept for b in blocks(n))
+    text = "\n".join(b for n in kept for b in blocks(n))
+    return text, bool(text) and best.tag in ("article", "main")
 
 
 def _sibling(node: Node, near: float) -> bool:

@@ -40,6 +40,32 @@ def test_link_lists_lose():
     assert got == "This is the article, it has prose, and commas.\nIt has two paragraphs, which is enough."
 
 
+ARTICLE = "<h1>The title</h1>" + "".join(f"<p>Paragraph {i} of the article, with commas, and enough words to score.</p>" for i in range(8))
+
+
+@pytest.mark.parametrize("name", [
+    'class="content has-sidebar"', 'class="no-sidebar"', 'class="site header-fixed"', 'class="with-ads"', 'id="search-result-article"',
+    'class="sidebar"', 'id="modal"', 'class="widget-area"', 'class="content ads"', 'class="post-header-text"'])
+def test_a_wrapper_of_the_article_stays_whatever_its_name(name):
+    want = main_text(f"<body><div>{ARTICLE}</div></body>")
+    beside = '<div class="cookie-notice"><p>We use cookies, many, and more.</p></div><div class="social-links"><a href=/>Share</a></div>'
+    assert want.count("Paragraph") == 8 and main_text(f"<body><div {name}>{ARTICLE}</div>{beside}</body>") == want
+
+
+def test_named_parts_of_an_article():
+    page = ('<body><article><div class="article-header"><h1>Head</h1></div><p class="notice">A notice, inside the article.</p>'
+            f'{ARTICLE}<div class="related-links"><p>More, of, that, kind.</p></div><p class="ad">Buy, now.</p></article>'
+            f'<div id="comments">{"<p>I think, as a reader, that this is great, really.</p>" * 90}</div></body>')
+    got = main_text(page)
+    assert got.startswith("Head\nA notice, inside the article.\nThe title\nParagraph 0")
+    assert "More" not in got and "Buy" not in got and "reader" not in got
+
+
+def test_named_parts_stay_if_nothing_else_is_left():
+    assert main_text('<body><div class="comments"><p>The only text, of this page.</p></div></body>') == "The only text, of this page."
+    assert main_text('<body><article><p>Short.</p></article><div class="comments"><p>Longer, than the article.</p></div></body>') == "Short."
+
+
 def test_table_of_pages(spark):
     rows = [(1, "u", PAGE, "text"), (1, "u", PAGE, "text"), (2, None, None, "x"), (None, "v", "", "y")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, score string")
