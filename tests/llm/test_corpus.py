@@ -276,6 +276,16 @@ def test_stages_keep_the_columns_and_clean_documents(spark, sample_docs, tmp_pat
     check_packed(check, [(0, c[3]) for c in check], 1024)
 
 
+def test_language_stage_without_labels_and_with_null_labels(spark):
+    rows = [(1, "the cat and the dog", None, "a"), (2, None, None, "a"), (3, "12 !!", None, "b"), (4, "日本", None, "b")]
+    got = corpus_pipeline.language_id(spark, table(spark, rows), "").collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in got) == [(1, None), (4, None)]
+    rows = [(i, "the cat and the dog", "en", "a") for i in range(20)] + [(i, "der Hund und das Haus", "de", "a") for i in range(20, 40)]
+    rows += [(50, "the cat", None, "a"), (51, "das Haus", None, "a"), (52, "das Haus", "en", "a"), (53, "12 !!", "en", "a")]
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, table(spark, rows), "").collect()}
+    assert got == {**{r[0]: r[2] for r in rows[:40]}, 50: "en", 51: "de", 52: "en"}
+
+
 def test_near_dedup_keeps_its_rows_when_the_splits_change(spark, tmp_path, monkeypatch):
     rows = [(i, f"unique words number {i * 7919} of text {i * 31} " * 3, "en", "s") for i in range(40)]
     rows += [(1000 + i, r[1], "en", "s") for i, r in enumerate(rows[:10])]
