@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, topk
+from tessera.llm import manifest, mixing, topk
 from tessera.llm.chat import op2_chat_formatting
 from tessera.llm.html import op1_html_extraction
 from tessera.llm.langid import op9_language_id
 from tessera.llm.lm import op5_lm_scoring
+from tessera.llm.manifest import op13_merkle_manifest
 from tessera.llm.mixing import op6_source_mixing
 from tessera.llm.ordermin import op3_order_minhash
 from tessera.llm.packing import op4_best_fit_packing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 CHAT_SQL = r"""
@@ -54,4 +56,5 @@ ORACLE = {
     "op2_chat_formatting": CHAT_SQL,
     "op6_source_mixing": mixing.ORACLE_SQL,
     "op7_exact_topk": topk.ORACLE_SQL,
+    "op13_merkle_manifest": manifest.ORACLE_SQL,
 }
