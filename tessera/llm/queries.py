@@ -11,6 +11,7 @@ from tessera.llm.manifest import op13_merkle_manifest
 from tessera.llm.mixing import op6_source_mixing
 from tessera.llm.ordermin import op3_order_minhash
 from tessera.llm.packing import op4_best_fit_packing
+from tessera.llm.quality import op12_quality_classifier
 from tessera.llm.simhash import op10_simhash_near_dedup
 from tessera.llm.suffix import op8_suffix_dedup
 from tessera.llm.topk import op7_exact_topk
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -56,5 +58,6 @@ ORACLE = {
     "op2_chat_formatting": CHAT_SQL,
     "op6_source_mixing": mixing.ORACLE_SQL,
     "op7_exact_topk": topk.ORACLE_SQL,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_merkle_manifest": manifest.ORACLE_SQL,
 }
