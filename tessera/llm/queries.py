@@ -15,6 +15,7 @@ from tessera.llm.quality import op12_quality_classifier
 from tessera.llm.simhash import op10_simhash_near_dedup
 from tessera.llm.suffix import op8_suffix_dedup
 from tessera.llm.topk import op7_exact_topk
+from tessera.llm.variants import op11_spelling_variants
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_quality_classifier": op12_quality_classifier,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
