@@ -11,10 +11,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Largest estimated size (bytes) of a data-derived side we broadcast after
 # measuring it; anything larger goes through a shuffle join.
@@ -82,32 +80,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/tessera-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _row_width(schema: T.StructType) -> int:
-    width = 8
-    for f in schema.fields:
-        dt = f.dataType
-        if isinstance(dt, (T.StringType, T.BinaryType)):
-            width += 32
-        elif isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
-            width += 128
-        else:
-            width += dt.defaultSize() if hasattr(dt, "defaultSize") else 8
-    return width
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a plain scan reads, as the planner knows them."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def sized_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Broadcast ``df`` only when its measured size is under ``limit_bytes``.
+def sized_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES, growth: int = 4) -> DataFrame:
+    """``df``, computed once, with a broadcast hint if it is small.
 
-    The frame is persisted and counted (one small job), so the decision rests
-    on its real row count, not on an optimizer estimate.  Beyond the limit the
-    frame is returned as is and the join stays a shuffle join.
+    The frame is written as a table and read back, so the decision rests on
+    the bytes it really has (times ``growth``, for what Parquet has saved) and
+    nothing stays cached: a later call sees what has landed since.  Beyond the
+    limit the join stays a shuffle join, on the stored table.
     """
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = cached.count()
-    if n * _row_width(df.schema) <= limit_bytes:
-        return F.broadcast(cached)
-    cached.unpersist()
-    return df
+    table = materialize(df, "broadcast-side")
+    return F.broadcast(table) if stored_bytes(table) * growth <= limit_bytes else table
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
