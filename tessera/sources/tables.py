@@ -179,3 +179,45 @@ def recent_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").alias("howMany"),
         "ts",
     )
+
+
+def rough_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``serving_reports`` with counts and times as they really come: blank,
+    ``x``, fractions, words; with a zone, date only, unreadable, missing."""
+    base = serving_reports(spark, sf_dir)
+    kind = F.col("obs_id") % 16
+    odd = ["", " x ", "X", "2.7", "1e3", "abc", "5d", " 7 ", "-3", "1_000"]
+    how_many = F.when(kind == 0, F.lit(None).cast("string"))
+    for i, text in enumerate(odd):
+        how_many = how_many.when(kind == i + 1, F.lit(text))
+    minute = F.date_format("ts", "yyyy-MM-dd'T'HH:mm")
+    shape = F.col("obs_id") % 9
+    when = (F.when(shape == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(shape == 1, F.concat(minute, F.lit(":30Z")))
+            .when(shape == 2, F.concat(minute, F.lit(":30+02:00"))).when(shape == 3, F.date_format("ts", "yyyy-MM-dd"))
+            .when(shape == 4, F.lit("garbage")).when(shape == 5, F.lit(None).cast("string")))
+    return base.withColumn("howMany", how_many.otherwise(F.col("howMany"))).withColumn("obsDt", when.otherwise(F.col("obsDt")))
+
+
+def full_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observation stand-in with all 22 columns filled; the locality holds
+    delimiters and quotes."""
+    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
+                                           "l_linestatus", "l_shipdate"])
+    orders = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    customer = table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment", "c_nationkey"])
+    nation = table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    rows = (li.join(orders, li.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+            .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")))
+    line = F.col("l_linenumber").cast("string")
+    return rows.select(
+        F.to_date("l_shipdate").alias("eventDate"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"),
+        F.dayofmonth("l_shipdate").alias("day"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("countryCode"),
+        F.col("n_name").alias("stateProvince"),
+        F.concat(F.lit("Site "), F.col("c_custkey").cast("string"), F.lit(', "'), "o_orderstatus", F.lit('"; east')).alias("locality"),
+        (F.col("n_nationkey") * 1.5 - 20.25).alias("decimalLatitude"), (-(F.col("c_custkey") % 180) - 0.75).alias("decimalLongitude"),
+        F.lit("Animalia").alias("kingdom"), F.when(F.col("l_linenumber") > 1, F.lit("Chordata")).alias("phylum"), F.lit("Aves").alias("class"),
+        F.col("o_orderpriority").alias("order"), F.concat("l_returnflag", "l_linestatus").alias("family"),
+        F.concat(F.lit("Genus "), line).alias("genus"), F.col("c_mktsegment").alias("species"), F.lit("SPECIES").alias("taxonRank"),
+        F.concat("c_mktsegment", F.lit(" "), line).alias("scientificName"),
+        F.when(F.col("l_quantity") > 0, F.lit("PRESENT")).alias("occurrenceStatus"),
+        F.col("l_quantity").cast("int").alias("individualCount"), F.col("l_partkey").alias("taxonKey"), F.col("l_suppkey").alias("speciesKey"))
