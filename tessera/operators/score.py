@@ -70,19 +70,22 @@ def apply_rules(df: DataFrame, state: str = "state", entity: str = "comName") ->
     )
 
 
-def full_row(scored: DataFrame, numeric, region: str = "state", entity: str = "comName") -> DataFrame:
+def full_row(scored: DataFrame, numeric, region: str = "state", entity: str = "comName", also=()) -> DataFrame:
     """The answer to a request as one row: names, prediction, texts, and
     the structs ``model_features`` (what the model was given) and
-    ``corridor_features``."""
-    ruled = apply_rules(scored, region, entity)
-    texts = ["prediction_label", "interpretation", "arrival_estimate", "migration_warning", "adjusted_interpretation"]
-    own = ruled.select(region, entity, *texts)
-    given = scored.select(
-        F.col(entity).alias("bird_common_name"), F.col("scientific_name").alias("bird_scientific_name"),
-        F.col(region).alias("state"), "prediction", "probability_present",
+    ``corridor_features``.  ``also`` names columns of the request to keep."""
+    p, local = F.col("probability_present"), F.col("lag_1_obs_count")
+    corr = F.coalesce(F.col("south_corridor_obs_last_7d"), F.lit(0.0))
+    return scored.select(
+        F.col(region).alias("state"), F.col(entity).alias("bird_common_name"),
+        F.col("scientific_name").alias("bird_scientific_name"), *also, "prediction", "probability_present",
         F.struct("species", "stateProvince", *numeric).alias("model_features"),
-        F.struct("south_corridor_obs_last_7d", "south_corridor_obs_prev_7d").alias("corridor_features"))
-    return given.join(own.withColumnsRenamed({region: "state", entity: "bird_common_name"}), ["state", "bird_common_name"])
+        F.struct("south_corridor_obs_last_7d", "south_corridor_obs_prev_7d").alias("corridor_features"),
+        rules.prediction_label(F.col("prediction")).alias("prediction_label"),
+        rules.interpret_probability(p).alias("interpretation"),
+        rules.arrival_window(p, corr, local).alias("arrival_estimate"),
+        rules.migration_warning(F.col(region), p, local).alias("migration_warning"),
+        rules.adjusted_interpretation(F.col(region), p, local).alias("adjusted_interpretation"))
 
 
 def to_model_features(feats: DataFrame, species_dim: DataFrame, region: str = "state",

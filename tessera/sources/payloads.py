@@ -14,6 +14,8 @@ schema.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,3 +75,21 @@ def land_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def read_reports_json(spark: SparkSession, path: str) -> DataFrame:
     """Landed report objects with a declared schema; a corrupt line raises."""
     return spark.read.schema(REPORT_LANDING_SCHEMA).option("mode", "FAILFAST").json(path)
+
+
+def read_any_measures(spark: SparkSession, path: str) -> DataFrame:
+    """S6 for payloads whose measures are not known beforehand: each line is
+    parsed as a VARIANT, and every array of ``daily`` beside ``time`` becomes
+    rows (stateProvince, date, measure, value).  A line that is no JSON, a
+    payload without ``time``, or an array of another length raises."""
+    lines = spark.read.text(path).select(F.parse_json("value").alias("payload"))
+    lines.createOrReplaceTempView(name := f"payload_{uuid.uuid4().hex}")
+    arrays = spark.sql(f"""
+        SELECT variant_get(payload, '$.stateProvince', 'string') AS stateProvince,
+               variant_get(payload, '$.daily.time', 'array<string>') AS time, key AS measure, cast(value AS array<double>) AS series
+        FROM {name}, LATERAL variant_explode(variant_get(payload, '$.daily')) WHERE key <> 'time'""")
+    bad = F.raise_error(F.concat(F.lit("incomplete daily payload of "), F.coalesce("stateProvince", F.lit("?")))).cast("boolean")
+    whole = F.coalesce(F.size("time") == F.size("series"), F.lit(False))
+    rows = arrays.where(F.when(whole, True).otherwise(bad)).select(
+        "stateProvince", "measure", F.explode(F.arrays_zip("time", "series")).alias("x"))
+    return rows.select("stateProvince", F.to_date("x.time", "yyyy-MM-dd").alias("date"), "measure", F.col("x.series").alias("value"))
