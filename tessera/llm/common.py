@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 
@@ -66,12 +68,34 @@ def process_cache(name: str) -> dict:
 
 
 def release_worker_memory() -> None:
-    """Called where an operator's tasks begin: forget what another operator
-    left in this Python worker, and give unused Arrow memory back."""
+    """Called where an operator's tasks begin and end: forget what an operator
+    left in this Python worker and give unused memory back to the system, so
+    that an idle worker holds little while other stages run."""
     home = sys.modules.get("tessera_worker_cache")
     for kept in [v for v in vars(home).values() if isinstance(v, dict)] if home else []:
         kept.clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+#: Rows of an Arrow batch where whole texts travel; the default of 10,000 rows
+#: is meant for narrow rows and makes batches of any number of bytes.
+TEXT_BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Arrow batches were made small, unless the
+    session already asks for smaller ones.  The setting is read when a job
+    starts, so it stays."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_SETTING)) > TEXT_BATCH_ROWS or int(conf.get(BATCH_SETTING)) <= 0:
+        conf.set(BATCH_SETTING, str(TEXT_BATCH_ROWS))
+    return df
 
 
 def add_columns(df: DataFrame, inputs: list[str], new: list[tuple[str, str]], start) -> DataFrame:
@@ -85,9 +109,28 @@ def add_columns(df: DataFrame, inputs: list[str], new: list[tuple[str, str]], st
     def run(batches):
         release_worker_memory()
         work = start()
-        for b in batches:
-            got = work(*[b.column(c).to_pylist() for c in inputs])
-            arrays = [pa.array(v, type=k) for v, k in zip(got, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=names)
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+        try:
+            for b in batches:
+                got = work(*[b.column(c).to_pylist() for c in inputs])
+                arrays = [pa.array(v, type=k) for v, k in zip(got, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=names)
+        finally:
+            del work
+            release_worker_memory()
+
+    return text_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+
+
+def map_lists(df: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` gets the batches as dictionaries of lists, so that integers stay
+    exact beside nulls, and yields lists of result rows (tuples)."""
+    fields = T._parse_datatype_string(schema).fields
+    kinds, names = [to_arrow_type(f.dataType) for f in fields], [f.name for f in fields]
+
+    def work(batches):
+        lists = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)} for b in batches)
+        for rows in run(lists):
+            cols = zip(*rows, strict=True) if rows else ([],) * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    return text_batches(df).mapInArrow(work, schema)

@@ -7,10 +7,12 @@ none of those is known, to the next shorter ones, down to single letters.
 The document's language has the highest total; its score is the share of
 that language when the totals are taken as log weights.
 
-The model is fit on a sample of labelled rows of bounded size (``fit_rows``,
-the rows with the smallest hash of their id) and keeps a bounded number of
-entries of each kind, the most frequent ones; its size is therefore fixed and
-it travels to the tasks with their code.  Prediction reads every whole text.
+The model is fit on a sample of labelled rows of bounded size: of each language
+the ``fit_rows`` rows with the smallest hash of id and text, equal rows once.
+It keeps a bounded number of entries of each kind, the most frequent ones when
+every language has the same weight; its size is therefore fixed and it travels
+to the tasks with their code.  Known words are kept as sorted 64-bit hashes.
+Prediction reads every whole text.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0;
 an empty training set makes every text ``und``; languages that tie resolve to
@@ -25,24 +27,27 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import add_columns, load, most_frequent, pick, release_worker_memory, stored
+from tessera.llm.common import add_columns, load, most_frequent, pick, release_worker_memory, small, stored, text_batches
 
-#: Upper bound of labelled rows that the model is fit on.
-FIT_ROWS = 20_000
+#: Upper bound of labelled rows of a language that the model is fit on.
+FIT_ROWS = 5_000
 #: Entries kept of the words, and of the n-grams of each length.
 MAX_WORDS = 200_000
 MAX_GRAMS = 50_000
 #: Unseen words whose scores a task remembers.
-MEMO = 200_000
+MEMO = 50_000
 #: Counts a task gathers before it hands them on.
 HELD_COUNTS = 100_000
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that count as word characters though they are numerals, such as a half or a circled one.
+NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -79,8 +84,10 @@ def word_counts(labelled: DataFrame) -> DataFrame:
                     yield frame()
                     counts.clear()
         yield frame()
+        counts.clear()
+        release_worker_memory()
 
-    parts = labelled.select("text", "lang").mapInPandas(run, "word string, lang string, n bigint")
+    parts = text_batches(labelled).select("text", "lang").mapInPandas(run, "word string, lang string, n bigint")
     return parts.groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
 
@@ -108,30 +115,37 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return parts.groupBy("ord", "gram", "lang").agg(F.sum("n").alias("n"))
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+
+
 class Model:
-    """``tables[o]`` maps a gram of order o to its row of ``scores[o]``."""
+    """``known`` holds the sorted hashes of the known words, ``scores[0]``
+    their rows; ``tables[o]`` maps a gram of order o to its row of
+    ``scores[o]``."""
 
-    def __init__(self, langs, tables, scores):
-        self.langs, self.tables, self.scores = langs, tables, scores
+    def __init__(self, langs, tables, scores, known=np.zeros(0, dtype=np.uint64)):
+        self.langs, self.tables, self.scores, self.known = langs, tables, scores, known
 
     def back_off(self, word: str) -> np.ndarray:
         """Log weights of a word that is not known as a whole."""
         for o in ORDERS:
-            known = [i for g in grams_of(word, o) if (i := self.tables[o].get(g)) is not None]
-            if known:
-                return self.scores[o][known].mean(axis=0)
+            rows = [i for g in grams_of(word, o) if (i := self.tables[o].get(g)) is not None]
+            if rows:
+                return self.scores[o][rows].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def predict(self, text: str | None, memo: Memo) -> tuple[str, float]:
         words = words_of(text) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        get = self.tables[0].get
-        at = [get(w, -1) for w in words]
-        places = np.array(at, dtype=np.int64)
-        total = self.scores[0][places[places >= 0]].sum(axis=0)
-        if len(places) > 0 and places.min() < 0:
-            total = total + memo.total(self, [w for w, i in zip(words, at, strict=True) if i < 0])
+        hashes = word_hashes(words)
+        places = np.searchsorted(self.known, hashes)
+        places[places == len(self.known)] = 0
+        found = self.known[places] == hashes if len(self.known) else np.zeros(len(words), dtype=bool)
+        total = self.scores[0][places[found]].sum(axis=0, dtype=np.float64)
+        if not found.all():
+            total = total + memo.total(self, [words[i] for i in np.flatnonzero(~found)])
         best = int(np.argmax(total))
         return self.langs[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())
 
@@ -160,35 +174,48 @@ class Memo:
         return out + self.scores[at].sum(axis=0)
 
 
+def fit_sample(labelled: DataFrame, fit_rows: int) -> DataFrame:
+    """text, lang of the rows that the model is fit on."""
+    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
+        "text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    cuts = (rows.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= fit_rows)
+            .groupBy("lang").agg(F.max("h").alias("cut")))
+    return rows.join(small(stored(cuts, "langid-cuts")), "lang").where("h <= cut").dropDuplicates(["lang", "h"]).select("text", "lang")
+
+
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Fit on (doc_id, text, lang) rows that have a text and a language."""
-    sample = (labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-              .select("doc_id", "text", "lang"))
-    ids = sample.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(fit_rows)
-    cut = ids.agg(F.max("h")).first()[0]
-    sample = sample.where(F.xxhash64("doc_id") <= F.lit(cut)) if cut is not None else sample
-    counts = stored(gram_counts(word_counts(sample)), "langid-counts")
-    totals = stored(counts.groupBy("ord", "gram").agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")), "langid-grams")
+    counts = stored(gram_counts(word_counts(fit_sample(labelled, fit_rows))), "langid-counts")
+    # Every language has the same weight, however many rows it has.
+    sums = counts.groupBy("ord", "lang").agg(F.sum("n").alias("all"))
+    totals = stored(counts.join(F.broadcast(sums), ["ord", "lang"]).groupBy("ord", "gram").agg(
+        F.sum(F.col("n") / F.col("all")).alias("weight"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")),
+        "langid-grams")
     rows = []  # at most max_words + max_grams * len(ORDERS)
     for o in (0, *ORDERS):
-        rows += most_frequent(totals.where(F.col("ord") == o), "total", max_grams if o else max_words).select("ord", "gram", "by_lang").collect()
+        rows += most_frequent(totals.where(F.col("ord") == o), "weight", max_grams if o else max_words).select("ord", "gram", "by_lang").collect()
     langs = sorted({la for r in rows for la in r["by_lang"]})
     tables, scores = {}, {}
     for o in (0, *ORDERS):
         own = sorted((r for r in rows if r["ord"] == o), key=lambda r: r["gram"])
         n = np.array([[r["by_lang"].get(la, 0) for la in langs] for r in own], dtype=float).reshape(len(own), len(langs))
-        tables[o] = {r["gram"]: i for i, r in enumerate(own)}
-        scores[o] = np.log(n + 0.5) - np.log(n.sum(axis=0) + 0.5 * (len(own) + 1))
-    return Model(langs, tables, scores)
+        tables[o] = [r["gram"] for r in own]
+        scores[o] = (np.log(n + 0.5) - np.log(n.sum(axis=0) + 0.5 * (len(own) + 1))).astype(np.float32)
+    hashes = word_hashes(tables.pop(0))
+    order = np.argsort(hashes, kind="stable")
+    scores[0] = scores[0][order]
+    return Model(langs, {o: {g: i for i, g in enumerate(t)} for o, t in tables.items()}, scores, hashes[order])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (must have ``text``) with lang_pred and score."""
-    shipped = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables, model.scores))
+    # In the task's code, not a broadcast variable: nothing of it outlives a task.
+    parts = (model.langs, model.known, {o: list(t) for o, t in model.tables.items()}, model.scores)
 
     def start():
-        m, memo = Model(*shipped.value), Memo()
+        langs, known, grams, scores = parts
+        m, memo = Model(langs, {o: {g: i for i, g in enumerate(t)} for o, t in grams.items()}, scores, known), Memo()
 
         def work(texts):
             return tuple(zip(*[m.predict(t, memo) for t in texts], strict=True)) or ((), ())

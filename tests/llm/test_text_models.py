@@ -154,3 +154,19 @@ def test_model_beats_the_base_on_held_out_text(spark):
 
 def test_scoring_without_rows(spark, tmp_path):
     assert lm.op5_lm_scoring(spark, saved(spark, tmp_path, [])).count() == 0
+
+
+def test_numerals_are_no_letters():
+    assert langid.words_of("½ ② ⅷ ³ 12 _") == []
+    assert langid.words_of("Été ½naïve②word 日本") == ["été", "naïve", "word", "日本"]
+
+
+def test_rare_language_is_learned_and_equal_rows_once(spark):
+    rows = [(i, "the cat and the dog of the house", "en", "a") for i in range(300)]
+    rows += [(7, "the cat and the dog of the house", "en", "a")] * 200  # a hot id
+    rows += [(1000 + i, f"der Hund und das Haus {i}", "de", "a") for i in range(3)]
+    sample = langid.fit_sample(table(spark, rows), 20).collect()
+    assert sum(r["lang"] == "de" for r in sample) == 3 and sum(r["lang"] == "en" for r in sample) == 20
+    model = langid.fit(table(spark, rows), fit_rows=20)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(table(spark, [(1, "und der Hund", None, "a"), (2, "the house", None, "a"), (3, "½ ②", None, "a")]), model).collect()}
+    assert got == {1: "de", 2: "en", 3: "und"}
