@@ -24,11 +24,10 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import load, pick
+from tessera.llm.common import load, map_lists, pick
 
 ESCAPE = re.compile(r"<(\\*)\|")
 UNESCAPE = re.compile(r"<\\(\\*)\|")
@@ -85,10 +84,6 @@ def turn_segments(role: str, text: str, template: Template) -> list[tuple[str, b
     ]
 
 
-def _missing(x) -> bool:
-    return x is None or x != x
-
-
 def format_chat(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     """One row per segment: conv_id, turn_no (from 0), part (0 header, 1 text,
     2 footer), role, segment, loss, valid.  The rows of a conversation are in
@@ -101,21 +96,16 @@ def format_chat(turns: DataFrame, template: Template = CHATML) -> DataFrame:
         conv, state, n, valid = object(), None, 0, True
         for b in batches:
             out = []
-            for c, role, text in zip(b["conv_id"].astype(object), b["role"], b["text"], strict=True):
-                c = None if _missing(c) else int(c)
+            for c, role, text in zip(b["conv_id"], b["role"], b["text"], strict=True):
                 if c != conv:
                     conv, state, n, valid = c, None, 0, True
                 valid = valid and role in template.transitions.get(state, ())
                 out += [(c, n, i, role, s, loss, valid)
                         for i, (s, loss) in enumerate(turn_segments(role, text, template))]
                 state, n = role, n + 1
-            cols = ["conv_id", "turn_no", "part", "role", "segment", "loss", "valid"]
-            frame = pd.DataFrame(out, columns=cols)
-            frame["conv_id"] = frame["conv_id"].astype("Int64")
-            yield frame
+            yield out
 
-    return (rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-            .mapInPandas(run, SEGMENT_SCHEMA))
+    return map_lists(rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"), run, SEGMENT_SCHEMA)
 
 
 def read_turn(formatted: str, template: Template = CHATML) -> tuple[str, str, str] | None:
@@ -143,8 +133,7 @@ def digest_chat(segments: DataFrame, template: Template = CHATML) -> DataFrame:
 
         for b in batches:
             out = []
-            for c, s, in_loss, ok in zip(b["conv_id"].astype(object), b["segment"], b["loss"], b["valid"], strict=True):
-                c = None if _missing(c) else int(c)
+            for c, s, in_loss, ok in zip(b["conv_id"], b["segment"], b["loss"], b["valid"], strict=True):
                 if not seen or c != conv:
                     if seen:
                         out.append(row())
@@ -164,17 +153,11 @@ def digest_chat(segments: DataFrame, template: Template = CHATML) -> DataFrame:
                     turns.update(f"{role}\n{text}\n".encode())
                     n += 1
             if out:
-                yield _digest_frame(out)
+                yield out
         if seen:
-            yield _digest_frame([row()])
-
-    return segments.mapInPandas(run, DIGEST_SCHEMA)
-
+            yield [row()]
 
-def _digest_frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in DIGEST_SCHEMA.split(", ")])
-    frame["conv_id"] = frame["conv_id"].astype("Int64")
-    return frame
+    return map_lists(segments, run, DIGEST_SCHEMA)
 
 
 #: The extra conversation of the query: texts made of control strings.

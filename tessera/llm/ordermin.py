@@ -24,11 +24,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import load, pick
+from tessera.llm.common import load, map_lists, pick, text_batches
 
 K = 8
 SKETCHES = 64
@@ -153,31 +153,37 @@ def _dealt(rows, bounds, first_id, last, run, schema):
 
     def deal(batches):
         for b in batches:
-            ids = b["doc_id"].astype("Int64")
-            missing = ids.isna().to_numpy()
-            plain = ids.fillna(0).to_numpy(dtype=np.int64)
+            ids = b.column("doc_id")
+            missing = ids.is_null().to_numpy(zero_copy_only=False)
+            plain = ids.fill_null(0).to_numpy(zero_copy_only=False)
+
+            def told(rows, part, after, b=b):
+                picked = b if rows is None else b.filter(pa.array(rows))
+                part = np.broadcast_to(np.asarray(part, dtype=np.int32), picked.num_rows)
+                return pa.RecordBatch.from_arrays([*picked.columns, pa.array(part), pa.array(np.full(picked.num_rows, after, dtype=np.int32))],
+                                                  names=["doc_id", "text", "part", "after"])
+
             part = np.where(missing, 0, np.searchsorted(edges, plain, side="right"))
-            b = b.assign(doc_id=ids, part=part.astype(np.int32), after=np.int32(0))
-            yield b
+            yield told(None, part, 0)
             # The first row of a range ends the range before; the first of all ends the last.
             ends = ~missing & np.isin(plain, edges)
             if ends.any():
-                yield b[ends].assign(part=(part[ends] - 1).astype(np.int32), after=np.int32(1))
+                yield told(ends, part[ends] - 1, 1)
             head = missing if first_id is None else (~missing & (plain == first_id))
             if head.any():
-                yield b[head].assign(part=np.int32(last), after=np.int32(2))
+                yield told(head, last, 2)
 
-    dealt = rows.mapInPandas(deal, "doc_id bigint, text string, part int, after int")
+    dealt = text_batches(rows).mapInArrow(deal, "doc_id bigint, text string, part int, after int")
 
     def pairs(batches):
         held, part, ended = None, None, False
         for b in batches:
-            for i, t, p, after in zip(b["doc_id"].astype(object), b["text"], b["part"], b["after"], strict=True):
+            for i, t, p, after in zip(b["doc_id"], b["text"], b["part"], b["after"], strict=True):
                 if p != part:
                     held, part, ended = None, p, False
                 if ended:
                     continue  # only the first of several end rows follows the last row
-                row = (None if i is None or i != i else int(i), t)
+                row = (i, t)
                 if held is not None:
                     yield held, row
                 ended = after > 0
@@ -186,8 +192,8 @@ def _dealt(rows, bounds, first_id, last, run, schema):
     def work(batches):
         yield from run(pairs(batches))
 
-    return (dealt.repartition(last + 1, "part").sortWithinPartitions("part", "after", F.asc_nulls_first("doc_id"), "text")
-            .mapInPandas(work, schema))
+    ordered = dealt.repartition(last + 1, "part").sortWithinPartitions("part", "after", F.asc_nulls_first("doc_id"), "text")
+    return map_lists(ordered, work, schema)
 
 
 FINGERPRINT_SCHEMA = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
@@ -211,15 +217,10 @@ def fingerprint_pairs(pairs):
         out.append((i, len(text), hashlib.sha256(changed.encode()).hexdigest(), own.tobytes().hex(), new.tobytes().hex(),
                     likeness(own, new), likeness(own, after)))
         if len(out) == 1000:
-            yield _frame(out)
+            yield out
             out = []
     if out:
-        yield _frame(out)
-
-
-def _frame(rows):
-    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in FINGERPRINT_SCHEMA.split(", ")])
-    return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+        yield out
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import load, pick, stored
+from tessera.llm.common import load, map_lists, pick, stored
 
 #: Rows that serve as pivots: those with the smallest hash of their components.
 PIVOTS = 32
@@ -63,13 +63,12 @@ def _packed(rows: DataFrame, name: str, block_rows: int, dim: int) -> DataFrame:
             data = np.zeros((len(vecs), dim), dtype=np.int64)
             for i, v in enumerate(vecs):
                 data[i, :len(v)] = v
-            missing = np.array([x is None or x != x for x in ids], dtype=bool)
-            plain = np.array([0 if m else int(x) for x, m in zip(ids, missing, strict=True)], dtype=np.int64)
-            return pd.DataFrame([(number, np.array(uids, dtype=np.int64).tobytes(), plain.tobytes(),
-                                  missing.tobytes(), data.tobytes())], columns=[name, "uids", "ids", "nulls", "data"])
+            missing = np.array([x is None for x in ids], dtype=bool)
+            plain = np.array([0 if x is None else x for x in ids], dtype=np.int64)
+            return [(number, np.array(uids, dtype=np.int64).tobytes(), plain.tobytes(), missing.tobytes(), data.tobytes())]
 
         for b in batches:
-            for u, i, v in zip(b["uid"], b["vec_id"].astype(object), b["v"], strict=True):
+            for u, i, v in zip(b["uid"], b["vec_id"], b["v"], strict=True):
                 if number is None:
                     number = int(u)  # the smallest uid of a block names it
                 uids.append(u)
@@ -81,7 +80,7 @@ def _packed(rows: DataFrame, name: str, block_rows: int, dim: int) -> DataFrame:
         if uids:
             yield frame()
 
-    return rows.select("uid", "vec_id", "v").mapInPandas(run, schema)
+    return map_lists(rows.select("uid", "vec_id", "v"), run, schema)
 
 
 def _unpack(row, prefix: str, dim: int):

@@ -167,3 +167,13 @@ def test_fingerprint_of_one_row_and_null_ids(spark):
     got = ordermin.with_next(table(spark, [(None, "no id", "en", "s"), (3, "three", "en", "s")]),
                              ordermin.fingerprint_pairs, ordermin.FINGERPRINT_SCHEMA).collect()
     assert sorted(str(r["doc_id"]) for r in got) == ["3", "None"]
+
+
+def test_large_ids_beside_a_null_id(spark):
+    big = 2**60 + 1
+    docs = table(spark, [(big, "one text of several words", "en", "a"), (None, "another text of words", "en", "a"), (big + 2, "a third", "en", "a")])
+    got = ordermin.with_next(docs.coalesce(1), ordermin.fingerprint_pairs, ordermin.FINGERPRINT_SCHEMA).collect()
+    assert {r["doc_id"] for r in got} == {big, None, big + 2}
+    vectors = spark.createDataFrame([(big, [1.0, 2.0]), (None, [2.0, 1.0]), (big + 2, [3.0, 3.0])], "vec_id bigint, embedding array<float>")
+    found = topk.top_k(vectors.coalesce(1), F.col("vec_id") == big, 5).collect()
+    assert [(r["query_id"], r["vec_id"]) for r in found] == [(big, big + 2), (big, None)]
