@@ -4,9 +4,9 @@ A page is parsed into a tree (forgiving: unclosed tags end where HTML says
 they do).  Parts that cannot be the article are left out: navigation, headers,
 footers, sidebars, forms, scripts, styles, adverts, notices, comment sections,
 by tag and role, and containers by the whole names of their class and id.  A
-container named like a part of the layout stays if it holds most of the page's
-text outside of links, and if hardly any text is left without the named ones,
-they all stay.  Every paragraph gives
+form, or a container named like a part of the layout, stays if it holds most of
+the page's text outside of links; if no text at all is left without them, they
+stay.  What is named as comments or adverts never does.  Every paragraph gives
 points for its length and its commas to its parent, half of them to the
 grandparent, a third to the ancestor above; a container's points are
 discounted by its link density.  The best container is kept, together with
@@ -52,21 +52,21 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"table", "ul", "ol", "dl", "div", "section", "article", "main", "body", "html", "td", "th", "blockquote", "form",
          "aside", "nav", "header", "footer", "figure", "select"}
 #: Never part of the article.
-DROP = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "input", "object", "embed", "svg", "canvas",
+DROP = RAW | {"head", "nav", "footer", "aside", "button", "select", "input", "object", "embed", "svg", "canvas",
               "dialog", "menu", "label", "audio", "video", "map"}
 DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu",
               "menubar", "form", "toolbar", "note"}
 #: Names (classes or ids) of other parts of the page.
 DROP_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo",
               "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside",
-              "footer", "footnav", "header", "masthead", "topbar", "toolbar", "comment", "comments", "commentlist", "disqus",
+              "footer", "footnav", "header", "masthead", "topbar", "toolbar", "comment", "comments", "feedback", "commentlist", "disqus",
               "respond", "reply", "replies", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification",
               "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share",
               "sharing", "social", "related", "recommended", "recommendations", "widget", "pagination", "pager", "search",
               "copyright", "legal", "disclaimer", "skip", "toc", "rail", "outbrain", "taboola"}
 #: Of these, what has text of its own but is never the article, however long.
 FOREIGN_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "comment",
-                 "comments", "commentlist", "disqus", "respond", "reply", "replies", "cookie", "cookies", "consent", "gdpr",
+                 "comments", "feedback", "commentlist", "disqus", "respond", "reply", "replies", "cookie", "cookies", "consent", "gdpr",
                  "outbrain", "taboola"}
 #: In a compound: words for a container, which say nothing by themselves, and
 #: words for a state or for the article, which say it is another thing.
@@ -78,8 +78,8 @@ STATE_WORDS = {"has", "no", "non", "not", "with", "without", "is", "show", "hide
 ARTICLE_WORDS = {"article", "entry", "post", "story", "hentry", "text"}
 #: Elements that a name can leave out.
 NAMED = {"div", "section", "ul", "ol", "dl", "table", "header", "details", "figure", "center", "address", "span", "iframe", "ins"}
-#: Characters under which hardly any text is left, link density of a container that may stay.
-LITTLE, LINKED = 50, 0.33
+#: Link density of a container that may stay.
+LINKED = 0.33
 #: Elements whose text scores.
 PARAGRAPH = {"p", "pre", "td", "blockquote", "li", "dd"}
 
@@ -120,9 +120,9 @@ def unwanted(tag: str, attributes: str) -> tuple[bool, int]:
     and id name."""
     if tag in DROP:
         return True, 0
-    named = 0
+    named = 1 if tag == "form" else 0
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False, 0
+        return False, named
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
@@ -306,17 +306,16 @@ def main_text(page: str | None) -> str:
         return ""
     root, named = parse(page)
     leave_out_named(root, named)
-    text, sure = best_text(root)
-    if named and not sure and len(text) < LITTLE:  # a second try without the names
+    text = best_text(root)
+    if not text and any(n.named == 1 for n in named):  # a second try with the layout's parts
         for n in named:
-            n.drop = False
-        return max(text, best_text(root)[0], key=len)
+            n.drop = n.named == 2
+        return best_text(root)
     return text
 
 
-def best_text(root: Node) -> tuple[str, bool]:
-    """The text of the best container and its siblings, and whether an element
-    says that it is the article."""
+def best_text(root: Node) -> str:
+    """The text of the best container and its siblings."""
     order = measure(root)
     scored = set()
     for n in order:
@@ -340,7 +339,7 @@ def best_text(root: Node) -> tuple[str, bool]:
             if best is None or n.score > best.score:
                 best = n
     if best is None:  # no paragraph: whatever text there is
-        return "\n".join(blocks(root)), False
+        return "\n".join(blocks(root))
     # An <article> or <main> around the best container holds the whole article.
     up = best
     while up is not None:
@@ -352,8 +351,7 @@ def best_text(root: Node) -> tuple[str, bool]:
     if best.parent is not None and best.tag not in ("body", "article", "main"):
         near = max(10.0, best.score * 0.2)
         kept = [n for n in best.parent.children if n is best or not isinstance(n, str) and not n.drop and _sibling(n, near)]
-    text = "\n".join(b for n in kept for b in blocks(n))
-    return text, bool(text) and best.tag in ("article", "main")
+    return "\n".join(b for n in kept for b in blocks(n))
 
 
 def _sibling(node: Node, near: float) -> bool:

@@ -61,9 +61,26 @@ def test_named_parts_of_an_article():
     assert "More" not in got and "Buy" not in got and "reader" not in got
 
 
-def test_named_parts_stay_if_nothing_else_is_left():
-    assert main_text('<body><div class="comments"><p>The only text, of this page.</p></div></body>') == "The only text, of this page."
+def test_layout_stays_if_nothing_else_is_left_and_comments_never():
+    assert main_text('<body><div class="sidebar"><p>The only text, of this page.</p></div></body>') == "The only text, of this page."
+    assert main_text('<body><div class="comments"><p>The only text, of this page.</p></div></body>') == ""
     assert main_text('<body><article><p>Short.</p></article><div class="comments"><p>Longer, than the article.</p></div></body>') == "Short."
+    long = "A reader, who has much to say, says it at length. " * 5
+    assert main_text(f'<div class="content"><p>Short news today.</p></div><div class="comments"><p>{long}</p></div>') == "Short news today."
+
+
+def test_forms_are_judged_by_their_text():
+    prose = "The first, long sentence of the article, with commas. " * 4
+    page = f'<body><form action="x"><input type="hidden"><div class="content"><p>{prose}</p><p>Then, more of it.</p></div></form></body>'
+    assert main_text(page) == f"{prose.strip()}\nThen, more of it."
+    page = f'<body><div class="content"><p>{prose}</p><form><p>Your name, please</p><label>Name</label><input><button>Send</button></form></div></body>'
+    assert main_text(page) == prose.strip()
+
+
+def test_notices_and_feedback_in_containers_inside_an_article():
+    prose = "The first, long sentence of the article, with commas. " * 4
+    page = f'<article><p>{prose}</p><div class="notice"><p>We use cookies, as all do.</p></div><div class="feedback"><p>Nice, I like it.</p></div><p>End.</p></article>'
+    assert main_text(page) == f"{prose.strip()}\nEnd."
 
 
 def test_table_of_pages(spark):
@@ -120,3 +137,10 @@ def test_long_conversation_is_streamed(spark):
     df = spark.range(30_000).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "'t' || id text")
     r = chat.digest_chat(chat.format_chat(df)).collect()
     assert len(r) == 1 and r[0]["n_turns"] == 30_000 and r[0]["valid"]
+
+
+def test_large_ids_beside_a_null_id(spark):
+    rows = [(2**60 + 1, 0, "user", "a"), (2**60 + 1, 1, "assistant", "b"), (None, 0, "user", "c")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, SEGMENT string")
+    got = {r["conv_id"]: r["n_turns"] for r in chat.digest_chat(chat.format_chat(df.coalesce(1))).collect()}
+    assert got == {2**60 + 1: 2, None: 1}
