@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import load, pick, process_cache, stored
+from tessera.llm.common import load, pick, process_cache, stored, text_batches
 
 CAPACITY = 1024
 END_ID = 2
@@ -42,8 +42,10 @@ POPULATION = 4
 GENERATIONS = 4
 EPOCHS = 2
 MAX_ROUNDS = 4
-#: Token strings remembered by a worker (about 200 bytes each).
+#: Token strings remembered by a worker, none longer than so many characters:
+#: about 200 bytes each, so the memory is bounded.
 CACHE = 800_000
+CACHED_CHARS = 64
 #: Punctuation that may be encoded apart from the letters before it; not the
 #: apostrophe, which begins contractions.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -88,7 +90,8 @@ class ChunkTokenizer:
         if word and len(word) < len(chunk) and word[-1].isalpha():
             # Letters end where punctuation begins: a word boundary of the tokenizer too.
             got = self._known(word) + self._known(chunk[len(word):])
-            self.cache["young"][chunk] = got
+            if len(chunk) <= CACHED_CHARS:
+                self.cache["young"][chunk] = got
             return got
         return self._known(chunk)
 
@@ -103,6 +106,8 @@ class ChunkTokenizer:
                 else:
                     ids = self.encoder.encode(chunk, add_special_tokens=False).ids
                 got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(chunk) > CACHED_CHARS:
+                return got
             if len(young) >= self.entries // 2:
                 self.cache["old"], self.cache["young"] = young, {}
             self.cache["young"][chunk] = got
@@ -157,7 +162,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, cac
                     rows, held = [], 0
             yield _piece_batch(rows)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return text_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, PIECES)
 
 
 def _piece_batch(rows):
