@@ -45,12 +45,15 @@ HELD_COUNTS = 100_000
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 
-#: Characters that count as word characters though they are numerals, such as a half or a circled one.
-NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Numerals that the pattern takes for letters, such as a half or a circled one.
+NUMERALS = {i: " " for i in range(0x20000) if chr(i).isalnum() and not chr(i).isalpha() and not chr(i).isdecimal()}
+MAY_HAVE_NUMERALS = re.compile("[" + "".join(chr(i) for i in NUMERALS if i < 0x10000) + "\U00010000-\U0010ffff]")
 
 
 def words_of(text: str) -> list[str]:
+    if not text.isascii() and MAY_HAVE_NUMERALS.search(text):
+        text = text.translate(NUMERALS)
     return LETTERS.findall(text.lower())
 
 
