@@ -34,6 +34,9 @@ from tessera.session import materialize
 
 ROWS_PER_FIT_PARTITION = 200_000
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES (the original's feature names)
+# ---------------------------------------------------------------------------
 BASE_CATEGORICAL = ["species", "stateProvince"]
 BASE_NUMERIC = [
     "week_of_year",
@@ -47,6 +50,9 @@ BASE_NUMERIC = [
     "week_cos",
     "had_recent_activity",
 ]
+# ---------------------------------------------------------------------------
+# end of fixed values
+# ---------------------------------------------------------------------------
 
 
 def with_split(df: DataFrame, train_end: int, valid: int, test: int, year: str = "year") -> DataFrame:
@@ -217,8 +223,10 @@ def fit_presence_model(df: DataFrame, target: str, train_end: int, valid: int, t
     prefix = Pipeline(stages=stages[:-1]).fit(fit_input)
     vectors = (prefix.transform(fit_input).select("_features", "_label", "_weight")
                .persist(StorageLevel.MEMORY_AND_DISK))
-    classifier = stages[-1].fit(vectors)
-    vectors.unpersist()
+    try:
+        classifier = stages[-1].fit(vectors)
+    finally:
+        vectors.unpersist()
     return PipelineModel(stages=[*prefix.stages, classifier]), s
 
 

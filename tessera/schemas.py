@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES (column names and types of the original's tables)
+# ---------------------------------------------------------------------------
 # Raw observation file / lake (22 kept columns; lake adds nothing, partitioned by year, month).
 OBSERVATION_SCHEMA = T.StructType([
     T.StructField("eventDate", T.DateType()),
@@ -72,6 +75,9 @@ RECENT_OBS_SCHEMA = T.StructType([
     T.StructField("howMany", T.StringType()),
     T.StructField("comName", T.StringType()),
 ])
+# ---------------------------------------------------------------------------
+# end of fixed values
+# ---------------------------------------------------------------------------
 
 
 def daily_payload_schema(measures: Iterable[str]) -> T.StructType:
@@ -94,12 +100,6 @@ def require_columns(df: DataFrame, required: Iterable[str], what: str = "input")
         raise ValueError(f"Missing expected columns for {what}: {missing}")
 
 
-def require_nonempty(df: DataFrame, what: str) -> None:
-    """One ``isEmpty`` job (reads at most one row)."""
-    if df.isEmpty():
-        raise ValueError(f"{what} is empty")
-
-
 def fail_when(cond: Column, message: Column | str) -> Column:
     """A column that raises ``message`` in the task that sees ``cond`` true
     and is NULL otherwise; add it to a plan to make a guard lazy."""
