@@ -1,42 +1,56 @@
 """Exact top-k search by inner product with a pivot table.
 
-Vectors are turned into integers.  One more coordinate gives every candidate
-the same norm M, which makes the Euclidean distance to a query (whose extra
-coordinate is 0) fall as the inner product rises.  The distances of all
-vectors to a fixed number of pivots are computed once (the pivot table).  For
-a query q and a candidate x, ``max over pivots p of |d(q,p) - d(x,p)|`` is a
-lower bound of d(q,x).  Candidates are evaluated in the order of that bound,
-in chunks, until the bound of the next one is above the k-th best distance
-found so far; the result is exact.
-
-Queries and candidates are packed into blocks of bounded size; each pair of
-blocks is a task of its own and returns at most k rows a query, which a
-second, grouped step merges.  The pivots are a bounded number of rows.
+Vectors are turned into integers.  The angle between two vectors is a metric,
+so for a query q, a candidate x and a pivot p ``|angle(q,p) - angle(x,p)|`` is
+a lower bound of angle(q,x); with the largest bound b over all pivots,
+``|q| |x| cos(b)`` is an upper bound of the score.  The angles of all vectors
+to the pivots are computed once, when rows are packed into blocks, and stored
+with them (the pivot table, two bytes an angle; the rounding is allowed for).
+
+Pivots are spread: each is the row of a bounded sample that is farthest from
+those chosen before.  Candidates are taken in the order of their bound, best
+first, until the bound of the next is below the k-th best score found so far;
+a bound equal to it goes on, so that ties are exact.
+
+Query blocks and groups of candidate blocks form cells, dealt by both numbers;
+a cell holds a bounded number of rows, orders all its candidates together and
+returns at most k rows a query, which a second, grouped step merges.  No step
+gathers all candidates of a query block, and nothing but the pivots is sent to
+every task.  The query set meets all rows in blocks; the table is shipped once
+for each block of queries.
 
 Defined cases: a vector that is null or holds a null or non-finite component
-takes no part; shorter vectors count as padded with zeros; a repeated vec_id
-is a row like any other, and a query leaves out its own row only; ties go to
-the smaller vec_id; fewer candidates than k give all of them; an empty table
-gives no rows.  Components times 256 must fit 31 bits (an error otherwise).
+takes no part; shorter vectors count as padded with zeros; a vector of zeros
+has score 0 with all; a repeated vec_id is a row like any other, and a query
+leaves out its own row only; ties go to the smaller vec_id; fewer candidates
+than k give all of them; an empty table gives no rows.  Components times 256
+must fit 31 bits (an error otherwise).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import load, map_lists, pick, stored
+from tessera.llm.common import load, map_lists, pick, small, stored
 
-#: Rows that serve as pivots: those with the smallest hash of their components.
-PIVOTS = 32
-#: Rows packed into one block.
+#: Rows that serve as pivots.
+PIVOTS = 256
+#: Rows packed into one block, fewer if they have over ``BLOCK_VALUES`` components.
 BLOCK_ROWS = 4096
-#: Candidates evaluated between two looks at the stopping rule.
+BLOCK_VALUES = 2**18
+#: Candidate blocks of one cell.
+CELL_BLOCKS = 8
+#: Candidates evaluated before the first look at the stopping rule; doubles.
 CHUNK = 256
+#: One step of a stored angle, and what a bound gives way for its rounding.
+STEP = np.pi / 65_535
+SLACK = STEP
 
-RESULT = "query_id bigint, uid bigint, vec_id bigint, score bigint"
+RESULT = "query_uid bigint, query_id bigint, uid bigint, vec_id bigint, score bigint"
+PARTS = ("uids", "ids", "nulls", "data", "angles")
 
 
 def quantize(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -51,90 +65,106 @@ def quantize(vectors: DataFrame, scale: int = 256) -> DataFrame:
             .where(F.when(fits, True).otherwise(F.raise_error(F.lit("component beyond 31 bits")).cast("boolean"))))
 
 
-def _packed(rows: DataFrame, name: str, block_rows: int, dim: int) -> DataFrame:
-    """One row per block: the block's number, its ids and its vectors as binary."""
-    schema = f"{name} bigint, uids binary, ids binary, nulls binary, data binary"
+def spread_pivots(sample: np.ndarray, n: int) -> np.ndarray:
+    """At most ``n`` rows of ``sample``, each the farthest (by angle) from those before it."""
+    rows = np.unique(sample[(sample != 0).any(axis=1)], axis=0)
+    if not len(rows):
+        return rows
+    unit = rows / np.sqrt((rows.astype(np.float64) ** 2).sum(1))[:, None]
+    chosen, nearest = [0], unit @ unit[0]  # cosine to the nearest pivot so far
+    while len(chosen) < min(n, len(rows)):
+        far = int(np.argmin(nearest))
+        chosen.append(far)
+        nearest = np.maximum(nearest, unit @ unit[far])
+        nearest[far] = np.inf
+    return rows[chosen]
+
+
+def pivot_angles(data: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The angles in steps, one row for each pivot.  A vector of zeros has no angle; any value is right for it."""
+    exact, p = data.astype(np.float64), pivots.astype(np.float64)
+    norms = np.sqrt((exact * exact).sum(1))
+    cos = (p / np.sqrt((p * p).sum(1))[:, None]) @ (exact / np.where(norms > 0, norms, 1.0)[:, None]).T
+    return np.rint(np.arccos(np.clip(cos, -1.0, 1.0)) / STEP).astype("<u2")
+
+
+def _packed(rows: DataFrame, block_rows: int, dim: int, pivots: np.ndarray) -> DataFrame:
+    """One row per block: the block's number, its ids, vectors and angles to the pivots as binary."""
 
     def run(batches):
         uids, ids, vecs = [], [], []
-        number = None
 
         def frame():
-            data = np.zeros((len(vecs), dim), dtype=np.int64)
+            data = np.zeros((len(vecs), dim), dtype="<i4")
             for i, v in enumerate(vecs):
                 data[i, :len(v)] = v
             missing = np.array([x is None for x in ids], dtype=bool)
-            plain = np.array([0 if x is None else x for x in ids], dtype=np.int64)
-            return [(number, np.array(uids, dtype=np.int64).tobytes(), plain.tobytes(), missing.tobytes(), data.tobytes())]
+            plain = np.array([0 if x is None else x for x in ids], dtype="<i8")
+            # The smallest uid of a block names it.
+            return [(min(uids), np.array(uids, dtype="<i8").tobytes(), plain.tobytes(), missing.tobytes(), data.tobytes(),
+                     pivot_angles(data, pivots).tobytes())]
 
         for b in batches:
             for u, i, v in zip(b["uid"], b["vec_id"], b["v"], strict=True):
-                if number is None:
-                    number = int(u)  # the smallest uid of a block names it
                 uids.append(u)
                 ids.append(i)
                 vecs.append(v)
                 if len(uids) == block_rows:
                     yield frame()
-                    uids, ids, vecs, number = [], [], [], None
+                    uids, ids, vecs = [], [], []
         if uids:
             yield frame()
 
-    return map_lists(rows.select("uid", "vec_id", "v"), run, schema)
-
-
-def _unpack(row, prefix: str, dim: int):
-    uids = np.frombuffer(row[f"{prefix}uids"], dtype=np.int64)
-    ids = np.frombuffer(row[f"{prefix}ids"], dtype=np.int64)
-    nulls = np.frombuffer(row[f"{prefix}nulls"], dtype=bool)
-    return uids, ids, nulls, np.frombuffer(row[f"{prefix}data"], dtype=np.int64).reshape(len(uids), dim)
-
-
-def lifted_distances(data: np.ndarray, pivots: np.ndarray, norm2: float, query: bool) -> np.ndarray:
-    """Distances to the pivots in the space with the extra coordinate."""
-    exact = data.astype(np.float64)
-    own = (exact * exact).sum(1)
-    extra = np.zeros(len(data)) if query else np.sqrt(np.maximum(norm2 - own, 0.0))
-    p = pivots.astype(np.float64)
-    p2 = (p * p).sum(1)
-    p_extra = np.sqrt(np.maximum(norm2 - p2, 0.0))
-    d2 = own[:, None] + p2[None, :] - 2.0 * exact @ p.T + (extra[:, None] - p_extra[None, :]) ** 2
-    return np.sqrt(np.maximum(d2, 0.0))
-
-
-def search_block(q, x, pivots, norm2, k, chunk=CHUNK):
-    """The k best candidates of block ``x`` for every query of block ``q``:
-    rows (query position, candidate position, score), exact."""
-    (q_uid, _, _, q_data), (x_uid, x_id, x_null, x_data) = q, x
-    dq, dx = lifted_distances(q_data, pivots, norm2, True), lifted_distances(x_data, pivots, norm2, False)
-    slack = 1e-6 * (1.0 + float(np.sqrt(norm2)))  # far above the rounding of the distances
-    q2 = (q_data.astype(np.float64) ** 2).sum(1)
-    small = float(np.abs(q_data).max(initial=0)) * float(np.abs(x_data).max(initial=0)) * max(1, q_data.shape[1]) < 2**53
-    xs = x_data.astype(np.float64) if small else x_data
-    out = []
+    return map_lists(rows.select("uid", "vec_id", "v"), run, "block bigint, " + ", ".join(f"{c} binary" for c in PARTS))
+
+
+def _unpacked(blocks: pa.Table, dim: int, n_pivots: int):
+    """The blocks of a cell as one: ids, nulls, vectors and angles."""
+    each = []
+    for r in blocks.select(list(PARTS)).to_pylist():
+        uids = np.frombuffer(r["uids"], dtype="<i8")
+        each.append((uids, np.frombuffer(r["ids"], dtype="<i8"), np.frombuffer(r["nulls"], dtype=bool),
+                     np.frombuffer(r["data"], dtype="<i4").reshape(len(uids), dim),
+                     np.frombuffer(r["angles"], dtype="<u2").reshape(n_pivots, len(uids))))
+    return tuple(np.concatenate(part, axis=1 if i == 4 else 0) for i, part in enumerate(zip(*each, strict=True)))
+
+
+def search_block(q, x, k: int, chunk: int = CHUNK):
+    """The k best candidates of ``x`` for every query of ``q`` (each: uids,
+    ids, nulls, vectors, angles), exact: rows (query position, candidate
+    position, score), and how many scores were evaluated."""
+    (q_uid, _, _, q_data, q_angle), (x_uid, x_id, x_null, x_data, x_angle) = q, x
+    norm_q, norm_x = (np.sqrt((d.astype(np.float64) ** 2).sum(1)) for d in (q_data, x_data))
+    largest = float(np.abs(q_data.astype(np.int64)).max(initial=0)) * float(np.abs(x_data.astype(np.int64)).max(initial=0))
+    number = np.float64 if largest * max(1, q_data.shape[1]) < 2**53 else np.int64  # products of floats are exact below
+    xs, angles = x_data.astype(number), x_angle.astype(np.float32)
+    out, evaluated = [], 0
     for i in range(len(q_uid)):
-        bound = np.zeros(len(x_uid))
-        for p in range(len(pivots)):
-            np.maximum(bound, np.abs(dx[:, p] - dq[i, p]), out=bound)
-        order = np.argsort(bound, kind="stable")
-        vec = q_data[i].astype(np.float64) if small else q_data[i]
-        best_pos = np.empty(0, dtype=np.int64)
-        best = np.empty(0, dtype=np.int64)
+        steps = np.zeros(len(x_uid), dtype=np.float32)
+        for p in range(len(angles)):
+            np.maximum(steps, np.abs(angles[p] - np.float32(q_angle[p, i])), out=steps)
+        nearest = np.maximum(steps.astype(np.float64) * STEP - SLACK, 0.0)
+        scale = norm_q[i] * norm_x
+        bound = scale * np.cos(nearest) + 1e-9 * scale + 1e-3
+        order = np.argsort(-bound, kind="stable")
+        vec = q_data[i].astype(number)
+        best_pos, best = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         at, size = 0, chunk
-        while at < len(order):
-            if len(best) == k:
-                kth = np.sqrt(max(q2[i] + norm2 - 2.0 * float(best[-1]), 0.0))
-                if bound[order[at]] > kth + slack:
-                    break
+        while at < len(order) and not (len(best) == k and bound[order[at]] < best[-1]):
             pos = order[at:at + size]
-            at += size
+            at, size = at + size, 2 * size
+            if len(best) == k:
+                pos = pos[bound[pos] >= best[-1]]
             pos = pos[x_uid[pos] != q_uid[i]]
+            evaluated += len(pos)
             score = (xs[pos] @ vec).astype(np.int64)
+            if len(best) == k:
+                pos, score = pos[score >= best[-1]], score[score >= best[-1]]
             pos, score = np.concatenate([best_pos, pos]), np.concatenate([best, score])
             keep = np.lexsort((x_uid[pos], x_id[pos], ~x_null[pos], -score))[:k]
             best_pos, best = pos[keep], score[keep]
         out += [(i, int(j), int(s)) for j, s in zip(best_pos, best, strict=True)]
-    return out
+    return out, evaluated
 
 
 def top_k(vectors: DataFrame, is_query, k: int, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -142,40 +172,45 @@ def top_k(vectors: DataFrame, is_query, k: int, pivots: int = PIVOTS, block_rows
     embedding) that the column expression ``is_query`` selects."""
     spark = vectors.sparkSession
     table = stored(quantize(vectors), "topk-vectors")
-    stats = table.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()
-    dim, norm2 = int(stats[0] or 0), float(stats[1] or 0.0)
-    chosen = [r[0] for r in table.orderBy(F.xxhash64("v"), "uid").limit(pivots).select("v").collect()]
-    pivot_rows = np.zeros((len(chosen), dim), dtype=np.int64)
-    for i, v in enumerate(chosen):
-        pivot_rows[i, :len(v)] = v
-
-    x_blocks = stored(_packed(table, "block", block_rows, dim), "topk-candidates")
-    # Queries are a few in a hundred rows: gather them into full blocks first.
-    n_query_blocks = max(1, -(-table.where(is_query).count() // block_rows))
-    queries = table.where(is_query).repartition(n_query_blocks, F.xxhash64("uid")).sortWithinPartitions("uid")
-    q_blocks = stored(_packed(queries, "qblock", block_rows, dim), "topk-queries")
-    numbers = [r[0] for r in q_blocks.select("qblock").orderBy("qblock").collect()]  # one per block of queries
-    if not numbers:
+    stats = table.agg(F.max(F.size("v")), F.count(F.when(is_query, 1))).first()
+    dim, n_queries = int(stats[0] or 0), int(stats[1])
+    if not n_queries:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-
-    dealt = x_blocks.select(F.explode(F.array(*[F.lit(n) for n in numbers])).alias("qblock"),
-                            *[F.col(c).alias(f"x_{c}") for c in ("uids", "ids", "nulls", "data")])
-    asked = q_blocks.select("qblock", *[F.col(c).alias(f"q_{c}") for c in ("uids", "ids", "nulls", "data")])
-
-    def run(batches):
-        for b in batches:
-            for row in b.to_dict("records"):
-                q, x = _unpack(row, "q_", dim), _unpack(row, "x_", dim)
-                found = search_block(q, x, pivot_rows, norm2, k)
-                yield pd.DataFrame({
-                    "query_uid": [int(q[0][i]) for i, _, _ in found],
-                    "query_id": pd.array([None if q[2][i] else int(q[1][i]) for i, _, _ in found], dtype="Int64"),
-                    "uid": [int(x[0][j]) for _, j, _ in found],
-                    "vec_id": pd.array([None if x[2][j] else int(x[1][j]) for _, j, _ in found], dtype="Int64"),
-                    "score": [s for _, _, s in found]})
-
-    pairs = dealt.repartition(F.xxhash64("qblock", "x_uids")).join(asked, "qblock")
-    found = pairs.mapInPandas(run, f"query_uid bigint, {RESULT}")
+    block_rows = max(1, min(block_rows, BLOCK_VALUES // max(1, dim)))
+    # A bounded sample for the pivots: the rows with the smallest hash, one block of them.
+    drawn = [r[0] for r in table.orderBy(F.xxhash64("v"), "uid").limit(block_rows).select("v").collect()]
+    sample = np.zeros((len(drawn), dim), dtype=np.int64)
+    for i, v in enumerate(drawn):
+        sample[i, :len(v)] = v
+    chosen = spread_pivots(sample, pivots)
+
+    candidates = stored(_packed(table, block_rows, dim, chosen), "topk-candidates")
+    # Queries are a few in a hundred rows: gather them into full blocks first.
+    n_asked = -(-n_queries // block_rows)
+    queries = table.where(is_query).repartition(n_asked, F.xxhash64("uid")).sortWithinPartitions("uid")
+    asked = stored(_packed(queries, block_rows, dim, chosen).withColumn("i", F.expr(f"int(pmod(xxhash64(block), {n_asked}))")), "topk-queries")
+
+    # A group of candidates has at most about CELL_BLOCKS blocks, fewer while there are too few cells to keep all cores busy.
+    n_blocks, cores = candidates.count(), spark.sparkContext.defaultParallelism
+    n_groups = max(1, -(-n_blocks // CELL_BLOCKS), min(n_blocks, -(-2 * cores // n_asked)))
+    cells = min(4 * n_asked * n_groups, max(3 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    x = (candidates.withColumn("j", F.expr(f"int(pmod(xxhash64(block), {n_groups}))"))
+         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
+         .join(small(asked.select("i").distinct()), "i", "left_semi").repartition(cells, "i", "j"))
+    q = asked.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).repartition(cells, "i", "j")
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = [f.split()[0] for f in RESULT.split(", ")]
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], type=pa.int64()) for n in names})
+        q, x = _unpacked(left, dim, len(chosen)), _unpacked(right, dim, len(chosen))
+        found, _ = search_block(q, x, k)
+        at = np.array(found, dtype=np.int64).reshape(-1, 3)
+        of_q, of_x = at[:, 0], at[:, 1]
+        return pa.table([pa.array(q[0][of_q]), pa.array(q[1][of_q], mask=q[2][of_q]), pa.array(x[0][of_x]),
+                         pa.array(x[1][of_x], mask=x[2][of_x]), pa.array(at[:, 2])], names=names)
+
+    found = q.groupBy("i", "j").cogroup(x.groupBy("i", "j")).applyInArrow(cell, RESULT)
     w = Window.partitionBy("query_uid").orderBy(F.desc("score"), F.asc("vec_id"), F.asc("uid"))
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

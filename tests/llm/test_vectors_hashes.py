@@ -37,16 +37,43 @@ def test_topk_stops_early():
     rng = np.random.default_rng(1)
     far = rng.integers(-10, 10, (2000, 6)) + np.array([300, 0, 0, 0, 0, 0]) * np.sign(rng.normal(size=(2000, 1)))
     far = far.astype(np.int64)
-    norm2 = float((far.astype(float) ** 2).sum(1).max())
     ids = np.arange(len(far))
     no = np.zeros(len(far), dtype=bool)
-    hits = topk.search_block((ids[:3], ids[:3], no[:3], far[:3]), (ids, ids, no, far), far[:4], norm2, 5, chunk=16)
+    angles = topk.pivot_angles(far, topk.spread_pivots(far, 16))
+    hits, evaluated = topk.search_block((ids[:3], ids[:3], no[:3], far[:3], angles[:, :3]), (ids, ids, no, far, angles), 5, chunk=16)
+    assert evaluated < 3 * len(far) / 2
     for i in range(3):
         s = far @ far[i]
         best = sorted((-int(s[j]), j) for j in range(len(far)) if j != i)[:5]
         assert [(j, sc) for a, j, sc in hits if a == i] == [(j, -x) for x, j in best]
 
 
+def test_topk_without_broadcasts_and_with_many_cells(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 1, 6)]) for i in range(300)] + [(600 + i, [0.0] * 6) for i in range(8)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    monkeypatch.setattr(topk, "CELL_BLOCKS", 2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = topk.top_k(df.repartition(3), F.col("vec_id") % 10 == 0, 4, pivots=16, block_rows=7).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(tuple, got)) == brute_top(rows, 4, lambda i: i % 10 == 0)
+
+
+def test_topk_with_large_components():
+    rng = np.random.default_rng(2)
+    big = rng.integers(-2**31 + 1, 2**31, (300, 3)).astype("<i4")
+    ids, no = np.arange(300), np.zeros(300, dtype=bool)
+    angles = topk.pivot_angles(big, topk.spread_pivots(big.astype(np.int64), 8))
+    hits, _ = topk.search_block((ids[:4], ids[:4], no[:4], big[:4], angles[:, :4]), (ids, ids, no, big, angles), 3, chunk=8)
+    for i in range(4):
+        scores = [sum(int(a) * int(b) for a, b in zip(big[i], w, strict=True)) for w in big]
+        want = sorted((-s, j) for j, s in enumerate(scores) if j != i)[:3]
+        assert [(-s, j) for a, j, s in hits if a == i] == want
+
+
 def brute_simhash(text):
     words = (text or "").encode().lower().split()
     sh = [b" ".join(words[i:i + 4]) for i in range(len(words) - 3)] if len(words) >= 4 else [b" ".join(words)] if words else []
