@@ -13,9 +13,13 @@ radius collides in at least one of the ``2**(radius+1) - 1`` tables.
 
 Equal fingerprints are one node, so groups of copies cost one row.  A bucket
 holds distinct fingerprints only; its task checks every pair that is not yet
-connected and returns the links of a spanning forest, not all pairs.  Links
-become components by rounds of big-star and small-star joins, each written to
-the shared folder.  Nothing of this goes through the driver.
+connected and returns the links of a spanning forest, not all pairs.  A bucket
+that may hold more than ``BUCKET`` fingerprints is dealt again by covering
+masks over the positions its own mask leaves out (at most 32): the same
+argument holds there, so no pair is lost, and what is left open is at most 16
+bits, so no bucket ever holds more than 65,536 fingerprints.  Links become
+components by rounds of big-star and small-star joins, each written to the
+shared folder.  Nothing of this goes through the driver.
 
 Defined cases: a null text is empty; a text without words has fingerprint
 zero and links like any other; fewer words than a shingle form one shingle; a
@@ -31,12 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import add_columns, load, pick, stored
+from tessera.llm.common import add_columns, load, pick, small, stored
 
 SHINGLE = 4
 RADIUS = 4
 BITS = 64
 SEED = 42
+#: Fingerprints of one bucket that are compared without dealing them again.
+BUCKET = 8192
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -67,15 +73,21 @@ def simhash(text: str | None, size: int = SHINGLE) -> int:
     return int(bits.view("<i8")[0])
 
 
-def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
-    """The masks as signed numbers.  Codes go round the non-zero vectors, so
-    that no position has an empty mask in every table."""
+def covering_masks(radius: int = RADIUS, positions: list[int] | None = None) -> list[int]:
+    """The masks over some bit positions (default: all 64) as signed numbers.
+    Codes go round the non-zero vectors, so that no position has an empty mask
+    in every table."""
     n = 2 ** (radius + 1)
-    codes = [1 + i % (n - 1) for i in range(bits)]
-    masks = [sum(1 << i for i, c in enumerate(codes) if (c & v).bit_count() % 2) for v in range(1, n)]
+    codes = [(p, 1 + i % (n - 1)) for i, p in enumerate(range(BITS) if positions is None else positions)]
+    masks = [sum(1 << p for p, c in codes if (c & v).bit_count() % 2) for v in range(1, n)]
     return [m - 2**64 if m >= 2**63 else m for m in masks]
 
 
+def inner_masks(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks for a bucket of the table ``mask``: over the positions it leaves out, each with the bucket's own."""
+    return [mask | m for m in covering_masks(radius, [p for p in range(BITS) if not mask >> p & 1])]
+
+
 def forest_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of a spanning forest over the graph of pairs within the radius.
     Walks from node to node; each step compares with unreached nodes only."""
@@ -96,16 +108,30 @@ def forest_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def covering_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a < b: links between distinct ``fp`` values that connect whatever pairs
-    within the radius connect."""
+def covering_links(fingerprints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """a < b: links between distinct ``fp`` values (a table that is cheap to
+    read again) that connect whatever pairs within the radius connect."""
     masks = covering_masks(radius)
     rows = fingerprints.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("tab", "mask"))
     rows = rows.select("tab", F.col("fp").bitwiseAND(F.col("mask")).alias("kept"), "fp")
-    buckets = (rows.groupBy("tab", "kept").agg(F.collect_set("fp").alias("fps"))
-               .where(F.size("fps") > 1).select("fps"))
-    small = buckets.where(F.size("fps") == 2).select(F.array_min("fps").alias("a"), F.array_max("fps").alias("b"))
-    small = small.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+
+    # Counted by hashed groups of buckets, few beside the rows, so that the count shuffles little.  A small bucket
+    # that shares a group with a large one is dealt again too; its links are the same.
+    n_groups = 64 + 16 * len(masks) * fingerprints.count() // bucket
+    grouped = rows.withColumn("crowd", F.pmod(F.xxhash64("tab", "kept"), F.lit(n_groups)))
+    crowds = stored(grouped.groupBy("crowd").count().where(F.col("count") > bucket).select("crowd"), "simhash-crowds")
+    if crowds.isEmpty():
+        dealt = rows.select(F.col("tab").alias("t"), F.col("kept").alias("k"), "fp")
+    else:
+        inner = F.array(*[F.array(*[F.lit(m) for m in inner_masks(mask, radius)]) for mask in masks])
+        hot = grouped.join(small(crowds), "crowd", "left_semi").select(
+            "tab", "fp", F.posexplode(F.element_at(inner, F.col("tab") + 1)).alias("sub", "mask"))
+        dealt = grouped.join(small(crowds), "crowd", "left_anti").select(F.col("tab").alias("t"), F.col("kept").alias("k"), "fp")
+        dealt = dealt.unionByName(hot.select((len(masks) * (F.col("tab") + 1) + F.col("sub")).alias("t"),
+                                             F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp"))
+    buckets = dealt.groupBy("t", "k").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    two = buckets.where(F.size("fps") == 2).select(F.array_min("fps").alias("a"), F.array_max("fps").alias("b"))
+    two = two.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
     def run(batches):
         for b in batches:
@@ -113,8 +139,8 @@ def covering_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield pd.DataFrame({"a": np.array([min(p) for p in pairs], dtype=np.int64),
                                 "b": np.array([max(p) for p in pairs], dtype=np.int64)})
 
-    large = buckets.where(F.size("fps") > 2).mapInPandas(run, "a bigint, b bigint")
-    return small.unionByName(large).distinct()
+    more = buckets.where(F.size("fps") > 2).mapInPandas(run, "a bigint, b bigint")
+    return two.unionByName(more).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -157,7 +183,7 @@ def components_of(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) ->
     root (one fingerprint that stands for the component) and component_id
     (its smallest doc_id)."""
     marked = stored(fingerprints(docs, size), "simhash-fps")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     nodes = components(covering_links(distinct.select("fp"), radius))
     roots = distinct.join(nodes, distinct.fp == nodes.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))

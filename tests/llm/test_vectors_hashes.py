@@ -114,6 +114,51 @@ def test_masks_cover_every_pair():
         assert any(m & x == 0 for m in masks)
 
 
+def test_inner_masks_cover_every_pair_and_leave_few_bits():
+    rng = np.random.default_rng(1)
+    for mask in simhash.covering_masks():
+        inner = simhash.inner_masks(mask)
+        free = [p for p in range(64) if not mask >> p & 1]
+        assert len(inner) == 31 and all(m & mask == mask for m in inner)
+        assert max(64 - (m % 2**64).bit_count() for m in inner) <= 16
+        for _ in range(100):
+            x = sum(1 << int(i) for i in rng.choice(free, 4, replace=False))
+            assert any(m & x == 0 for m in inner)
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    # All agree in the bits one mask keeps, so they crowd in one bucket; few of them link.
+    mask = simhash.covering_masks()[4]
+    free = [p for p in range(64) if not mask >> p & 1]
+    rng = np.random.default_rng(6)
+    fps = {0}
+    for _ in range(250):
+        x = sum(1 << int(p) for p in rng.choice(free, 12, replace=False))
+        near = x
+        for p in rng.choice(64, int(rng.integers(1, 7)), replace=False):
+            near ^= 1 << int(p)
+        fps |= {x, near}
+    fps = sorted(x - 2**64 if x >= 2**63 else x for x in fps)
+    df = spark.createDataFrame([(x,) for x in fps], "fp bigint")
+
+    def sets(links):
+        comp = {x: x for x in fps}
+        for a, b in links:
+            old, new = comp[a], comp[b]
+            comp = {x: new if c == old else c for x, c in comp.items()}
+        groups = {}
+        for x, c in comp.items():
+            groups.setdefault(c, set()).add(x)
+        return sorted(map(sorted, groups.values()))
+
+    want = sets([(a, b) for a in fps for b in fps if a < b and ((a ^ b) % 2**64).bit_count() <= 4])
+    assert 250 < len(want) < len(fps)
+    for bucket in (8192, 100, 1):
+        got = [(r["a"], r["b"]) for r in simhash.covering_links(df, bucket=bucket).collect()]
+        assert all(a < b and ((a ^ b) % 2**64).bit_count() <= 4 for a, b in got)
+        assert sets(got) == want
+
+
 def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 300), (150, 300)]
     got = simhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()
