@@ -31,11 +31,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest doc_id of each component."""
+    """Keeps the row with the smallest doc_id of each component; a null doc_id
+    counts as larger than any other."""
     # Written with their ids: the ids depend on the scan's splits, which may differ from job to job.
     rows = stored(pick(docs, *COLUMNS).withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
     found = simhash.components_of(rows.select("doc_id", "text", "row"))
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
     return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import AWKWARD, saved, table
+from tests.llm.test_vectors_hashes import brute_components, brute_simhash
 from tessera.llm import mixing, packing, suffix
 
 
@@ -314,6 +315,103 @@ def test_near_dedup_keeps_its_rows_when_the_splits_change(spark, tmp_path, monke
     assert got == sorted(r["component_id"] for r in expected)
 
 
+def plain_mix(rows):
+    """The (id, text) of each row as often as the mixing stage takes it; rows: (id, text, source)."""
+    own = defaultdict(list)
+    for i, text, source in rows:
+        own[source or ""].append((i, text, len(text.encode().split())))
+    tokens = {s: sum(n for *_, n in own[s]) for s in sorted(own)}
+    total = sum(tokens.values())
+    p = np.array(list(tokens.values())) / total
+
+    def entropy(t):
+        w = p**t / (p**t).sum()
+        return -(w * np.log(w)).sum()
+
+    def bisect(lo, ok):
+        hi = 1.0
+        for _ in range(mixing.BISECTIONS):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if ok(mid) else (lo, mid)
+        return lo
+
+    goal = mixing.ENTROPY_SHARE * np.log(len(p))
+    t = 1.0 if entropy(1.0) >= goal else bisect(0.0, lambda t: entropy(t) >= goal)
+    over = lambda t: (p**(t - 1)).max() / (p**(t - 1)).min() > mixing.MAX_EPOCHS
+    t = bisect(t, over) if over(t) else t
+    out = []
+    for (s, n), share in zip(tokens.items(), p, strict=True):
+        whole, rest = divmod(int(np.floor(share**t / (p**(t - 1)).min() * total + 0.5)), n)
+        out += [(i, text) for i, text, _ in own[s]] * whole
+        name = lambda i: "" if i is None else i
+        for _, i, text, n in sorted((hashlib.md5(f"{mixing.SEED}|{s}|{whole}|{name(i)}".encode()).hexdigest(), i, x, n) for i, x, n in own[s]):
+            if rest <= 0:
+                break
+            out.append((i, text))
+            rest -= n
+    return out
+
+
+def plain_pipeline(rows):
+    """doc_id, piece, start, length, ids_crc32 of run()'s rows, stage by stage in plain Python."""
+    from tokenizers import Tokenizer
+
+    rows = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    first = {}
+    component = {}
+    for r, (_, fp, least) in zip(rows, plain_components(rows), strict=True):
+        component[id(r)] = (least, fp if least is None else "")
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        first.setdefault(component[id(r)], r)
+    rows = list(first.values())
+    rows = [(r[0], text, r[3]) for r, text in zip(rows, plain_without_repeats([r[1] for r in rows], 400), strict=True) if text.strip(" ")]
+    coder = Tokenizer.from_file(packing.tokenizer_path())
+    coder.encode_special_tokens = True
+    out = []
+    for i, text in plain_mix(rows):
+        ids = [*coder.encode(text, add_special_tokens=False).ids, packing.END_ID]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        out += [(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes()))
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    return out
+
+
+def plain_components(rows):
+    """brute_components with the order of ``rows``."""
+    got = {(i, f): c for i, f, c in brute_components(rows)}
+    return [(r[0], f, got[r[0], f]) for r in rows for f in [f"{brute_simhash(r[1]):016x}"]]
+
+
+def plain_without_repeats(texts, length):
+    """The texts without what occurs elsewhere; what is left of a cut character goes."""
+    seen = defaultdict(int)
+    datas = [t.encode() for t in texts]
+    for d in datas:
+        for i in range(len(d) - length + 1):
+            seen[hashlib.md5(d[i:i + length]).digest()] += 1
+    out = []
+    for d in datas:
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if seen[hashlib.md5(d[i:i + length]).digest()] > 1:
+                gone[i:i + length] = b"\1" * length
+        out.append(bytes(b for b, g in zip(d, gone, strict=True) if not g).decode("utf-8", "ignore"))
+    return out
+
+
+def test_pipeline_against_a_plain_version(spark, sample_docs, tmp_path):
+    shared = " ".join(f"shared{i * i}" for i in range(60))
+    long = " ".join(f"word{i * 7 % 3001}" for i in range(1500))
+    rows = [*sample_docs[:50], *[(r[0] and 90_000 + r[0], *r[1:]) for r in AWKWARD]]  # a component is named by its smallest id
+    rows += [(5000 + i, f"{sample_docs[i][1] or ''} and a tail {i}", None, f"src{i % 3}") for i in range(12)]
+    rows += [(6000 + i, " ".join(f"own{i * 1000 + j}" for j in range(40)) + f" {shared} end {i}", "en", "src1") for i in range(6)]
+    rows += [(7000, long, "en", "src2"), (7001, long + " tail", "en", "src2"), (7002, long, "en", "src2")]
+    got = corpus_pipeline.run(spark, saved(spark, tmp_path, rows)).collect()
+    want = plain_pipeline(rows)
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got), key=str) == sorted(want, key=str)
+    check_packed([(0, r["sequence_id"], r["offset"], r["length"]) for r in got], [(0, w[3]) for w in want], 1024)
+
+
 def test_pipeline_of_no_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, saved(spark, tmp_path, [])).count() == 0
 
