@@ -38,21 +38,25 @@ def _as_of(as_of) -> F.Column:
 
 
 def recent_activity(reports: DataFrame, as_of, region: str = "state", entity: str = "comName",
-                    ts: str = "obs_ts", n: str = "obs_count", landed: str | None = None) -> DataFrame:
+                    ts: str = "obs_ts", n: str = "obs_count", landed: str | None = None,
+                    every_pair: bool = False) -> DataFrame:
     """Per (region, entity), summed counts in four half-open
     7-day bins [as_of - 7k, as_of - 7(k-1)) and the features built on them.
 
     ``ts`` is parsed from text, which no scan can prune on.  ``landed`` names a
     native time column within a day of it, if there is one: its range (a day
     wider on both sides) pushes into the scan.  The bins are conditional sums
-    of one partially-aggregated groupBy.
+    of one partially-aggregated groupBy.  ``every_pair`` keeps the pairs that
+    have reports at other times only, with zeros; it reads all reports once.
     """
     t0 = _as_of(as_of)
     start = t0 - F.expr(f"INTERVAL {BIN_DAYS * N_BINS} DAYS")
-    if landed:
-        day = F.expr("INTERVAL 1 DAY")
-        reports = reports.where((F.col(landed) >= start - day) & (F.col(landed) < t0 + day))
-    r = reports.where((F.col(ts) >= start) & (F.col(ts) < t0))
+    r = reports
+    if not every_pair:
+        if landed:
+            day = F.expr("INTERVAL 1 DAY")
+            r = r.where((F.col(landed) >= start - day) & (F.col(landed) < t0 + day))
+        r = r.where((F.col(ts) >= start) & (F.col(ts) < t0))
     bins = []
     for k in range(1, N_BINS + 1):
         lo = t0 - F.expr(f"INTERVAL {BIN_DAYS * k} DAYS")

@@ -16,7 +16,7 @@ from tessera.functions.rules import fixed_text, percent_text
 from tessera.operators import covariates, features, metrics, model, panel, profile, recent, score
 from tessera.plans import fixture as fx
 from tessera.schemas import LAGGED_COVARIATES, WEEKLY_COVARIATES
-from tessera.session import scratch_path
+from tessera.session import materialize, scratch_path
 from tessera.sources import lake, payloads, tables
 from tessera.streaming.activity import run_fixture_stream
 
@@ -131,10 +131,14 @@ def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.round_doubles(recent.recent_activity(_reports(spark, sf_dir), fx.FIXTURE_AS_OF, landed="ts"))
 
 
+def _requested_activity(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every reported (state, comName) as a request, and the activity of all: one scan of the reports, stored."""
+    act = materialize(recent.recent_activity(reports, fx.FIXTURE_AS_OF, every_pair=True), "activity")
+    return act.select("state", "comName"), act
+
+
 def corridor_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reps = _reports(spark, sf_dir)
-    act = recent.recent_activity(reps, fx.FIXTURE_AS_OF, landed="ts")
-    requests = reps.select("state", "comName").distinct()
+    requests, act = _requested_activity(_reports(spark, sf_dir))
     return recent.corridor_signal(requests, act, region_dim(spark))
 
 
@@ -144,9 +148,7 @@ def recent_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def presence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reps = _reports(spark, sf_dir)
-    act = recent.recent_activity(reps, fx.FIXTURE_AS_OF, landed="ts")
-    requests = reps.select("state", "comName").distinct()
+    requests, act = _requested_activity(_reports(spark, sf_dir))
     corridor = recent.corridor_signal(requests, act, region_dim(spark))
     weather = recent.recent_covariates(tables.daily_covariates(spark, sf_dir, by_state=True), region="state")
     feats = score.assemble_features(requests, act, corridor, weather, fx.FIXTURE_AS_OF)
@@ -302,9 +304,7 @@ def presence_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     weekly = covariates.weekly_covariates(daily.withColumnRenamed("state", "stateProvince"))
     hist = features.add_history(panel.build_panel(tables.serving_observations(spark, sf_dir), months=fx.FIXTURE_MONTHS))
     fitted, _ = _fit(covariates.merge_covariates(hist, weekly), WEATHER_NUMERIC, MAX_ITER_WEATHER)
-    reps = recent.prepare_reports(tables.serving_reports(spark, sf_dir))
-    act = recent.recent_activity(reps, fx.FIXTURE_AS_OF, landed="ts")
-    requests = reps.select("state", "comName").distinct()
+    requests, act = _requested_activity(recent.prepare_reports(tables.serving_reports(spark, sf_dir)))
     corridor = recent.corridor_signal(requests, act, region_dim(spark))
     feats = score.assemble_features(requests, act, corridor, recent.recent_covariates(daily, region="state"),
                                     fx.FIXTURE_AS_OF)

@@ -27,6 +27,16 @@ def test_bins_are_half_open(spark):
     assert r.rolling_3wk_mean_obs_count == 2.0 and r.had_recent_activity == 1
 
 
+def test_every_pair_adds_pairs_of_other_times_with_zeros(spark):
+    rows = [(1, "Georgia", "x", "2024-01-23 10:00", "2"), (2, "Georgia", "y", "2023-01-23 10:00", "9"), (3, "Texas", "x", "junk", "4"),
+            (4, None, "x", "2024-01-10 10:00", "3"), (5, "Georgia", "x", "2024-02-10 10:00", "8")]
+    reps = recent.prepare_reports(spark.createDataFrame(rows, RAW))
+    inside = {tuple(r) for r in recent.recent_activity(reps, AS_OF).collect()}
+    every = {tuple(r) for r in recent.recent_activity(reps, AS_OF, every_pair=True).collect()}
+    assert inside < every and {r[:2] for r in every} == {r[1:3] for r in rows}
+    assert all(not any(r[2:]) for r in every - inside)
+
+
 def test_missing_count_column_counts_one(spark):
     df = spark.createDataFrame([(1, "Georgia", "x", "2024-01-25 10:00")], "obs_id long, state string, comName string, obsDt string")
     assert recent.prepare_reports(df).first().obs_count == 1
