@@ -15,11 +15,17 @@ frequency, so the probabilities of all tokens in any context, one unknown type
 for each shared class included, add up to 1.
 
 What is learned comes from every training text: token counts (a distributed
-count, partly summed in the tasks) and counts of class triples.  Every pass of
-the training goes over all counted triples, each weighted with its count, and
-takes the expectation over the noise exactly.  Classes grow with the cube root
-of the training tokens, as far as there are distinct tokens for them; the
-dimension grows with the classes, the steps with their cube.
+count, partly summed in the tasks) and counts of class triples.  The triples
+are dealt by context into stored parts of about ``PART_TRIPLES``.  In each of
+``ROUNDS`` rounds every part trains its own copy of the parameters on all of
+its triples, each weighted with its count, with the exact expectation over the
+noise; the copies are averaged, a context vector by how often its class stands
+in the contexts of the part.  Tasks add their copies up and a shuffle adds the
+sums slice by slice, so the driver holds one set of parameters and no triple.
+The sums are of whole numbers (steps of 2**-36): their order does not matter.
+Classes grow with the cube root of the training tokens, as far as there are
+distinct tokens for them, up to the model's capacity of ``CAPACITY`` classes;
+the dimension grows with the classes, the parts with the triples.
 
 Scoring looks frequent tokens up in a table of at most ``HEAD`` entries that
 travels to the tasks.  All other tokens are joined to the counts by a shuffle,
@@ -41,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import load, most_frequent, pick, stored
+from tessera.llm.common import load, most_frequent, pick, release_worker_memory, stored
 
 #: Token entries that travel to the tasks.
 HEAD = 100_000
@@ -54,10 +60,13 @@ END = 0
 TOKENS_PER_TRIPLE = 4
 #: Classes for each dimension; noise draws for each token.
 CLASSES_PER_DIM, NOISE, RATE, SEED = 4, 20, 0.1, 11
-#: Least batches of a pass, least passes and least steps; scores of a batch.
-BATCHES, PASSES, STEPS, BATCH_SCORES = 16, 10, 600, 2**20
-#: Triples the driver holds; more are read from the stored table part by part.
-HELD = 4_000_000
+#: Most classes: three tables of 4096 by 4096 float32 numbers travel to the tasks (201 MB).
+#: Reached at about 4 * 4096**3 training tokens; token counts grow beyond it as before.
+CAPACITY = 4096
+#: Rounds of averaging; least batches of a part's pass and least steps of a part in all rounds; scores of a batch.
+ROUNDS, BATCHES, STEPS, BATCH_SCORES = 10, 16, 600, 2**20
+#: Triples of a part, about; numbers of a slice of the parameters; steps of 1 in the sums.
+PART_TRIPLES, SLICE, UNIT = 500_000, 4096, 2.0**36
 #: Tokens whose triples a task counts before it hands counts on.
 COUNTED = 2_000_000
 #: Distinct tokens a task holds before it hands counts on.
@@ -72,7 +81,7 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 def class_numbers(tokens: int, distinct: int) -> tuple[int, int]:
     """Classes of frequent tokens and classes by spelling for a corpus."""
-    grown = round((tokens / TOKENS_PER_TRIPLE) ** (1 / 3))
+    grown = min(CAPACITY, round((tokens / TOKENS_PER_TRIPLE) ** (1 / 3)))
     spelled = max(SPELLED, min(grown // 3, distinct // 2))
     return max(FREQUENT, min(grown - 1 - spelled, distinct)), spelled
 
@@ -157,33 +166,51 @@ class Scores:
 
     def __init__(self, first: np.ndarray, second: np.ndarray):
         # exp in a matrix product: the largest of each row is taken out before.
-        top_a, top_b = first.max(axis=1, keepdims=True), second.max(axis=1, keepdims=True)
-        self.first, self.second = (first - top_a) / math.log(10), (second - top_b) / math.log(10)
-        total = np.exp(first - top_a) @ np.exp(second - top_b).T
-        self.norm = np.log10(np.maximum(total, np.finfo(float).tiny))
+        first, second = first - first.max(axis=1, keepdims=True), second - second.max(axis=1, keepdims=True)
+        total = np.exp(first) @ np.exp(second).T
+        self.norm = np.log10(np.maximum(total, np.finfo(float).tiny)).astype(np.float32)
+        self.first, self.second = ((t / math.log(10)).astype(np.float32) for t in (first, second))
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         """For each token of a text and its end mark."""
         padded = padded_ids(ids)
         a, b, c = padded[:-2], padded[1:-1], padded[2:]
-        return self.first[a, c] + self.second[b, c] - self.norm[a, b]
+        return self.first[a, c].astype(np.float64) + self.second[b, c] - self.norm[a, b]
 
 
-def learn(parts, unigram: np.ndarray, groups: int = 1) -> Scores:
-    """``parts(i)`` gives the codes and counts of group i of the triples, all
-    triples of a context in the same group; ``unigram``: counts of the classes
-    as the last of a triple."""
+def views(flat: np.ndarray, size: int) -> list[np.ndarray]:
+    """The parameters in one vector: context vectors, class vectors, the
+    weights of the two positions, biases."""
+    dim = size // CLASSES_PER_DIM
+    ctx, q, c1, c2, bias = np.split(flat, np.cumsum([size * dim, size * dim, dim, dim]))
+    return [ctx.reshape(size, dim), q.reshape(size, dim), c1, c2, bias]
+
+
+def noise_of(unigram: np.ndarray) -> np.ndarray:
+    return (unigram + 0.5) / (unigram + 0.5).sum()
+
+
+def first_state(unigram: np.ndarray) -> np.ndarray:
+    """Two rows: the parameters before training, sums of squared gradients."""
     size = len(unigram)
-    rng = np.random.Generator(np.random.PCG64(SEED))
-    total = unigram.sum()
-    noise = (unigram + 0.5) / (unigram + 0.5).sum()
     dim = size // CLASSES_PER_DIM
-    ctx, q = rng.normal(0, 0.1, (size, dim)), rng.normal(0, 0.1, (size, dim))
-    c1, c2, bias = np.ones(dim) * 0.5, np.ones(dim), np.log(noise)
-    params = [ctx, q, c1, c2, bias]
-    squares = [np.full_like(p, 1e-20) for p in params]
-    per_group = max(1, -(-max(BATCHES, -(-size**3 // BATCH_SCORES)) // groups))
-    batches = per_group * groups
+    rng = np.random.Generator(np.random.PCG64(SEED))
+    state = np.zeros((2, 2 * size * dim + 2 * dim + size))
+    ctx, q, c1, c2, bias = views(state[0], size)
+    ctx[:], q[:] = rng.normal(0, 0.1, (size, dim)), rng.normal(0, 0.1, (size, dim))
+    c1[:], c2[:], bias[:] = 0.5, 1.0, np.log(noise_of(unigram))
+    return state
+
+
+def train_part(state: np.ndarray, noise: np.ndarray, codes: np.ndarray, counts: np.ndarray, seed) -> None:
+    """One round of a part: changes ``state`` by passes over all its triples."""
+    size = len(noise)
+    params, squares = views(state[0], size), views(state[1], size)
+    ctx, q, c1, c2, bias = params
+    rng = np.random.Generator(np.random.PCG64(seed))
+    total = counts.sum()
+    contexts, at = np.unique(codes // size, return_inverse=True)
+    batches = max(BATCHES, -(-len(contexts) * size // BATCH_SCORES))
     log_kn = np.log(NOISE * noise)
 
     def step(a, b, at, c, counts):
@@ -209,55 +236,137 @@ def learn(parts, unigram: np.ndarray, groups: int = 1) -> Scores:
         grads = [g_ctx, err.T @ hidden, (g_hidden * ctx[a]).sum(0), (g_hidden * ctx[b]).sum(0), err.sum(0)]
         for p, s, g in zip(params, squares, grads, strict=True):
             s += np.square(g, dtype=np.float64)
-            p -= RATE * g / np.sqrt(s)
-
-    def dealt(codes, counts):
-        """Batches of whole contexts, the contexts dealt by chance."""
-        contexts, at = np.unique(codes // size, return_inverse=True)
-        place = rng.permutation(len(contexts))
-        order = np.argsort(place[at] % per_group, kind="stable")
-        out = []
-        for mine in np.split(order, np.searchsorted(place[at][order] % per_group, np.arange(1, per_group))):
-            if len(mine):
-                own, own_at = np.unique(at[mine], return_inverse=True)
-                out.append((contexts[own] // size, contexts[own] % size, own_at, codes[mine] % size, counts[mine]))
-        return out
-
-    if total:
-        held = dealt(*parts(0)) if groups == 1 else None
-        for _ in range(max(PASSES, -(-STEPS // batches))):
-            for group in rng.permutation(groups).tolist():
-                work = held or dealt(*parts(group))
-                for i in rng.permutation(len(work)).tolist():
-                    step(*work[i])
+            p -= RATE * g / (np.sqrt(s) + 1e-10)
+
+    # Batches of whole contexts, the contexts dealt by chance.
+    place = rng.permutation(len(contexts)) % batches
+    order = np.argsort(place[at], kind="stable")
+    work = []
+    for mine in np.split(order, np.searchsorted(place[at][order], np.arange(1, batches))):
+        if len(mine):
+            own, own_at = np.unique(at[mine], return_inverse=True)
+            work.append((contexts[own] // size, contexts[own] % size, own_at, codes[mine] % size, counts[mine]))
+    for _ in range(max(1, -(-STEPS // (ROUNDS * batches)))):
+        for i in rng.permutation(len(work)).tolist():
+            step(*work[i])
+
+
+def context_mass(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """How often each class stands in the contexts of the triples."""
+    return (np.bincount(codes // size**2, weights=counts, minlength=size)
+            + np.bincount(codes // size % size, weights=counts, minlength=size))
+
+
+def shares(mass: np.ndarray, tokens: float, length: int, all_mass: np.ndarray, all_tokens: float) -> np.ndarray:
+    """The weight of a part's copy in the average, for each parameter."""
+    size = len(all_mass)
+    out = np.full(length, tokens / all_tokens)
+    views(out, size)[0][:] = (mass / np.maximum(all_mass, 1.0))[:, None]
+    return out
+
+
+def scores_of(state: np.ndarray, size: int) -> Scores:
+    ctx, q, c1, c2, bias = views(state[0], size)
     return Scores((ctx * c1) @ q.T, (ctx * c2) @ q.T + bias)
 
 
 def train(codes: np.ndarray, counts: np.ndarray, size: int = CLASSES) -> np.ndarray:
     """log10 P(class | context) as an array of size**2 by size: the whole
-    table, for few classes."""
-    got = learn(lambda _: (codes, counts), np.bincount(codes % size, weights=counts, minlength=size))
-    return (got.first[:, None, :] + got.second[None, :, :] - got.norm[:, :, None]).reshape(size * size, size)
+    table, for few classes and triples of one part."""
+    unigram = np.bincount(codes % size, weights=counts, minlength=size)
+    state, noise = first_state(unigram), noise_of(unigram)
+    for i in range(ROUNDS):
+        train_part(state, noise, codes, counts, [SEED, i, 0])
+    got = scores_of(state, size)
+    return (got.first[:, None, :].astype(np.float64) + got.second[None, :, :] - got.norm[:, :, None]).reshape(size * size, size)
+
+
+def averaged(parts: DataFrame, state: np.ndarray, unigram: np.ndarray, mass: np.ndarray, turn: int) -> np.ndarray:
+    """The state after a round.  ``parts``: stored (part, code, n), each part
+    in one piece and sorted."""
+    size, shape = len(unigram), state.shape
+    context = parts.sparkSession.sparkContext
+    shipped = context.broadcast((state, unigram, mass))
+
+    def copies(batches):
+        begun, unigram, mass = shipped.value
+        noise, tokens = noise_of(unigram), unigram.sum()
+        sums = np.zeros(shape, dtype=np.int64)
+
+        def add(part, held):
+            codes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            own = begun.copy()
+            train_part(own, noise, codes, counts, [SEED, turn, part])
+            own *= shares(context_mass(codes, counts, size), counts.sum(), shape[1], mass, tokens)
+            sums[:] += np.rint(own * UNIT).astype(np.int64)
+
+        part, held = None, []
+        for b in batches:
+            numbers, codes, counts = (b.column(c).to_numpy() for c in ("part", "code", "n"))
+            cuts = np.flatnonzero(np.diff(numbers)) + 1
+            for p, c, n in zip(np.split(numbers, cuts), np.split(codes, cuts), np.split(counts, cuts), strict=True):
+                if len(p) and p[0] != part:
+                    if held:
+                        add(part, held)
+                    part, held = int(p[0]), []
+                if len(p):
+                    held.append((c, n))
+        if held:
+            add(part, held)
+            yield from slices(sums)
+        del sums
+        release_worker_memory()
+
+    def slices(sums):
+        flat = sums.reshape(-1)
+        for i in range(0, len(flat), SLICE * 100):
+            cut = range(i, min(i + SLICE * 100, len(flat)), SLICE)
+            yield pa.RecordBatch.from_arrays([pa.array([j // SLICE for j in cut], pa.int32()),
+                                              pa.array([flat[j:j + SLICE].tobytes() for j in cut], pa.binary())], names=["slice", "sums"])
+
+    def added(batches):
+        totals = {}
+        for b in batches:
+            for i, raw in zip(b.column("slice").to_pylist(), b.column("sums").to_pylist(), strict=True):
+                got = np.frombuffer(raw, dtype=np.int64)
+                totals[i] = totals[i] + got if i in totals else got
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())],
+                                         names=["slice", "sums"])
+
+    schema = "slice int, sums binary"
+    try:
+        rows = parts.mapInArrow(copies, schema).repartition("slice").mapInArrow(added, schema).collect()
+    finally:
+        shipped.destroy()
+    flat = np.concatenate([np.frombuffer(bytes(r["sums"]), dtype=np.int64) for r in sorted(rows, key=lambda r: r["slice"])])
+    out = flat.reshape(shape) / UNIT
+    for row, before in zip(out, state, strict=True):  # classes that stand in no context keep their vectors
+        views(row, size)[0][mass == 0] = views(before, size)[0][mass == 0]
+    return out
 
 
 def train_stored(triples: DataFrame, size: int) -> Scores:
-    """``triples``: a stored table (code, n).  The driver holds at most about
-    HELD triples at a time and reads every triple in every pass."""
-    unigram = np.zeros(size)
-    rows = 0
-    for r in triples.groupBy(F.pmod("code", F.lit(size)).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect():
-        unigram[r["c"]] = r["n"]
-        rows += r["rows"]
-    groups = max(1, -(-rows // HELD))
-    group = F.pmod(F.hash(F.floor(F.col("code") / size)), F.lit(groups))
-
-    def read(i):
-        got = (triples.where(group == i) if groups > 1 else triples).toArrow()
-        codes, n = (got.column(c).to_numpy().astype(np.int64) for c in ("code", "n"))
-        order = np.argsort(codes)  # the order of the rows is not the same in every run
-        return codes[order], n[order]
-
-    return learn(read, unigram, groups)
+    """``triples``: a stored table (code, n).  The driver gets counts by class
+    and, in each round, one set of parameters."""
+    unigram, mass, rows = np.zeros(size), np.zeros(size), 0
+    code = F.col("code")
+    places = F.array(F.floor(code / size**2), F.floor(code / size) % size, code % size)
+    by_class = triples.select(F.posexplode(places).alias("place", "c"), "n").groupBy("place", "c").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    for r in by_class.collect():
+        if r["place"] == 2:
+            unigram[r["c"]] += r["n"]
+            rows += r["rows"]
+        else:
+            mass[r["c"]] += r["n"]
+    state = first_state(unigram)
+    if rows:
+        number = -(-rows // PART_TRIPLES)
+        part = F.pmod(F.hash(F.floor(code / size)), F.lit(number)).cast("int")
+        dealt = triples.select(part.alias("part"), "code", "n").repartitionById(number, "part").sortWithinPartitions("part", "code")
+        parts = stored(dealt, "lm-parts")
+        for turn in range(ROUNDS):
+            state = averaged(parts, state, unigram, mass, turn)
+    return scores_of(state, size)
 
 
 class Model:

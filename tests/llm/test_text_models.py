@@ -132,12 +132,14 @@ def test_triples_in_parts_of_a_stored_table(spark, monkeypatch):
     fit = lambda scores: (counts * (scores.first[codes // size**2, codes % size] + scores.second[codes // size % size, codes % size]
                                     - scores.norm[codes // size**2, codes // size % size])).sum() / counts.sum()
     whole = fit(lm.train_stored(rows, size))
-    monkeypatch.setattr(lm, "HELD", 100)
-    monkeypatch.setattr(lm, "STEPS", 60)
-    monkeypatch.setattr(lm, "BATCHES", 4)
+    log_p = lm.train(codes, counts, size)  # one part: the same as the plain loop
+    assert abs(whole - (counts * log_p[codes // size, codes % size]).sum() / counts.sum()) < 1e-5
+    monkeypatch.setattr(lm, "PART_TRIPLES", 60)
+    monkeypatch.setattr(lm, "SLICE", 50)
     unigram = np.bincount(codes % size, weights=counts) / counts.sum()
     parts = fit(lm.train_stored(rows, size))
     assert parts > (counts * np.log10(unigram[codes % size])).sum() / counts.sum() and abs(parts - whole) < 0.2
+    assert parts == fit(lm.train_stored(rows.repartition(7), size))  # sums do not depend on the tasks
 
 
 def test_classes_grow_with_the_training_tokens():
