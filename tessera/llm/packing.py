@@ -23,7 +23,6 @@ gives no rows.
 from __future__ import annotations
 
 import re
-import struct
 
 import numpy as np
 import pandas as pd
@@ -42,89 +41,60 @@ POPULATION = 4
 GENERATIONS = 4
 EPOCHS = 2
 MAX_ROUNDS = 4
-#: Token strings remembered by a worker, none longer than so many characters:
-#: about 200 bytes each, so the memory is bounded.
-CACHE = 800_000
-CACHED_CHARS = 64
-#: Punctuation that may be encoded apart from the letters before it; not the
-#: apostrophe, which begins contractions.
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Letters of plain words, which the tokenizer never divides before its merges.
-PLAIN_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
-PLAIN_WORD = re.compile(f" ?[{PLAIN_LETTERS}]+")
-#: A line feed between two characters that are not white space: a word of its own.
-LINE_FEED = re.compile(r"(?<=\S)\n(?=\S)")
+#: A run of so many characters without or of white space: left to the tokenizer library,
+#: as the words of the pattern could be of any length there.
+LONG_RUN = re.compile(r"\S{512}|\s{512}")
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
-class ChunkTokenizer:
-    """Ids of a text by the tokenizer file, with the ids of text chunks
-    remembered.  A single space between two other characters always begins a
-    new word of this tokenizer, so chunks cut there can be encoded alone.
+def byte_of_letter() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: bytes
+    that print as one visible character stand for themselves, the others follow
+    from 256 on."""
+    shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+    others = [c for c in range(256) if c not in set(shown)]
+    return {**{chr(c): c for c in shown}, **{chr(256 + i): c for i, c in enumerate(others)}}
 
-    ``cache`` holds two generations: when the young one is full it becomes the
-    old one; what is used again comes back, what is rare is forgotten."""
 
-    def __init__(self, path: str, cache: dict, entries: int = CACHE):
+class TextTokenizer:
+    """Ids of whole texts by the tokenizer file, a byte-level BPE whose ids
+    rise with its merges.  Its vocabulary is read from the file and applied as
+    ranks, which takes less time and holds nothing of earlier texts.  Parts
+    with a long run (see ``LONG_RUN``) go through the tokenizer library itself."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.encoder.model
-        # The byte-level spelling of each character of a plain word, asked of the tokenizer itself.
-        self.spelling = str.maketrans({c: self.encoder.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in " " + PLAIN_LETTERS})
-        self.cache, self.entries = cache, entries
-        cache.setdefault("young", {})
-        cache.setdefault("old", {})
-
-    def _encode(self, chunk: str) -> bytes:
-        if "\n" in chunk:
-            # In one loop, as a chunk may have any number of lines.
-            get, line_feed = self.cache["young"].get, self._known("\n")
-            return line_feed.join([self._line(part) if (got := get(part)) is None else got for part in LINE_FEED.split(chunk)])
-        return self._line(chunk)
-
-    def _line(self, chunk: str) -> bytes:
-        word = chunk.rstrip(PUNCTUATION)
-        if word and len(word) < len(chunk) and word[-1].isalpha():
-            # Letters end where punctuation begins: a word boundary of the tokenizer too.
-            got = self._known(word) + self._known(chunk[len(word):])
-            if len(chunk) <= CACHED_CHARS:
-                self.cache["young"][chunk] = got
-            return got
-        return self._known(chunk)
-
-    def _known(self, chunk: str) -> bytes:
-        young = self.cache["young"]
-        got = young.get(chunk)
-        if got is None:
-            got = self.cache["old"].get(chunk)
-            if got is None:
-                if PLAIN_WORD.fullmatch(chunk):  # one word of the tokenizer: no need to look for its words
-                    ids = [t.id for t in self.model.tokenize(chunk.translate(self.spelling))]
-                else:
-                    ids = self.encoder.encode(chunk, add_special_tokens=False).ids
-                got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(chunk) > CACHED_CHARS:
-                return got
-            if len(young) >= self.entries // 2:
-                self.cache["old"], self.cache["young"] = young, {}
-            self.cache["young"][chunk] = got
-        return got
+        letters = byte_of_letter()
+        ranks = {bytes(letters[c] for c in word): i for word, i in self.encoder.get_vocab(with_added_tokens=False).items()
+                 if all(c in letters for c in word)}
+        self.ranks = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, text: str) -> bytes:
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        get, out = self.cache["young"].get, []
+        if not LONG_RUN.search(text):
+            return self._plain(text)
+        out, short = [], []
         for chunk in chunks_of(text):
-            got = get(chunk)
-            out.append(self._encode(chunk) if got is None else got)
-        return b"".join(out)
+            if LONG_RUN.search(chunk):
+                out += [self._plain("".join(short)), np.array(self.encoder.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()]
+                short = []
+            else:
+                short.append(chunk)
+        return b"".join([*out, self._plain("".join(short))])
 
 
 def chunks_of(text: str) -> list[str]:
     """The text cut before each space that stands between two characters that
-    are not white space."""
+    are not white space: such a space always begins a new word of the
+    tokenizer, so the chunks can be encoded alone."""
     parts = text.split(" ")
     out, open_run = [parts[0]], not parts[0] or parts[0][-1].isspace()
     for p in parts[1:]:
@@ -136,14 +106,15 @@ def chunks_of(text: str) -> list[str]:
     return out
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, cache_entries: int = CACHE) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, pattern: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids.
-    ``cache_entries`` trades a worker's memory against its speed."""
+    ``pattern``: how the tokenizer of the file divides a text into words."""
+    pattern = pattern or word_pattern()
 
     def run(batches):
         pa.default_memory_pool().release_unused()  # what earlier tasks of this worker held
-        cache = process_cache("chunks")
-        coder = ChunkTokenizer(tokenizer_path, cache, cache_entries)
+        known = process_cache("tokenizers")
+        coder = known.get(tokenizer_path) or known.setdefault(tokenizer_path, TextTokenizer(tokenizer_path, pattern))
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             rows, held = [], 0
@@ -404,6 +375,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def word_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(load(spark, sf_dir, "documents"), "doc_id", "text")
     pieces = tokenize(docs, tokenizer_path()).select(

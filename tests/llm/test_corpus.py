@@ -158,12 +158,12 @@ def test_operators_of_the_algorithm_keep_every_piece():
     assert packing.fitness(grown[0][1], 64) >= packing.fitness(a[1], 64)
 
 
-def test_chunked_tokens_equal_whole_tokens(sample_docs):
+def test_ranked_tokens_equal_library_tokens(sample_docs):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.tokenizer_path())
     whole.encode_special_tokens = True
-    coder = packing.ChunkTokenizer(packing.tokenizer_path(), {})
+    coder = packing.TextTokenizer(packing.tokenizer_path(), packing.word_pattern())
     texts = [t for _, t, *_ in sample_docs if t][:80]
     texts += ["", " ", "  a  b ", "a \n b", " lead", "trail ", "x  y", "a <|endoftext|> b", "don't 12 34's", "\ta b", "é  \r\n é", "a  b"]
     texts += ["one.\nTwo, three\n\nfour", "a\n's", "\nß\nª²½ µx", "x\n y \nz", "ŉ\n日本 Straße,\nÉté"]
@@ -175,11 +175,28 @@ def test_lines_without_spaces_are_cut_in_one_loop():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.tokenizer_path())
-    coder = packing.ChunkTokenizer(packing.tokenizer_path(), {}, 1000)
+    coder = packing.TextTokenizer(packing.tokenizer_path(), packing.word_pattern())
     for t in ("\n".join(f"word{i % 5000}" for i in range(100_000)), "日本\n" * 3000, "a\n\nb\nc\r\nd\n" * 2000, "\n" * 3000 + "x\ny"):
         assert np.frombuffer(coder.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_every_token_and_long_runs_equal_library_tokens():
+    import random
+
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    whole.encode_special_tokens = True
+    coder = packing.TextTokenizer(packing.tokenizer_path(), packing.word_pattern())
+    rng = random.Random(3)
+    tokens = [whole.decode([i]) for i in range(whole.get_vocab_size(with_added_tokens=False))]
+    texts = tokens + ["".join(rng.choices(tokens, k=3)) for _ in range(20_000)]
+    texts += ["a " + "x" * 5000 + " b c\nd", "ab " * 400 + "=" * 600 + ", e  f", "q" + " " * 700 + "r s", "\t" * 2000 + "y z",
+              "one two " + "日" * 1500 + " " + "7" * 900 + " three", ("w " * 300 + "v" * 512 + "\n") * 5]
+    for t in texts:
+        assert np.frombuffer(coder.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packed_documents(spark, tmp_path):
     from tokenizers import Tokenizer
 
