@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,22 @@ def month_profile(df: DataFrame, month: str = "month") -> DataFrame:
     return df.groupBy(month).agg(F.count(F.lit(1)).alias("n"))
 
 
+def column_profile(df: DataFrame, columns) -> DataFrame:
+    """Of each column its type, non-NULL count, distinct values, least and
+    greatest (as text).  ``df`` should be a stored table: every column is read
+    and grouped by itself, so no row is repeated for the columns and a value
+    is shuffled once a task, however many columns there are."""
+    kinds = dict(df.dtypes)
+    parts = []
+    for c in columns:
+        v = F.col(f"`{c}`")
+        values = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(values.agg(
+            F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("column_type"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+            F.count(F.lit(1)).alias("n_distinct"), F.min("v").cast("string").alias("least"), F.max("v").cast("string").alias("greatest")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def top_values(df: DataFrame, column: str, k: int = 50) -> DataFrame:
     """A5/O3: the k most frequent non-NULL values; ties broken by value.
 

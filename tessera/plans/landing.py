@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import covariates, panel
+from tessera.operators import covariates, panel, profile
 from tessera.plans import fixture as fx
 from tessera.plans.oracle import ORACLE as BASE, _strs
 from tessera.schemas import KEEP_COLUMNS, OBSERVATION_SCHEMA
-from tessera.session import scratch_path
+from tessera.session import compiled_methods, materialize, scratch_path
 from tessera.sources import lake, rest, sniff, tables
 from tessera.sources.landing import Landing
 
@@ -39,18 +39,13 @@ def lake_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     with sniffed dialects and types; each column's type, count, distinct
     values, least and greatest."""
     root = scratch_path(spark, "sniffed")
-    full = _full(spark, sf_dir)
+    full = materialize(_full(spark, sf_dir), "full")  # joined once, not once for each kind of file
     for i, sep in enumerate(SEPARATORS):
         _land_csv(full.where(F.col("year") % 3 == i), f"{root}/raw/part{i}", sep)
     back = lake.project_observations(sniff.read_csv_sniffed(spark, f"{root}/raw/*"))
-    kinds = {f.name: f.dataType.simpleString() for f in back.schema.fields}
-    one = back.agg(*[F.struct(F.count(f"`{c}`").alias("n"), F.count_distinct(f"`{c}`").alias("n_distinct"),
-                              F.min(f"`{c}`").cast("string").alias("least"), F.max(f"`{c}`").cast("string").alias("greatest")).alias(f"c{i}")
-                     for i, c in enumerate(KEEP_COLUMNS)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("column_type"), F.col(f"c{i}.n").alias("n"),
-                              F.col(f"c{i}.n_distinct").alias("n_distinct"), F.col(f"c{i}.least").alias("least"),
-                              F.col(f"c{i}.greatest").alias("greatest")) for i, c in enumerate(KEEP_COLUMNS)])
-    return one.select(F.inline(rows))
+    with compiled_methods(spark):
+        back = materialize(back, "sniffed-rows")
+    return profile.column_profile(back, KEEP_COLUMNS)
 
 
 def lake_increments(spark: SparkSession, sf_dir: str) -> DataFrame:

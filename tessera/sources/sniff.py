@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import compiled_methods
+
 DELIMITERS = [",", "\t", ";", "|"]
 QUOTES = ['"', "'"]
 #: Lines of each file that the dialect is judged by, and characters of a line.
@@ -84,6 +86,10 @@ def sniff_dialects(spark: SparkSession, path: str) -> DataFrame:
             return pa.RecordBatch.from_pydict({"file": [file], "sep": [sep], "quote": [quote], "header": [header], "names": [names]})
 
         for b in batches:
+            # A file's lines follow each other: nothing new in a batch that lies behind the sample.
+            files = b.column("file")
+            if len(held) == SAMPLE_LINES and files[0].as_py() == file == files[-1].as_py():
+                continue
             for f, line in zip(b.column("file").to_pylist(), b.column("line").to_pylist(), strict=True):
                 if f != file:
                     if file is not None:
@@ -104,31 +110,35 @@ def _blank_to_null(name: str):
     return F.nullif(F.trim(F.col(f"`{name}`")), F.lit(""))
 
 
-def holds(text, kind: str):
-    """Whether the value of a text column can be of a type.  Strict forms only:
-    a number is no date, a year no boolean."""
-    if kind == "boolean":
-        return text.rlike("^(?i)(true|false)$")
-    if kind in ("bigint", "double"):
-        form = r"^[+-]?\d+$" if kind == "bigint" else r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-        return text.rlike(form) & text.try_cast(kind).isNotNull()
-    form = r"^\d{4}-\d\d-\d\d$" if kind == "date" else r"^\d{4}-\d\d-\d\d([ T]\d\d:\d\d(:\d\d(\.\d+)?)?)?$"
-    return text.rlike(form) & text.try_cast(kind).isNotNull()
+def kinds_held(text):
+    """Which types of the lattice the value of a text column can be of, as a
+    sum of powers of two; NULL for NULL.  Strict forms only: a number is no
+    date, a year no boolean.  Every number is a double and every day a time;
+    the first character and the length rule most forms out."""
+    bit = {k: 1 << i for i, k in enumerate(LATTICE)}
+
+    def if_it_is(kind, *also):
+        return F.when(text.try_cast(kind).isNotNull(), sum(bit[k] for k in (kind, *also))).otherwise(0)
+
+    timed = r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d(:\d\d(\.\d+)?)?$"
+    figures = (F.when(text.rlike(r"^[+-]?\d+$"), if_it_is("bigint") + bit["double"])
+               .when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bit["double"])
+               .when(text.rlike(r"^\d{4}-\d\d-\d\d$"), if_it_is("date", "timestamp_ntz"))
+               .when(text.rlike(timed), if_it_is("timestamp_ntz")).otherwise(0))
+    return (F.when(text.isNull(), F.lit(None).cast("int")).when((text >= "+") & (text < ":"), figures)
+            .when(F.octet_length(text).between(4, 5) & text.rlike("^(?i)(true|false)$"), bit["boolean"]).otherwise(0))
 
 
 def sniff_types(texts: DataFrame) -> dict[str, str]:
-    """The narrowest type of each text column, over all rows in one aggregate."""
-    aggs = []
-    for i, c in enumerate(texts.columns):
-        v = _blank_to_null(c)
-        aggs.append(F.count(v).alias(f"n{i}"))
-        aggs += [F.count_if(holds(v, kind)).alias(f"n{i}_{kind}") for kind in LATTICE]
-    got = texts.agg(*aggs).first()
-    out = {}
-    for i, c in enumerate(texts.columns):
-        n = got[f"n{i}"]
-        out[c] = next((k for k in LATTICE if n and got[f"n{i}_{k}"] == n), "string")
-    return out
+    """The narrowest type of each text column, over all rows in one aggregate:
+    the types that every value can be of."""
+    spark = texts.sparkSession
+    with compiled_methods(spark):
+        held = texts.select(*[_blank_to_null(c).alias(f"c{i}") for i, c in enumerate(texts.columns)])
+        # A step of its own: the aggregate's code repeats what is inside it.
+        kinds = held.select(*[kinds_held(F.col(c)).alias(c) for c in held.columns])
+        got = kinds.agg(*[F.bit_and(c).alias(c) for c in kinds.columns]).first()
+    return {c: next((k for j, k in enumerate(LATTICE) if (got[i] or 0) >> j & 1), "string") for i, c in enumerate(texts.columns)}
 
 
 def read_sniffed_texts(spark: SparkSession, path: str) -> DataFrame:

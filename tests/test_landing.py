@@ -5,7 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import covariates
+from tessera import session
+from tessera.operators import covariates, profile
+from tessera.plans import landing
 from tessera.schemas import KEEP_COLUMNS, LAGGED_COVARIATES, WEEKLY_COVARIATES
 from tessera.sources import lake, rest, sniff
 from tessera.sources.landing import Landing
@@ -58,6 +60,32 @@ def test_types_come_from_all_rows(spark):
     assert sniff.sniff_types(spark.createDataFrame([(None,), ("",)], "a string")) == {"a": "string"}
 
 
+def test_types_are_found_in_compiled_methods(spark, monkeypatch):
+    rows = spark.range(50).select(*[F.col("id").cast("string").alias(f"c{i}") for i in range(22)])
+    limits, before, first = [], spark.conf.get(session.METHOD_SETTING), type(rows).first
+    monkeypatch.setattr(type(rows), "first", lambda self: (limits.append(int(spark.conf.get(session.METHOD_SETTING))), first(self))[1])
+    assert set(sniff.sniff_types(rows).values()) == {"bigint"}
+    assert limits == [session.COMPILED_METHOD_BYTES] and spark.conf.get(session.METHOD_SETTING) == before
+
+
+def test_kinds_held_of_odd_values(spark):
+    held = {"1": {"bigint", "double"}, "12345678901234567890": {"double"}, "+.5e+3": {"double"}, "1e": set(), "--1": set(), "/": set(),
+            "2024-02-29": {"date", "timestamp_ntz"}, "2024-02-30": set(), "2024-01-01T10:30": {"timestamp_ntz"},
+            "2024-01-01 25:00": set(), "tRue": {"boolean"}, "trues": set(), "\u0663": set(), "NaN": set(), "\t5": set()}
+    rows = spark.createDataFrame([(v,) for v in held], "v string").select("v", sniff.kinds_held(F.col("v")).alias("m")).collect()
+    assert {r["v"]: {k for i, k in enumerate(sniff.LATTICE) if r["m"] >> i & 1} for r in rows} == held
+    assert spark.range(1).select(sniff.kinds_held(F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_column_profile_repeats_no_rows(spark):
+    rows = spark.createDataFrame([(1, "b", None), (2, "a", None), (2, None, None)], "x int, `y z` string, w double")
+    got = profile.column_profile(rows, rows.columns)
+    assert "Expand" not in plan_of(got)
+    assert [tuple(r) for r in got.orderBy("column_name").collect()] == [
+        ("w", "double", 0, 0, None, None), ("x", "int", 3, 2, "1", "2"), ("y z", "string", 2, 2, "a", "b")]
+    assert "Expand" not in plan_of(landing.lake_columns(spark, "/root/testdata/sf0.001"))
+
+
 # ---- increments ----
 
 
