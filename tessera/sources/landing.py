@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.schemas import KEEP_COLUMNS, OBSERVATION_SCHEMA
-from tessera.session import materialize
+from tessera.session import compiled_methods, materialize
 from tessera.sources.lake import PARTITION_COLUMNS, read_lake
 
 SOURCE = "source_file"
@@ -30,23 +30,34 @@ QUARANTINE_SCHEMA = "source_file string, line string, reason string"
 
 
 def checked_observations(spark: SparkSession, paths, schema: T.StructType = OBSERVATION_SCHEMA, sep: str = ",") -> DataFrame:
-    """The typed columns, ``source_file``, ``line`` (the raw record) and
-    ``reason``: NULL for a good record, else what is wrong with it first."""
+    """The typed columns, ``source_file``, ``reason``: NULL for a good record,
+    else what is wrong with it first, and ``line``: the raw record of a bad
+    one, NULL for a good one."""
     texts = T.StructType([*[T.StructField(f.name, T.StringType()) for f in schema.fields], T.StructField("_line", T.StringType())])
     raw = (spark.read.schema(texts).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("quote", '"')
            .option("escape", '"').option("columnNameOfCorruptRecord", "_line").csv(paths)
            .withColumn(SOURCE, F.col("_metadata.file_path")))
-    reason = F.when(F.col("_line").isNotNull(), F.lit("wrong number of fields"))
-    typed = []
-    for f in schema.fields:
-        text = F.nullif(F.trim(F.col(f"`{f.name}`")), F.lit(""))
-        value = text if isinstance(f.dataType, T.StringType) else text.try_cast(f.dataType)
+    values = {}
+    for i, f in enumerate(schema.fields):
+        if isinstance(f.dataType, T.StringType):
+            continue
+        text = F.trim(F.col(f"`{f.name}`"))
+        value = text.try_cast(f.dataType)
         if isinstance(f.dataType, (T.IntegerType, T.LongType)):
             value = F.coalesce(value, text.try_cast("double").try_cast(f.dataType))
-        typed.append(value.alias(f.name))
-        reason = reason.when(text.isNotNull() & value.isNull(), F.lit(f"bad value in column {f.name}"))
+        values[f.name] = value.alias(f"_v{i}")
+    raw = raw.select("*", *values.values())  # a step of its own: each value is used twice, and found once
+    reason = F.when(F.col("_line").isNotNull(), F.lit("wrong number of fields"))
+    typed = []
+    for i, f in enumerate(schema.fields):
+        text = F.trim(F.col(f"`{f.name}`"))
+        if f.name in values:
+            typed.append(F.col(f"_v{i}").alias(f.name))
+            reason = reason.when(F.col(f"_v{i}").isNull() & (text != ""), F.lit(f"bad value in column {f.name}"))
+        else:
+            typed.append(F.nullif(text, F.lit("")).alias(f.name))
     record = F.coalesce("_line", F.array_join(F.array(*[F.col(f"`{f.name}`") for f in schema.fields]), sep, ""))
-    return raw.select(*typed, SOURCE, record.alias("line"), reason.alias("reason"))
+    return raw.select(*typed, SOURCE, F.when(reason.isNotNull(), record).alias("line"), reason.alias("reason"))
 
 
 @dataclasses.dataclass
@@ -94,7 +105,8 @@ class Landing:
         read = checked_observations(spark, files).observe(
             seen, F.count(F.lit(1)).alias("rows"), F.count("reason").alias("rejected"),
             F.count_if(F.col("reason").isNull() & F.col("eventDate").isNull()).alias("without_date"))
-        read = materialize(read, "landing")
+        with compiled_methods(spark):
+            read = materialize(read, "landing")
         counts = seen.get
 
         good = read.where(F.col("reason").isNull() & F.col("eventDate").isNotNull()).select(*[F.col(f"`{c}`") for c in KEEP_COLUMNS], SOURCE)
@@ -110,12 +122,11 @@ class Landing:
             for y, m in folders:
                 here = here | (F.col("year").eqNullSafe(F.lit(y)) & F.col("month").eqNullSafe(F.lit(m)))
             kept = old.where(here).join(changed, SOURCE, "left_anti").select(*columns)
-            good = good.select(*columns).unionByName(kept)
+            good = materialize(good.select(*columns).unionByName(kept), "landing-folders")  # the lake is read before it is written
             emptied = materialize(touched, "touched").join(good.select(*PARTITION_COLUMNS).distinct(), PARTITION_COLUMNS, "left_anti").collect()
         else:
             folders, emptied = [tuple(r) for r in touched.collect()], []
-        new = materialize(good, "landing-folders")  # the lake is read before it is written
-        (new.hint("rebalance", *PARTITION_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (good.hint("rebalance", *PARTITION_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*PARTITION_COLUMNS).parquet(self.lake))
         for r in emptied:
             p = spark._jvm.org.apache.hadoop.fs.Path(f"{self.lake}/year={r['year']}/month={r['month']}")

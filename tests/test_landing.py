@@ -9,8 +9,9 @@ from tessera import session
 from tessera.operators import covariates, profile
 from tessera.plans import landing
 from tessera.schemas import KEEP_COLUMNS, LAGGED_COVARIATES, WEEKLY_COVARIATES
+from tessera.sources import landing as source
 from tessera.sources import lake, rest, sniff
-from tessera.sources.landing import Landing
+from tessera.sources.landing import Landing, checked_observations
 
 ROWS = [("a;b", "1", "2.5", "2024-01-02", "true", "x"), ("c,d", "2", "", "2024-01-03", "FALSE", "it's"), ('e "q"', "", "-3e2", "", "true", "y")]
 NAMES = ["name", "n", "x", "day", "flag", "note"]
@@ -151,6 +152,36 @@ def test_quarantine_keeps_line_and_reason(spark, tmp_path):
     assert rejects == {"bad value in column individualCount": bad, "wrong number of fields": "only,three,fields"}
 
 
+def test_only_bad_records_carry_their_line(spark, tmp_path):
+    """Values as before: blanks are NULL, spaces go, dates may carry a time, integers a point."""
+    good = dict(zip(KEEP_COLUMNS, [""] * len(KEEP_COLUMNS), strict=True)) | {
+        "eventDate": "2020-01-05 10:00", "year": " 2020", "month": "1.0", "species": " s ", "genus": "  ", "taxonKey": "+7"}
+    bad = good | {"decimalLatitude": "north", "taxonKey": "7x"}
+    write(f"{tmp_path}/a.csv", [HEADER, ",".join(good.values()), ",".join(bad.values())])
+    a, b = checked_observations(spark, f"{tmp_path}/a.csv").orderBy(F.col("reason").asc_nulls_first()).collect()
+    assert (a["line"], a["reason"], str(a["eventDate"]), a["year"], a["month"], a["species"], a["genus"], a["taxonKey"]) == (
+        None, None, "2020-01-05", 2020, 1, "s", None, 7)
+    assert (b["line"], b["reason"]) == (",".join(bad.values()), "bad value in column decimalLatitude")
+
+
+def test_first_delivery_is_stored_once(spark, tmp_path, monkeypatch):
+    """Rows are written again before the lake only if some of them come from the lake; the checks run in compiled methods."""
+    names = []
+
+    def noted(df, name):
+        names.append((name, int(spark.conf.get(session.METHOD_SETTING))))
+        return session.materialize(df, name)
+
+    monkeypatch.setattr(source, "materialize", noted)
+    write(f"{tmp_path}/raw/a.csv", [HEADER, observation_line("2020-01-05", 2020, 1)])
+    one = Landing(spark, f"{tmp_path}/raw", str(tmp_path))
+    one.run()
+    assert "landing-folders" not in dict(names) and dict(names)["landing"] == session.COMPILED_METHOD_BYTES
+    write(f"{tmp_path}/raw/b.csv", [HEADER, observation_line("2020-01-06", 2020, 1)])
+    one.run()
+    assert "landing-folders" in dict(names) and one.rows().count() == 2
+
+
 # ---- tables at rest ----
 
 
