@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.schemas import KEEP_COLUMNS, OBSERVATION_SCHEMA
+from tessera.session import compiled_methods
 
 PARTITION_COLUMNS = ["year", "month"]
 
@@ -28,14 +29,14 @@ PARTITION_COLUMNS = ["year", "month"]
 def _parsed(name: str, kind: T.DataType):
     """A text column as ``kind``.  Blank is NULL; dates may carry a time of day
     and integers a decimal point; anything else that does not parse raises."""
-    text = F.nullif(F.trim(F.col(f"`{name}`")), F.lit(""))
     if isinstance(kind, T.StringType):
         return F.col(f"`{name}`").alias(name)
+    text = F.trim(F.col(f"`{name}`"))
     value = text.try_cast(kind)
     if isinstance(kind, (T.IntegerType, T.LongType)):
         value = F.coalesce(value, text.try_cast("double").try_cast(kind))
     bad = F.raise_error(F.concat(F.lit(f"bad value in column {name}: "), text)).cast(kind)
-    return F.when(text.isNotNull() & value.isNull(), bad).otherwise(value).alias(name)
+    return F.when(value.isNull() & (text != ""), bad).otherwise(value).alias(name)
 
 
 def read_observations_csv(spark: SparkSession, path: str, schema: T.StructType = OBSERVATION_SCHEMA,
@@ -66,7 +67,8 @@ def read_lake(spark: SparkSession, root: str) -> DataFrame:
 
 def build_lake(spark: SparkSession, csv_path: str, root: str, sep: str = ",") -> DataFrame:
     """B1 end to end; returns the lake as read back."""
-    write_lake(project_observations(read_observations_csv(spark, csv_path, sep=sep)), root)
+    with compiled_methods(spark):
+        write_lake(project_observations(read_observations_csv(spark, csv_path, sep=sep)), root)
     return read_lake(spark, root)
 
 

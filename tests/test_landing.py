@@ -182,6 +182,14 @@ def test_first_delivery_is_stored_once(spark, tmp_path, monkeypatch):
     assert "landing-folders" in dict(names) and one.rows().count() == 2
 
 
+def test_lake_is_built_in_compiled_methods(spark, tmp_path, monkeypatch):
+    limits, write_lake = [], lake.write_lake
+    monkeypatch.setattr(lake, "write_lake", lambda *a: (limits.append(int(spark.conf.get(session.METHOD_SETTING))), write_lake(*a))[1])
+    write(f"{tmp_path}/a.csv", [HEADER, observation_line("2020-01-05", 2020, 1, count=" 3.0 ")])
+    assert lake.build_lake(spark, f"{tmp_path}/a.csv", f"{tmp_path}/lake").first()["individualCount"] == 3
+    assert limits == [session.COMPILED_METHOD_BYTES]
+
+
 # ---- tables at rest ----
 
 
