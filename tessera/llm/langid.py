@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -187,6 +188,18 @@ def fit_sample(labelled: DataFrame, fit_rows: int) -> DataFrame:
     return rows.join(small(stored(cuts, "langid-cuts")), "lang").where("h <= cut").dropDuplicates(["lang", "h"]).select("text", "lang")
 
 
+def gathered(rows: DataFrame, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """The grams of ``rows`` (gram, by_lang) in alphabetical order, and their
+    counts in each language.  They come as Arrow columns: as rows with a map
+    each, they would take the driver many times the memory."""
+    counts = F.transform(F.array(*[F.lit(la) for la in langs]).cast("array<string>"), lambda la: F.coalesce(F.try_element_at("by_lang", la), F.lit(0)))
+    got = rows.select("gram", counts.cast("array<double>").alias("n")).toArrow()
+    grams = got["gram"].to_pylist()
+    order = sorted(range(len(grams)), key=grams.__getitem__)
+    n = got["n"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(grams), len(langs))
+    return [grams[i] for i in order], n[order]
+
+
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Fit on (doc_id, text, lang) rows that have a text and a language."""
     counts = stored(gram_counts(word_counts(fit_sample(labelled, fit_rows))), "langid-counts")
@@ -195,16 +208,13 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORD
     totals = stored(counts.join(F.broadcast(sums), ["ord", "lang"]).groupBy("ord", "gram").agg(
         F.sum(F.col("n") / F.col("all")).alias("weight"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")),
         "langid-grams")
-    rows = []  # at most max_words + max_grams * len(ORDERS)
-    for o in (0, *ORDERS):
-        rows += most_frequent(totals.where(F.col("ord") == o), "weight", max_grams if o else max_words).select("ord", "gram", "by_lang").collect()
-    langs = sorted({la for r in rows for la in r["by_lang"]})
+    kept = {o: most_frequent(totals.where(F.col("ord") == o), "weight", max_grams if o else max_words) for o in (0, *ORDERS)}
+    named = reduce(DataFrame.unionByName, [k.select(F.explode(F.map_keys("by_lang")).alias("lang")) for k in kept.values()])
+    langs = sorted(r["lang"] for r in named.distinct().collect())
     tables, scores = {}, {}
-    for o in (0, *ORDERS):
-        own = sorted((r for r in rows if r["ord"] == o), key=lambda r: r["gram"])
-        n = np.array([[r["by_lang"].get(la, 0) for la in langs] for r in own], dtype=float).reshape(len(own), len(langs))
-        tables[o] = [r["gram"] for r in own]
-        scores[o] = (np.log(n + 0.5) - np.log(n.sum(axis=0) + 0.5 * (len(own) + 1))).astype(np.float32)
+    for o, own in kept.items():
+        tables[o], n = gathered(own, langs)
+        scores[o] = (np.log(n + 0.5) - np.log(n.sum(axis=0) + 0.5 * (len(n) + 1))).astype(np.float32)
     hashes = word_hashes(tables.pop(0))
     order = np.argsort(hashes, kind="stable")
     scores[0] = scores[0][order]

@@ -34,6 +34,21 @@ def test_back_off_takes_the_longest_known_grams():
     assert model.predict("q", langid.Memo()) == ("a", 0.5)  # nothing known: a tie
 
 
+def test_fit_takes_the_driver_little_memory(spark):
+    import tracemalloc
+
+    letters = str.maketrans("0123456789", "abcdefghij")
+    rows = [(i, " ".join(str(1000 * i + k) for k in range(1000)).translate(letters), "en" if i % 2 else "de", "s") for i in range(100, 140)]
+    labelled = table(spark, rows)
+    tracemalloc.start()
+    model = langid.fit(labelled)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    entries = sum(len(s) for s in model.scores.values())
+    assert len(model.known) == 40_000 and model.langs == ["de", "en"]
+    assert peak < 400 * entries, peak / entries
+
+
 def test_memo_may_fill_up(monkeypatch):
     monkeypatch.setattr(langid, "MEMO", 3)
     model = langid.Model(["a", "b"], {0: {}, 4: {}, 3: {}, 2: {}, 1: {"x": 0, "y": 1}},
