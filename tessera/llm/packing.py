@@ -23,6 +23,7 @@ gives no rows.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -41,9 +42,18 @@ POPULATION = 4
 GENERATIONS = 4
 EPOCHS = 2
 MAX_ROUNDS = 4
-#: A run of so many characters without or of white space: left to the tokenizer library,
+#: A run of so many characters without or of white space is left to the tokenizer library,
 #: as the words of the pattern could be of any length there.
-LONG_RUN = re.compile(r"\S{512}|\s{512}")
+LONG = 512
+LONG_RUN = re.compile(r"\S{%d}|\s{%d}" % (LONG, LONG))
+#: Words of a known pattern and what it does with white space: of two or more characters
+#: before a word, all but the last are one token's text.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+AHEAD = r"|\s+(?!\S)|\s+"
+SPACE = r"[^\S\x1c-\x1f]"  # what the pattern takes for white space; Python counts four separators more
+BEFORE_LAST_SPACE = re.compile(rf"(?<={SPACE})(?={SPACE}[\S\x1c-\x1f])")
+#: Texts from so many characters on are not held as lists of words or ids.
+LIST_CHARS = 1_000_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
@@ -61,7 +71,11 @@ class TextTokenizer:
     """Ids of whole texts by the tokenizer file, a byte-level BPE whose ids
     rise with its merges.  Its vocabulary is read from the file and applied as
     ranks, which takes less time and holds nothing of earlier texts.  Parts
-    with a long run (see ``LONG_RUN``) go through the tokenizer library itself."""
+    with a long run (see ``LONG_RUN``) go through the tokenizer library itself.
+
+    With the pattern ``WORDS + AHEAD``, texts are cut before the last of several
+    white space characters that stand before a word.  The pattern cuts there
+    too, and in the parts it need not look ahead, which takes most of its time."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
@@ -72,13 +86,24 @@ class TextTokenizer:
         letters = byte_of_letter()
         ranks = {bytes(letters[c] for c in word): i for word, i in self.encoder.get_vocab(with_added_tokens=False).items()
                  if all(c in letters for c in word)}
-        self.ranks = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.cuts = pattern == WORDS + AHEAD
+        self.ranks = tiktoken.Encoding("file", pat_str=WORDS + r"|\s+" if self.cuts else pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def _plain(self, text: str) -> bytes:
-        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+    def _plain(self, text: str, spaced: bool = True) -> bytes:
+        """``spaced``: white space may stand beside white space."""
+        parts = BEFORE_LAST_SPACE.split(text) if self.cuts and spaced else [text]
+        if len(text) < LIST_CHARS:
+            ids = [i for p in parts for i in self.ranks.encode_ordinary(p)] if len(parts) > 1 else self.ranks.encode_ordinary(text)
+            return np.array(array("I", ids)).astype("<u4").tobytes()
+        return b"".join(self.ranks.encode_to_numpy(p, disallowed_special=()).astype("<u4").tobytes() for p in parts)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if len(text) < LIST_CHARS:
+            sizes = [len(w) for w in text.split()]
+            more = len(text) - sum(sizes) - len(sizes)  # -1: single characters of white space between the words, no others
+            if max(sizes, default=0) < LONG and more < LONG - 2:
+                return self._plain(text, more >= 0)
         if not LONG_RUN.search(text):
             return self._plain(text)
         out, short = [], []

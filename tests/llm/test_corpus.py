@@ -180,6 +180,23 @@ def test_lines_without_spaces_are_cut_in_one_loop():
         assert np.frombuffer(coder.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_white_space_is_cut_as_the_pattern_does():
+    import random
+
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    whole.encode_special_tokens = True
+    coder = packing.TextTokenizer(packing.tokenizer_path(), packing.word_pattern())
+    assert "(?!" not in coder.ranks._pat_str  # words are found without looking ahead
+    assert "(?!" in packing.TextTokenizer(packing.tokenizer_path(), r"\s*\n" + packing.AHEAD).ranks._pat_str  # other patterns as they are
+    rng = random.Random(8)
+    bits = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x1d ", "\x1f\x1f", "\x85", "\xa0", "\u2003", "\u200b", "\u3000 ", "a", "b7", "'s", "é", "!", "日"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 9))) for _ in range(5000)] + ["a  b\n\n" * 150_000]  # more than LIST_CHARS
+    for t in texts:
+        assert np.frombuffer(coder.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t[:20]
+
+
 def test_every_token_and_long_runs_equal_library_tokens():
     import random
 
