@@ -15,6 +15,8 @@ from tessera.llm import langid, mixing, packing, simhash, suffix
 from tessera.llm.common import add_columns, load, pick, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The words a passage has at most to stay although another document holds it.
+PASSAGE_WORDS = 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +43,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out; a character cut in two goes whole.
-    Documents of which no text is left go."""
-    out = suffix.remove_repeats(pick(docs, *COLUMNS))
+    """Cuts out what op8 cuts out, and passages of more than ``PASSAGE_WORDS``
+    words that another document holds, however few bytes they have; a character
+    cut in two goes whole.  Documents of which no text is left go."""
+    out = suffix.remove_repeats(pick(docs, *COLUMNS), words=PASSAGE_WORDS)
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.decode(suffix.whole_characters(F.col("kept")), "UTF-8"))
     return (out.withColumn("text", text).where(F.trim("text") != "")
             .withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS))

@@ -1,6 +1,7 @@
 import hashlib
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -62,6 +63,69 @@ def test_repeats_against_brute_force(spark, seed, group):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def brute_passages(texts, words, gone):
+    """Marks in ``gone`` (bytes per text) the windows of ``words`` + 1 words that are in two texts or more."""
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    holders = defaultdict(set)
+    windows = [[tuple(t[a:b] for a, b in at[i:i + words + 1]) for i in range(len(at) - words)] for t, at in zip(texts, places, strict=True)]
+    for j, own in enumerate(windows):
+        for w in own:
+            holders[w].add(j)
+    for j, own in enumerate(windows):
+        for i, w in enumerate(own):
+            if len(holders[w]) > 1:
+                s, e = places[j][i][0], places[j][i + words][1]
+                gone[j][s:e] = b"\1" * (e - s)
+
+
+@pytest.mark.parametrize(("seed", "group", "words"), [(1, 50_000, 5), (2, 4, 5), (3, 50_000, 1), (4, 50_000, 12), (5, 2, 12)])
+def test_passages_by_words_against_brute_force(spark, seed, group, words):
+    rng = np.random.default_rng(seed)
+    pool = [[f"w{x}" if x % 5 else "é" * (x % 4 + 1) for x in rng.integers(0, 9, 40)] for _ in range(4)]
+    rows = []
+    for i in range(70):
+        text = []
+        for _ in range(rng.integers(0, 5)):
+            p = pool[rng.integers(0, len(pool))]
+            a, b = sorted(rng.integers(0, 40, 2).tolist())
+            text += p[a:b] + [f"own{x}" for x in rng.integers(0, 999, rng.integers(0, 4))]
+        rows.append((i, "".join(w + rng.choice([" ", "  ", "\n", "\t "]) for w in text), "en", "s"))
+    rows += [(100, "only in here again " * 30, "en", "s"), (101, None, "en", "s"), (102, "", "en", "s"), (None, rows[3][1], "en", "s"),
+             (None, "an id that is null and its words " + rows[5][1], "en", "s"), (103, "two rows of the same words and id " * 2, "en", "s"),
+             (103, "two rows of the same words and id " * 2, "en", "s")]
+    docs = table(spark, rows).select("doc_id", "text").repartition(4)
+    out = suffix.remove_repeats(docs, length=90, window=40, group=group, words=words).collect()
+    datas = [(r[1] or "").encode() for r in rows]
+    gone = [bytearray(len(d)) for d in datas]
+    brute_passages(datas, words, gone)
+    assert any(any(g) for g in gone) and not all(all(g) for g in gone)
+    by_bytes = Counter(d[i:i + 90] for d in datas for i in range(len(d) - 89))
+    for d, g in zip(datas, gone, strict=True):
+        for i in range(len(d) - 89):
+            if by_bytes[d[i:i + 90]] > 1:
+                g[i:i + 90] = b"\1" * 90
+    want = [(r[0], bytes(b for b, x in zip(d, g, strict=True) if not x)) for r, d, g in zip(rows, datas, gone, strict=True)]
+    assert sorted(((r["doc_id"], bytes(r["kept"])) for r in out), key=str) == sorted(want, key=str)
+
+
+def test_word_anchors_in_blocks_cover_every_window():
+    text = suffix.Words(" ".join(f"w{i * i % 97}" for i in range(900)).encode())
+    at, lo, hi = suffix.word_anchors(text, 50)
+    assert lo[0] == 0 and hi[-1] == len(text) - 51 and all(b + 1 == a for a, b in zip(lo[1:], hi, strict=False))
+    assert all(0 <= a - f and a + suffix.context_words(50) <= first + 51 for a, f, first in zip(at, hi, lo, strict=True))
+
+
+def test_stage_cuts_passages_of_over_50_words_of_few_bytes(spark):
+    fifty, more = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(51))
+    within = " ".join(f"c{i}" for i in range(51))
+    assert len(more) < 400
+    own = [" ".join(f"own{d}x{i}" for i in range(30)) for d in range(4)]
+    rows = [(0, f"{own[0]} {more} end", "en", "s"), (1, f"start {more}\n{own[1]}", "en", "s"), (2, f"{own[2]} {fifty} x", "en", "s"),
+            (3, f"{own[3]} {fifty} y {within} z {within}", "en", "s"), (4, more, "en", "s")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_array_dedup(spark, table(spark, rows), "").collect()}
+    assert got == {0: f"{own[0]}  end", 1: f"start \n{own[1]}", 2: rows[2][1], 3: rows[3][1]}
+
+
 def test_repeats_of_the_test_tables(spark, sample_docs, monkeypatch):
     monkeypatch.setattr(suffix, "RANGE_ROWS", 300)  # several ranges
     monkeypatch.setattr(suffix, "RUN_BYTES", 20_000)  # several runs a task
