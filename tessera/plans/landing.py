@@ -12,12 +12,14 @@ from tessera.operators import covariates, panel, profile
 from tessera.plans import fixture as fx
 from tessera.plans.oracle import ORACLE as BASE, _strs
 from tessera.schemas import KEEP_COLUMNS, OBSERVATION_SCHEMA
-from tessera.session import compiled_methods, materialize, scratch_path
+from tessera.session import compiled_methods, materialize, scratch_path, spare_disk
 from tessera.sources import lake, rest, sniff, tables
 from tessera.sources.landing import Landing
 
 #: Delimiter of the files that hold the records of a year, by year % 3.
 SEPARATORS = [",", "\t", ";"]
+#: How deliveries are written.
+DELIVERY = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": 500_000}
 #: The folder whose records arrive in the second delivery.
 LATE_YEAR, LATE_MONTH = 1998, 5
 #: Regions and entities of the filtered counts.
@@ -29,11 +31,17 @@ def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.full_observations(spark, sf_dir)
 
 
-def _land_csv(rows: DataFrame, path: str, sep: str, mode: str = "overwrite") -> None:
-    (rows.write.mode(mode).option("header", True).option("sep", sep).option("dateFormat", "yyyy-MM-dd")
+def _land_csv(rows: DataFrame, path: str, sep: str, mode: str = "overwrite", **options) -> None:
+    (rows.write.mode(mode).options(**options).option("header", True).option("sep", sep).option("dateFormat", "yyyy-MM-dd")
      .option("quote", '"').option("escape", '"').csv(path))
 
 
+def _deliver(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A delivery of comma files as they are sent: compressed.  Such a file is read by one task, so its rows are bounded."""
+    with spare_disk(rows.sparkSession):
+        _land_csv(rows, path, ",", mode, **DELIVERY)
+
+
 def lake_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 22 columns landed as comma, tab and semicolon files, read
     with sniffed dialects and types; each column's type, count, distinct
@@ -58,7 +66,7 @@ def lake_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = []
     for rows in (full.where(~late), full.where(late), None):
         if rows is not None:
-            _land_csv(rows, f"{root}/raw", ",", mode="append")
+            _deliver(rows, f"{root}/raw", mode="append")
         written += landing.run().folders
     times = spark.createDataFrame(written, "year int, month int").groupBy("year", "month").agg(F.count(F.lit(1)).alias("n_written"))
     return landing.rows().groupBy("year", "month").agg(F.count(F.lit(1)).alias("n_rows")).join(F.broadcast(times), ["year", "month"])

@@ -6,6 +6,8 @@ only files it does not know are read.  The lake's rows carry the file they came
 from, so a file that was replaced replaces its rows.  Only (year, month)
 folders that gain or lose rows are written again; the ledger is written last,
 so a run that was cut short is simply repeated and ends in the same lake.
+Folders are written in batches of bounded rows, and a run's own tables and
+shuffle files go with it: on disk are the files, their rows twice and one batch.
 
 Records that do not parse go to a quarantine table with file, line and reason;
 the pass that reads the files counts them (an ``Observation``), together with
@@ -16,17 +18,24 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.schemas import KEEP_COLUMNS, OBSERVATION_SCHEMA
-from tessera.session import compiled_methods, materialize
+from tessera.session import compiled_methods, delete_path, materialize, settings, spare_disk
 from tessera.sources.lake import PARTITION_COLUMNS, read_lake
 
 SOURCE = "source_file"
 LEDGER_SCHEMA = "path string, modificationTime timestamp, length bigint"
 QUARANTINE_SCHEMA = "source_file string, line string, reason string"
+Folder = tuple[int | None, int | None]
+#: Bytes of text to a byte of a compressed file, as far as dealing files to tasks goes.
+COMPRESSION = 8
+#: Folder name of a NULL.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+#: Rows that one shuffle into the lake's folders moves, unless one folder has more.
+BATCH_ROWS = 16_000_000
 
 
 def checked_observations(spark: SparkSession, paths, schema: T.StructType = OBSERVATION_SCHEMA, sep: str = ",") -> DataFrame:
@@ -91,10 +100,14 @@ class Landing:
 
     def run(self) -> Increment:
         """Take in the files that are new or have changed."""
+        with spare_disk(self.spark):
+            return self._run()
+
+    def _run(self) -> Increment:
         spark = self.spark
         # Listing only: the column with the bytes is not read.
-        present = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(self.raw).select(
-            "path", "modificationTime", "length")
+        present = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,csv.gz}").load(
+            self.raw).select("path", "modificationTime", "length")
         known = materialize(self._table(self.ledger, LEDGER_SCHEMA), "ledger")
         fresh = materialize(present.join(known, ["path", "modificationTime", "length"], "left_anti"), "ledger-new")
         files = [r["path"] for r in fresh.select("path").collect()]
@@ -105,32 +118,14 @@ class Landing:
         read = checked_observations(spark, files).observe(
             seen, F.count(F.lit(1)).alias("rows"), F.count("reason").alias("rejected"),
             F.count_if(F.col("reason").isNull() & F.col("eventDate").isNull()).alias("without_date"))
-        with compiled_methods(spark):
-            read = materialize(read, "landing")
+        with compiled_methods(spark), settings(spark, _packing(spark, files)):
+            # In the order of the folders, so that a batch of folders reads its own pages only.
+            read = materialize(read.sortWithinPartitions(*PARTITION_COLUMNS), "landing")
         counts = seen.get
 
         good = read.where(F.col("reason").isNull() & F.col("eventDate").isNotNull()).select(*[F.col(f"`{c}`") for c in KEEP_COLUMNS], SOURCE)
         changed = fresh.select(F.col("path").alias(SOURCE))
-        touched = good.select(*PARTITION_COLUMNS).distinct()
-        columns = [F.col(f"`{c}`") for c in good.columns]
-        if self._exists(self.lake):
-            old = read_lake(spark, self.lake)
-            # The folders of replaced files, found by their footers' file names.
-            touched = touched.union(old.join(changed, SOURCE, "left_semi").select(*PARTITION_COLUMNS)).distinct()
-            folders = [tuple(r) for r in touched.collect()]
-            here = F.lit(False)
-            for y, m in folders:
-                here = here | (F.col("year").eqNullSafe(F.lit(y)) & F.col("month").eqNullSafe(F.lit(m)))
-            kept = old.where(here).join(changed, SOURCE, "left_anti").select(*columns)
-            good = materialize(good.select(*columns).unionByName(kept), "landing-folders")  # the lake is read before it is written
-            emptied = materialize(touched, "touched").join(good.select(*PARTITION_COLUMNS).distinct(), PARTITION_COLUMNS, "left_anti").collect()
-        else:
-            folders, emptied = [tuple(r) for r in touched.collect()], []
-        (good.hint("rebalance", *PARTITION_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*PARTITION_COLUMNS).parquet(self.lake))
-        for r in emptied:
-            p = spark._jvm.org.apache.hadoop.fs.Path(f"{self.lake}/year={r['year']}/month={r['month']}")
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        folders = self._write_folders(good, changed)
 
         bad = read.where(F.col("reason").isNotNull()).select(SOURCE, "line", "reason")
         rejects = materialize(self.rejects().join(changed, SOURCE, "left_anti").unionByName(bad), "quarantine")
@@ -138,3 +133,67 @@ class Landing:
         ledger = materialize(known.join(fresh.select("path"), "path", "left_anti").unionByName(fresh), "ledger-next")
         ledger.write.mode("overwrite").parquet(self.ledger)
         return Increment(len(files), counts["rows"], counts["rejected"], counts["without_date"], sorted(folders, key=str))
+
+    def _write_folders(self, good: DataFrame, changed: DataFrame) -> list[Folder]:
+        """Write the folders that gain rows of ``good`` or lose rows of the
+        ``changed`` files, in batches of at most ``BATCH_ROWS`` rows (or one
+        folder), so that disk for the shuffle does not grow with the delivery."""
+        n_rows = _rows_by_folder(good)
+        old = read_lake(self.spark, self.lake) if self._exists(self.lake) else None
+        if old is not None:
+            # The folders of replaced files, found by their footers' file names.
+            lost = [tuple(r) for r in old.join(changed, SOURCE, "left_semi").select(*PARTITION_COLUMNS).distinct().collect()]
+            held = _rows_by_folder(old.where(_in_folders([*n_rows, *lost])))
+            n_rows = {f: n_rows.get(f, 0) + held.get(f, 0) for f in {*n_rows, *lost}}
+        batches = _batches(n_rows)
+        for batch in batches:
+            here = _in_folders(batch)
+            if old is None:
+                self._write(good.where(here) if len(batches) > 1 else good)
+                continue
+            kept = old.where(here).join(changed, SOURCE, "left_anti").select(*[F.col(f"`{c}`") for c in good.columns])
+            with spare_disk(self.spark):
+                rows = materialize(good.where(here).unionByName(kept), "landing-folders")  # the lake is read before it is written
+                self._write(rows)
+                for f in {*batch} - {*_rows_by_folder(rows)}:
+                    names = [f"{c}={NO_VALUE if v is None else v}" for c, v in zip(PARTITION_COLUMNS, f, strict=True)]
+                    delete_path(self.spark, "/".join([self.lake, *names]))
+        return list(n_rows)
+
+    def _write(self, rows: DataFrame) -> None:
+        (rows.hint("rebalance", *PARTITION_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*PARTITION_COLUMNS).parquet(self.lake))
+
+
+def _packing(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """Files are dealt to tasks by their bytes; of compressed ones a task gets as many as hold about the usual text."""
+    usual = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return {"spark.sql.files.maxPartitionBytes": str(usual // COMPRESSION)} if any(f.endswith(".gz") for f in files) else {}
+
+
+def _rows_by_folder(rows: DataFrame) -> dict[Folder, int]:
+    return {(r[0], r[1]): r[2] for r in rows.groupBy(*PARTITION_COLUMNS).agg(F.count(F.lit(1))).collect()}
+
+
+def _in_folders(folders: list[Folder]) -> Column:
+    """Rows of these folders; NULL is a folder of its own."""
+    months = {}
+    for y, m in folders:
+        months.setdefault(y, []).append(m)
+    here = F.lit(False)
+    for y, ms in months.items():
+        month = F.col("month").isin([m for m in ms if m is not None])
+        here = here | (F.col("year").eqNullSafe(F.lit(y)) & (month | F.col("month").isNull() if None in ms else month))
+    return here
+
+
+def _batches(n_rows: dict[Folder, int]) -> list[list[Folder]]:
+    """The folders in order, cut where the next one would make more than ``BATCH_ROWS`` rows."""
+    batches, held = [], 0
+    for f in sorted(n_rows, key=lambda f: [(v is not None, v or 0) for v in f]):
+        if not batches or held + n_rows[f] > BATCH_ROWS:
+            batches.append([])
+            held = 0
+        batches[-1].append(f)
+        held += n_rows[f]
+    return batches

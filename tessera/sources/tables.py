@@ -206,8 +206,10 @@ def full_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
     customer = table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment", "c_nationkey"])
     nation = table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
-    rows = (li.join(orders, li.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-            .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")))
+    # Customers meet the orders first: the lines, by far the most rows, are shuffled once.
+    who = (orders.join(customer, orders.o_custkey == customer.c_custkey)
+           .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")))
+    rows = li.join(who, li.l_orderkey == who.o_orderkey)
     line = F.col("l_linenumber").cast("string")
     return rows.select(
         F.to_date("l_shipdate").alias("eventDate"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"),

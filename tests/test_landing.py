@@ -1,6 +1,8 @@
 """Sniffed CSV, increments with a ledger, quarantine, tables at rest."""
 
+import gzip
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from tessera.operators import covariates, profile
 from tessera.plans import landing
 from tessera.schemas import KEEP_COLUMNS, LAGGED_COVARIATES, WEEKLY_COVARIATES
 from tessera.sources import landing as source
-from tessera.sources import lake, rest, sniff
+from tessera.sources import lake, rest, sniff, tables
 from tessera.sources.landing import Landing, checked_observations
 
 ROWS = [("a;b", "1", "2.5", "2024-01-02", "true", "x"), ("c,d", "2", "", "2024-01-03", "FALSE", "it's"), ('e "q"', "", "-3e2", "", "true", "y")]
@@ -182,6 +184,89 @@ def test_first_delivery_is_stored_once(spark, tmp_path, monkeypatch):
     assert "landing-folders" in dict(names) and one.rows().count() == 2
 
 
+def shuffle_files(spark):
+    files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {f for i in range(files.size()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_run_leaves_only_its_own_tables(spark, tmp_path):
+    """Neither stored steps nor shuffle files stay on disk until the driver happens to collect its garbage."""
+    raw, root, scratch = f"{tmp_path}/raw", str(tmp_path), session.ensure_checkpoint_dir(spark).removeprefix("file:")
+    write(f"{raw}/a.csv", [HEADER, *[observation_line(f"2020-{m:02}-05", 2020, m) for m in range(1, 13)]])
+    settings = {k: spark.conf.get(k) for k in [*session.SPARE_DISK, session.METHOD_SETTING, "spark.sql.files.maxPartitionBytes"]}
+    tables, shuffles = set(os.listdir(scratch)), shuffle_files(spark)
+    Landing(spark, raw, root).run()
+    write(f"{raw}/b.csv", [HEADER, observation_line("2020-01-07", 2020, 1)])
+    Landing(spark, raw, root).run()
+    assert set(os.listdir(scratch)) <= tables
+    until = time.time() + 20  # they go in the background
+    while shuffle_files(spark) - shuffles and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - shuffles
+    assert settings == {k: spark.conf.get(k) for k in settings}
+    assert Landing(spark, raw, root).rows().count() == 13
+
+
+def test_tables_outside_the_block_stay(spark):
+    kept = session.materialize(spark.range(3), "kept")
+    with session.spare_disk(spark):
+        with session.spare_disk(spark):
+            inner = session.materialize(spark.range(4), "inner").inputFiles()
+        outer = session.materialize(spark.range(5), "outer")
+        assert outer.count() == 5 and not any(os.path.exists(f.removeprefix("file://")) for f in inner)
+        files = outer.inputFiles()
+    assert kept.count() == 3 and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_folders_are_written_in_batches(spark, tmp_path, monkeypatch):
+    """The shuffle into the lake moves a bounded number of rows; each folder is written once a run, those without rows go."""
+    monkeypatch.setattr(source, "BATCH_ROWS", 2)
+    written, write_rows = [], Landing._write
+    monkeypatch.setattr(Landing, "_write", lambda self, rows: (written.append(
+        sorted(map(tuple, rows.select("year", "month").collect()), key=str)), write_rows(self, rows))[1])
+    raw, root = f"{tmp_path}/raw", str(tmp_path)
+    write(f"{raw}/a.csv", [HEADER, *[observation_line("2020-01-05", 2020, m) for m in (1, 1, 1, 2, 3, "")], observation_line("2019-04-05", "", 4)])
+    write(f"{raw}/b.csv", [HEADER, observation_line("2021-05-05", 2021, 5)])
+    landing = Landing(spark, raw, root)
+    folders = {(None, 4), (2020, None), (2020, 1), (2020, 2), (2020, 3), (2021, 5)}
+    assert set(landing.run().folders) == folders
+    assert written == [[(2020, None), (None, 4)], [(2020, 1)] * 3, [(2020, 2), (2020, 3)], [(2021, 5)]]
+    written.clear()
+    write(f"{raw}/a.csv", [HEADER, observation_line("2020-02-05", 2020, 2, "moved")])
+    os.utime(f"{raw}/a.csv", (2_000_000_000, 2_000_000_000))
+    write(f"{raw}/c.csv", [HEADER, observation_line("2021-05-06", 2021, 5, "new")])
+    assert set(landing.run().folders) == folders and sum(written, []) == [(2020, 2), (2021, 5), (2021, 5)]
+    assert sorted((r["year"], r["month"], r["species"]) for r in landing.rows().collect()) == [(2020, 2, "moved"), (2021, 5, "new"), (2021, 5, "s")]
+    assert sorted(d for d in os.listdir(f"{root}/lake/year=2020") if d.startswith("month")) == ["month=2"]
+
+
+def test_compressed_files_are_taken_in(spark, tmp_path):
+    raw = f"{tmp_path}/raw"
+    write(f"{raw}/a.csv", [HEADER, observation_line("2020-01-05", 2020, 1)])
+    with gzip.open(f"{raw}/b.csv.gz", "wt") as f:
+        f.write("\n".join([HEADER, observation_line("2020-01-06", 2020, 1, "t"), observation_line("bad", 2020, 1)]) + "\n")
+    landing = Landing(spark, raw, str(tmp_path))
+    done = landing.run()
+    assert (done.files, done.rows, done.rejected) == (2, 3, 1) and landing.run().files == 0
+    assert sorted(r["species"] for r in landing.rows().collect()) == ["s", "t"]
+    usual = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    assert source._packing(spark, ["a.csv"]) == {} and source._packing(spark, ["a.csv", "b.csv.gz"]) == {
+        "spark.sql.files.maxPartitionBytes": str(usual // source.COMPRESSION)}
+
+
+def test_deliveries_are_compressed(spark, tmp_path):
+    rows = spark.createDataFrame([("2020-01-05", 2020, 'a, "b"')], "eventDate string, year int, locality string")
+    landing._deliver(rows, f"{tmp_path}/raw")
+    assert {f.split(".", 1)[1] for f in os.listdir(f"{tmp_path}/raw") if f.startswith("part")} == {"csv.gz"}
+    assert [tuple(r) for r in spark.read.csv(f"{tmp_path}/raw", header=True, quote='"', escape='"').collect()] == [("2020-01-05", "2020", 'a, "b"')]
+
+
+def test_lines_are_shuffled_once(spark):
+    """Customers join the orders, not the lines."""
+    plan = tables.full_observations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan[:plan.index("Relation [l_orderkey")].count("Join Inner") == 1 and plan.count("Join Inner") == 3
+
+
 def test_lake_is_built_in_compiled_methods(spark, tmp_path, monkeypatch):
     limits, write_lake = [], lake.write_lake
     monkeypatch.setattr(lake, "write_lake", lambda *a: (limits.append(int(spark.conf.get(session.METHOD_SETTING))), write_lake(*a))[1])
