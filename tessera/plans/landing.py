@@ -82,7 +82,7 @@ def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
         else F.when(key % 70 == 2, F.lit("many")).otherwise(F.col("individualCount").cast("string")).alias(c) if c == "individualCount"
         else F.when(key % 90 == 3, F.lit("north")).otherwise(F.col("decimalLatitude").cast("string")).alias(c) if c == "decimalLatitude"
         else F.col(f"`{c}`") for c in KEEP_COLUMNS])
-    _land_csv(rough, f"{root}/raw", ",")
+    _deliver(rough, f"{root}/raw")
     landing = Landing(spark, f"{root}/raw", root)
     done = landing.run()
     parts = [landing.rejects().groupBy("reason").agg(F.count(F.lit(1)).alias("n")),

@@ -128,8 +128,9 @@ class Landing:
         folders = self._write_folders(good, changed)
 
         bad = read.where(F.col("reason").isNotNull()).select(SOURCE, "line", "reason")
-        rejects = materialize(self.rejects().join(changed, SOURCE, "left_anti").unionByName(bad), "quarantine")
-        rejects.write.mode("overwrite").parquet(self.quarantine)
+        if self._exists(self.quarantine):  # read before it is written
+            bad = materialize(self.rejects().join(changed, SOURCE, "left_anti").unionByName(bad), "quarantine")
+        bad.write.mode("overwrite").parquet(self.quarantine)
         ledger = materialize(known.join(fresh.select("path"), "path", "left_anti").unionByName(fresh), "ledger-next")
         ledger.write.mode("overwrite").parquet(self.ledger)
         return Increment(len(files), counts["rows"], counts["rejected"], counts["without_date"], sorted(folders, key=str))

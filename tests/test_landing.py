@@ -267,6 +267,26 @@ def test_lines_are_shuffled_once(spark):
     assert plan[:plan.index("Relation [l_orderkey")].count("Join Inner") == 1 and plan.count("Join Inner") == 3
 
 
+def test_quarantine_is_stored_once(spark, tmp_path, monkeypatch):
+    """Bad records are written again before the quarantine only if some of them come from it; they are kept then."""
+    names = []
+    monkeypatch.setattr(source, "materialize", lambda df, name: (names.append(name), session.materialize(df, name))[1])
+    write(f"{tmp_path}/raw/a.csv", [HEADER, observation_line("2020-01-05", 2020, 1), observation_line("bad", 2020, 1)])
+    landing = Landing(spark, f"{tmp_path}/raw", str(tmp_path))
+    assert landing.run().rejected == 1 and "quarantine" not in names and landing.rejects().count() == 1
+    write(f"{tmp_path}/raw/b.csv", [HEADER, observation_line("2020-01-06", 2020, 1, count="many")])
+    assert landing.run().rejected == 1 and "quarantine" in names
+    assert sorted(r["reason"] for r in landing.rejects().collect()) == ["bad value in column eventDate", "bad value in column individualCount"]
+
+
+def test_queries_deliver_compressed_files(spark, monkeypatch):
+    modes, deliver = [], landing._deliver
+    monkeypatch.setattr(landing, "_deliver", lambda *a, **k: (modes.append(k.get("mode", "overwrite")), deliver(*a, **k))[1])
+    n = {r["reason"]: r["n"] for r in landing.quarantine_reasons(spark, "/root/testdata/sf0.001").collect()}
+    assert modes == ["overwrite"] and n["all records"] == n["all rejected"] + n["in the lake"] > n["in the lake"]
+    assert n["all rejected"] == sum(v for k, v in n.items() if k.startswith("bad value"))
+
+
 def test_lake_is_built_in_compiled_methods(spark, tmp_path, monkeypatch):
     limits, write_lake = [], lake.write_lake
     monkeypatch.setattr(lake, "write_lake", lambda *a: (limits.append(int(spark.conf.get(session.METHOD_SETTING))), write_lake(*a))[1])
